@@ -97,10 +97,20 @@ def enriched_chunk_text(path, kind, text, symbol, start_line, end_line) -> Colum
 
 def snippet(content, overlap, max_chars: int = 160) -> Column:
     """First non-blank line holding one of the overlap tokens, else the first non-blank line; null for blank text."""
-    kept = F.filter(F.transform(lines(content), strip), lambda ln: ln != "")
     overlap = as_col(overlap)
-    hits = F.filter(kept, lambda ln: F.exists(overlap, lambda t: F.contains(F.lower(ln), t)))
-    return F.left(F.coalesce(F.get(hits, F.lit(0)), F.get(kept, F.lit(0))), F.lit(max_chars))
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("first"), none.alias("hit"))
+
+    def look(acc: Column, bare: Column) -> Column:
+        found = F.exists(overlap, lambda t: F.contains(F.lower(bare), t))
+        return F.when(bare == "", acc).otherwise(F.struct(
+            F.coalesce(acc["first"], bare).alias("first"), F.when(found, bare).alias("hit")))
+
+    def step(acc: Column, line: Column) -> Column:   # lines after the first hit are not looked at
+        return F.when(acc["hit"].isNotNull(), acc).otherwise(look(acc, strip(line)))
+
+    best = F.aggregate(lines(content), start, step, lambda acc: F.coalesce(acc["hit"], acc["first"]))
+    return F.left(best, F.lit(max_chars))
 
 
 def is_substantive(prompt: Column | str) -> Column:

@@ -15,6 +15,7 @@ from .skew import fits, salted_join, top_k, union_all
 
 HIGH_DOC_SCORE = 12.0
 MAX_BROADCAST_TERMS = 200_000   # (task, token) rows; about 20 MB
+MAX_BROADCAST_TASKS = 20_000    # tasks whose ranked rows (at most 8 each) may be broadcast; about 30 MB
 
 _LAYERS = {"default": 0, "file": 1, "learned": 2, "env": 3}
 
@@ -116,11 +117,18 @@ def _evidence(files: DataFrame, tasks: DataFrame, emb: DataFrame | None, extra:
     return pairs if emb is None else pairs.fillna(0.0, ["e"])
 
 
+def _with_text(winners: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Fetch the text of ranked rows. While the tasks are few the rows go to the texts, so no text is shuffled."""
+    texts = files.select("repo", "path", "content")
+    small = F.broadcast(winners) if fits(tasks, MAX_BROADCAST_TASKS) else winners
+    return texts.join(small, ["repo", "path"])
+
+
 def _explain(ranked: DataFrame, files: DataFrame, tasks: DataFrame, overlap: Column, default: str) -> DataFrame:
     """Add reason and snippet to the few rows that made the cut."""
-    texts = files.select("repo", "path", "content")
     words = tasks.select("task_id", T.token_set("task").alias("task_tokens"))
-    shown = ranked.join(texts, ["repo", "path"]).join(words, "task_id").withColumn("overlap", F.array_sort(overlap))
+    winners = ranked.join(words, "task_id")
+    shown = _with_text(winners, files, tasks).withColumn("overlap", F.array_sort(overlap))
     return shown.select(
         "task_id", "repo", "path", "rank", "score", F.col("h").alias("heuristic_score"),
         F.coalesce("e", F.lit(0.0)).alias("embedding_score"), "kind", "subkind", "overlap",
@@ -182,7 +190,7 @@ def explore(pairs: DataFrame, tasks: DataFrame, files: DataFrame, epsilon: float
     drawn = explored_tasks(tasks, epsilon, seed).select("task_id")
     near = pairs.where(~F.col("similar") & ~F.col("lexical") & (F.col("e") > 0)).join(drawn, "task_id", "left_semi")
     best = top_k(near, ["task_id"], [F.col("e").desc(), "path"], probes)
-    shown = best.join(files.select("repo", "path", "content"), ["repo", "path"])
+    shown = _with_text(best, files, tasks)
     none = F.array().cast("array<string>")
     return shown.select(
         "task_id", "repo", "path", "rank", F.col("e").alias("score"), F.col("h").alias("heuristic_score"),

@@ -90,3 +90,11 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows, reading no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores; larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *columns) if columns else df.repartition(cores)

@@ -40,7 +40,7 @@ def filter_chunks(
     for key, allowed in (filters or {}).items():
         value = F.element_at("metadata", F.lit(key))
         listed = value.isin([v for v in allowed if v is not None])
-        chunks = chunks.where(F.coalesce(listed, F.lit(None in allowed)))
+        chunks = chunks.where(F.when(value.isNull(), F.lit(None in allowed)).otherwise(listed))
     return chunks
 
 
