@@ -30,7 +30,7 @@ def bundle_events(ranked: DataFrame, tasks: DataFrame, ranker: str = "lexical")
     """
     kind = paths.full_kind(F.coalesce(F.nullif("kind", F.lit("")), F.lit("code")), "subkind")
     entry = F.struct("section", "rank", F.struct(
-        "path", kind.alias("kind"), F.col("score").cast("double"), F.coalesce("heuristic_score", F.lit(0.0)).alias("heuristic_score"),
+        "path", kind.alias("kind"), F.col("score").cast("double").alias("score"), F.coalesce("heuristic_score", F.lit(0.0)).alias("heuristic_score"),
         F.coalesce("embedding_score", F.lit(0.0)).alias("embedding_score")).alias("e"))
     listed = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
     out = tasks.join(listed, "task_id", "left")

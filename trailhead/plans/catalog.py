@@ -1,4 +1,12 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import queries_text, queries_rank, queries_vectors  # noqa: F401
+from . import (  # noqa: F401
+    queries_authority,
+    queries_feedback,
+    queries_rank,
+    queries_stream,
+    queries_telemetry,
+    queries_text,
+    queries_vectors,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -180,7 +180,7 @@ GROUP BY source, key""",
     # One task per nation, about its own package, and the change set it made: the nation's modules.
     "v_work": """
 SELECT n_nationkey AS task_id, 'main' AS repo,
-  'keep pkg' || n_nationkey || ' balance of ' || n_name || ' settled and names unique' AS task FROM nation""",
+  'keep pkg' || n_nationkey || ' balance of ' || n_name || ' settled and names unique by contract' AS task FROM nation""",
     "v_changes": """
 SELECT c_nationkey AS task_id, c_custkey AS pos, 'main' AS repo, 'pkg' || c_nationkey || '/c' || c_custkey || '.py' AS path
 FROM customer""",
