@@ -7,19 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import paths
 from ..operators import authority as A, feedback, graph, ranking
 from ..operators.skew import union_all
-from ..session import ensure_checkpoint_dir
+from ..session import settle
 
 _ITEM = ["rank", "path", "reason", "score", "snippet", "heuristic_score", "embedding_score", "kind", "subkind"]
 _ITEM_TYPE = ("array<struct<rank:int,path:string,reason:string,score:double,snippet:string,heuristic_score:double,"
               "embedding_score:double,kind:string,subkind:string>>")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a small frame that several later steps read once, on storage that outlives an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _shaped(df: DataFrame) -> DataFrame:
     types = {"snippet": "string", "heuristic_score": "double", "embedding_score": "double", "kind": "string", "subkind": "string"}
     for name, kind in types.items():
@@ -33,7 +27,7 @@ def rank_sections(
     epsilon: float = 0.0,
 ) -> dict[str, DataFrame]:
     """The four ranked lists of every task. Related tests and neighbours start from the ranked files, settled once."""
-    ranked = settle(_shaped(ranking.rank_files(tasks, files, emb, thresholds=thresholds, epsilon=epsilon)))
+    ranked = settle(_shaped(ranking.rank_files(tasks, files, emb, thresholds=thresholds, epsilon=epsilon)), "ranked")
     seeds = ranked.select("task_id", "repo", "path", "rank")
     tests = graph.related_tests(files.where(F.col("kind") == "test"), seeds, edges)
     kinds = files.select("repo", "path", "kind", "subkind")
@@ -94,9 +88,9 @@ def emitted_events(tasks: DataFrame, sections: dict[str, DataFrame], ranker: str
 
 
 def rules_for_tasks(tasks: DataFrame, files: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(ranked authority records, their constraints) per task; both settled, as every later step reads them."""
-    ranked = settle(A.rank_authority(A.authority_records(files), tasks, k))
-    return ranked, settle(A.constraints(ranked))
+    """(ranked authority records, their constraints) per task; settled, as every later step reads them."""
+    ranked = settle(A.rank_authority(settle(A.authority_records(files), "authority"), tasks, k), "ranked-authority")
+    return ranked, settle(A.constraints(ranked), "constraints")
 
 
 def bundles(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import globs
 from ..operators import authority as A, graph, ranking
 from . import context
-from .context import settle
+from ..session import settle
 from .queries_rank import _corpus
 from .queries_text import KIND
-from .registry import files_of, query
+from .registry import files_of, query, stored_files
 from .views import view
 
 _FILE_TYPE = """CASE WHEN path LIKE 'contracts/%' THEN 'contract' WHEN path LIKE 'docs/adr/%' THEN 'architecture_note' END"""
@@ -94,12 +94,12 @@ ra AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY level, overlap
 
 @query("d7_rank_authority", f"WITH {_AUTH}, {_top_auth('v_tasks')} SELECT task_id, id, overlap, rank FROM ra")
 def rank_authority(spark, sf):
-    return A.rank_authority(_auth(spark, sf), view(spark, sf, "v_tasks")).select("task_id", "id", "overlap", "rank")
+    return A.rank_authority(settle(_auth(spark, sf), "authority"), view(spark, sf, "v_tasks")).select("task_id", "id", "overlap", "rank")
 
 
 @query("d7_rank_authority_work", f"WITH {_AUTH}, {_top_auth('v_work')} SELECT task_id, id, overlap, rank FROM ra")
 def rank_authority_work(spark, sf):
-    return A.rank_authority(_auth(spark, sf), view(spark, sf, "v_work")).select("task_id", "id", "overlap", "rank")
+    return A.rank_authority(settle(_auth(spark, sf), "authority"), view(spark, sf, "v_work")).select("task_id", "id", "overlap", "rank")
 
 
 @query("d8_glob_join", """
@@ -123,7 +123,7 @@ rc AS (SELECT ra.task_id, ra.rank, cs.* FROM ra JOIN cs ON cs.source_record_id =
 
 def _work(spark, sf):
     """Tasks, files, edges, ranked files, and the rules of v_work on v_source."""
-    files, tasks = files_of(spark, sf, "v_source"), view(spark, sf, "v_work")
+    files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
     auth, cons = context.rules_for_tasks(tasks, files)
     return tasks, files, auth, cons
 
@@ -223,14 +223,14 @@ SELECT task_id, array_to_string(list_filter(allowed, lambda p: NOT list_contains
   array_to_string(protected, ',') AS added_protected_paths
 FROM sc JOIN (SELECT c_nationkey AS task_id, list('pkg' || c_nationkey || '/c' || c_custkey || '.py') AS old FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL) USING (task_id)""")
 def scope_delta(spark, sf):
-    files, tasks = files_of(spark, sf, "v_source"), view(spark, sf, "v_work")
+    files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
     none = F.array().cast("array<string>")
     # The scope before: the modules of one market segment.
     building = spark.read.parquet(f"{sf}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("pos"))
     before = view(spark, sf, "v_changes").join(building, "pos", "left_semi")
     old = before.groupBy("task_id").agg(F.collect_list("path").alias("allowed_paths")).select(
         "task_id", "allowed_paths", none.alias("related_paths"), none.alias("protected_paths"))
-    out = context.refresh(tasks, files, graph.dependency_edges(files), view(spark, sf, "v_changes"), old)["delta"]
+    out = context.refresh(tasks, files, settle(graph.dependency_edges(files), "edges"), view(spark, sf, "v_changes"), old)["delta"]
     return out.join(old.select("task_id"), "task_id", "left_semi").select(
         "task_id", *[F.array_join(c, ",").alias(c) for c in out.columns if c != "task_id"])
 
@@ -255,7 +255,7 @@ def contract_candidates(spark, sf):
 WITH s AS (SELECT split_part(path, '/', 1) AS name, count(*) AS n FROM v_source WHERE path LIKE 'pkg%' OR path LIKE 'web/%' GROUP BY 1 HAVING count(*) >= 3)
 SELECT 'docs/architecture/' || name || '.md' AS path, 'architecture' AS template_hint, 'How the `' || name || '/` subsystem is organized and what it owns' AS topic FROM s""")
 def suggestions(spark, sf):
-    files = files_of(spark, sf, "v_source")
+    files = stored_files(spark, sf)
     out = A.suggestions(A.subsystems(files), A.contract_candidates(files), A.existing_authority(files))
     return out.select("path", "template_hint", "topic")
 
@@ -265,23 +265,23 @@ im AS (SELECT 'implemented_by' AS edge_kind, au.id AS source, v.path AS target F
   AND (v.path = applies[1] OR (applies[1] LIKE '%/*' AND starts_with(v.path, left(applies[1], length(applies[1]) - 1)))))
 SELECT * FROM im UNION ALL SELECT 'points_to', a.id, b.id FROM au a JOIN au b ON b.path = a.summary WHERE a.title LIKE 'See contract:%'""")
 def authority_edges(spark, sf):
-    files = files_of(spark, sf, "v_source")
-    return A.authority_edges(A.authority_records(files), files, files.where("kind = 'test'")).select("edge_kind", "source", "target")
+    files = stored_files(spark, sf)
+    return A.authority_edges(settle(A.authority_records(files), "authority"), files, files.where("kind = 'test'")).select("edge_kind", "source", "target")
 
 
 @query("c8_edge_targets", f"""
 SELECT 'contract:contracts/n' || n_nationkey || '.md' AS source, 'pkg' || n_nationkey || '/c' || c_custkey || '.py' AS target FROM nation JOIN customer ON c_nationkey = n_nationkey""")
 def edge_targets(spark, sf):
-    files = files_of(spark, sf, "v_source")
-    auth = A.authority_records(files)
+    files = stored_files(spark, sf)
+    auth = settle(A.authority_records(files), "authority")
     edges = A.authority_edges(auth, files, files.where("kind = 'test'"))
     sources = auth.where("type = 'contract'").select("repo", F.col("id").alias("source"))
     return A.edge_targets(edges, "implemented_by", sources).select("source", "target")
 
 
 def _bundles(spark, sf):
-    files, tasks = files_of(spark, sf, "v_source"), view(spark, sf, "v_work")
-    return context.bundles(tasks, files, graph.dependency_edges(files), index_ok=False)
+    files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
+    return context.bundles(tasks, files, settle(graph.dependency_edges(files), "edges"), index_ok=False)
 
 
 @query("f10_bundles", f"""WITH {_WORK}, {_SCOPE}

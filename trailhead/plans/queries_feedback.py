@@ -8,7 +8,8 @@ from ..functions import constants as K, paths
 from ..operators import feedback, ranking
 from .context import emitted_events, rank_sections
 from .queries_rank import _corpus
-from .registry import files_of, query, r6
+from ..session import settle
+from .registry import files_of, query, r6, stored_files
 from .views import view
 
 
@@ -22,8 +23,8 @@ SELECT task_id, path, kind, score FROM n WHERE i <= CASE kind WHEN 'doc' THEN 6
 def bundle_events(spark, sf):
     from ..operators import graph
 
-    files, tasks = files_of(spark, sf, "v_source"), view(spark, sf, "v_work")
-    sections = rank_sections(tasks, files, graph.dependency_edges(files))
+    files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
+    sections = rank_sections(tasks, files, settle(graph.dependency_edges(files), "edges"))
     rows = emitted_events(tasks, sections).select("task_id", F.inline("ranked_paths")).where("kind <> 'test'")
     return rows.select("task_id", "path", paths.parent_kind("kind").alias("kind"), "score")
 

@@ -8,7 +8,8 @@ from ..functions import constants as K, paths, scoring
 from ..operators import graph, ranking, vectors
 from . import context
 from .queries_text import EDGES, KIND, toks
-from .registry import files_of, query, r6
+from ..session import settle
+from .registry import files_of, query, r6, stored_files
 from .views import view
 
 _DOC_SCORE = """CASE WHEN path LIKE 'docs/adr/%' THEN 5 WHEN path LIKE '%/README.md' THEN 9 WHEN path LIKE '%/AGENTS.md' THEN 17
@@ -150,12 +151,12 @@ def related_tests_imports(spark, sf):
     changed = view(spark, sf, "v_changes")
     seeds = changed.select(paths.top_dir("path").alias("task_id"), "repo", "path", F.col("pos").cast("int").alias("rank"))
     tests = files.where("kind = 'test'")
-    return graph.related_tests(tests, seeds, graph.dependency_edges(files)).select("task_id", "path", "score", "rank")
+    return graph.related_tests(tests, seeds, settle(graph.dependency_edges(files), "edges")).select("task_id", "path", "score", "rank")
 
 
 def _context(spark, sf):
-    files = files_of(spark, sf, "v_source")
-    return context.task_context(view(spark, sf, "v_work"), files, graph.dependency_edges(files))
+    files = stored_files(spark, sf)
+    return context.task_context(view(spark, sf, "v_work"), files, settle(graph.dependency_edges(files), "edges"))
 
 
 @query("f8_task_context", f"""WITH {_corpus("'doc', 'code', 'config'", "v_source", "v_work")},

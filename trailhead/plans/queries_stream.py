@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.skew import spread  # noqa: F401
 from ..streaming import attribution, daily, debounce, ingest, sinks
 from .registry import fresh_dir, query
 from .views import view
 
 
-def _stream(spark, rows: DataFrame, label: str, files: int = 4) -> DataFrame:
-    """A file stream over ``rows``: the view is written once in log order and read back, one file per micro-batch."""
+def _streaming_settings(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # Run over what is there and stop: without this, wall-clock timers keep asking for further empty batches.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+def _stream(spark, rows: DataFrame, label: str) -> DataFrame:
+    """A file stream over ``rows``, read in one micro-batch: files written together carry no order between them."""
+    _streaming_settings(spark)
     out = fresh_dir(spark, label)
-    rows.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.parquet(out)
-    return spark.readStream.schema(spark.read.parquet(out).schema).option("maxFilesPerTrigger", 1).parquet(out)
+    rows.write.parquet(out)
+    return spark.readStream.schema(rows.schema).parquet(out)
 
 
 def _collected(spark, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -29,8 +34,9 @@ def _collected(spark, stream: DataFrame, label: str, mode: str = "append") -> Da
 def ingest_stream(spark, sf):
     # An upload is one file of the stream: its lines must not be split, so a file holds whole batches.
     rows = view(spark, sf, "v_payload").select("batch_id", "seq", "raw")
+    _streaming_settings(spark)
     source = fresh_dir(spark, "uploads")
-    rows.repartitionByRange(4, "batch_id").write.parquet(source)
+    rows.repartitionByRange(2, "batch_id").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = fresh_dir(spark, "ingest-out")
     ingest.ingest_stream(stream, out, fresh_dir(spark, "ingest-checkpoint")).awaitTermination()
@@ -39,7 +45,7 @@ def ingest_stream(spark, sf):
 
 @query("j2_attribute_stream", """
 WITH u AS (SELECT seq, event_time, path, action FROM v_feedback WHERE event_type = 'tool_use' AND path IS NOT NULL),
-m AS (SELECT u.seq, max(r.seq) AS hit FROM u JOIN v_ranked r ON r.path = u.path AND r.seq < u.seq AND r.seq >= u.seq - 50
+m AS (SELECT u.seq, max(r.seq) AS hit FROM u JOIN v_ranked r ON r.path = u.path AND r.seq < u.seq AND r.seq >= u.seq - 200
   AND date_trunc('second', r.event_time) >= date_trunc('second', u.event_time - INTERVAL 6 HOUR) GROUP BY u.seq)
 SELECT u.seq, path, action, 'b' || hit AS bundle_id FROM u LEFT JOIN m USING (seq)""")
 def attribute_stream(spark, sf):
@@ -47,7 +53,7 @@ def attribute_stream(spark, sf):
         "repo", "path", "seq", "event_time", "action")
     shown = view(spark, sf, "v_ranked").select("repo", "path", "seq", "event_time", "bundle_id")
     log = _stream(spark, uses.unionByName(shown, allowMissingColumns=True), "log")
-    found = attribution.attribute_stream(log.where("bundle_id is null"), log.where("bundle_id is not null"), 6 * 3600, 50)
+    found = attribution.attribute_stream(log.where("bundle_id is null"), log.where("bundle_id is not null"), 6 * 3600)
     return _collected(spark, found, "attribution").select("seq", "path", "action", "bundle_id")
 
 

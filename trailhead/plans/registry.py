@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..operators.skew import spread
-from ..session import scratch_root
+from ..session import scratch_root, settle
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,5 +36,10 @@ def files_of(spark: SparkSession, sf_dir: str, view: str = "v_files") -> DataFra
     return paths.classify(spread(views.view(spark, sf_dir, view).select("repo", "path", "content"), ["path"]))
 
 
+def stored_files(spark: SparkSession, sf_dir: str, view: str = "v_source") -> DataFrame:
+    """The classified files as a stored table, for plans that read them in several steps."""
+    return settle(files_of(spark, sf_dir, view), "files")
+
+
 def r6(name: str):
     return F.round(name, 6).alias(name)

@@ -5,9 +5,11 @@ Everything here is a default: a cluster's own configuration wins, because ``getO
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,15 +33,25 @@ def build_session(master: str | None = None, app: str = "trailhead", **conf: str
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trailhead-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediates.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs) is a local folder used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="trailhead-")
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write a frame that several later steps read to the shared folder, and read it back.
+
+    The table outlives a lost executor and cuts the plan; being columnar with known sizes, later steps read only the
+    columns they need and Spark can plan their joins.
+    """
+    out = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
