@@ -53,11 +53,16 @@ def peek(df: DataFrame, n: int = 10) -> DataFrame:
 # ---- ingest ----------------------------------------------------------------------------------------------------------
 
 
-def reject_reason(raw: Column | str) -> Column:
-    """Why an uploaded line is refused, or null. The first broken rule counts."""
-    raw = as_col(raw)
-    doc = F.try_parse_json(raw)
+def validate_events(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``reason``: why an uploaded line is refused, or null. The first broken rule counts.
+
+    A line is parsed once; the rules read the parsed column.
+    """
+    parsed = df.withColumn("_doc", F.try_parse_json(raw)).withColumn("_keys", F.json_object_keys(raw))
+    return parsed.withColumn("reason", _reject_reason(F.col("_doc"), F.col("_keys"))).drop("_doc", "_keys")
+
 
+def _reject_reason(doc: Column, keys: Column) -> Column:
     def at(name):
         return F.try_variant_get(doc, f"$.{name}", "variant")
 
@@ -78,7 +83,7 @@ def reject_reason(raw: Column | str) -> Column:
 
     dogfood = F.coalesce(F.try_variant_get(doc, "$.dogfood", "boolean"), F.lit(False))
     hits = F.filter(
-        F.json_object_keys(raw), lambda k: k.isin(K.REJECTED_KEYS) & ~(dogfood & k.isin(K.DOGFOOD_KEYS)))
+        keys, lambda k: k.isin(K.REJECTED_KEYS) & ~(dogfood & k.isin(K.DOGFOOD_KEYS)))
     rules = [
         (doc.isNull(), "invalid_json"),
         (~F.schema_of_variant(doc).startswith("OBJECT"), "not_object"),
@@ -107,10 +112,6 @@ def reject_reason(raw: Column | str) -> Column:
     return out
 
 
-def validate_events(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return df.withColumn("reason", reject_reason(raw))
-
-
 def stored_columns(valid: DataFrame, raw: str = "raw") -> DataFrame:
     """The columns kept of an accepted line."""
     doc = F.try_parse_json(F.col(raw))
@@ -137,20 +138,30 @@ def gate_batches(raw_batches: DataFrame, max_bytes: int = K.MAX_BATCH_BYTES, max
     return sizes.withColumn("error", error)
 
 
-def ingest(raw_batches: DataFrame, **limits) -> dict[str, DataFrame]:
-    """Accepted rows, quarantined rows, one result per batch and the histogram of reasons. Input: (batch_id, seq, raw)."""
+def checked_lines(raw_batches: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(limits per batch, the checked lines of the batches within them). Input: (batch_id, seq, raw)."""
     gates = gate_batches(raw_batches, **limits)
     passed = gates.where("error is null").select("batch_id")
     lines = salted_join(raw_batches.where(F.trim("raw") != ""), passed, ["batch_id"], ["seq"], "left_semi")
-    checked = validate_events(lines)
+    return gates, validate_events(lines)
+
+
+def ingest_outputs(gates: DataFrame, checked: DataFrame) -> dict[str, DataFrame]:
+    """Accepted rows, quarantined rows, one result per batch and the histogram of reasons."""
     good = checked.where("reason is null")
-    histogram = checked.where("reason is not null").groupBy("batch_id", "reason").agg(F.count("*").alias("n"))
+    bad = checked.where("reason is not null")
     counts = checked.groupBy("batch_id").agg(
         F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
     status = F.when(F.col("error").isin("payload_too_large", "too_many_events"), 413).when(
         F.col("error").isNotNull() | (F.col("accepted") == 0), 400).otherwise(202)
     results = gates.join(counts, "batch_id", "left").fillna(0, ["accepted", "rejected"]).withColumn("status", status)
     return {
-        "accepted": stored_columns(good), "quarantine": checked.where("reason is not null"),
-        "results": results.select("batch_id", "status", "error", "accepted", "rejected"), "reasons": histogram,
+        "accepted": stored_columns(good), "quarantine": bad,
+        "results": results.select("batch_id", "status", "error", "accepted", "rejected"),
+        "reasons": bad.groupBy("batch_id", "reason").agg(F.count("*").alias("n")),
     }
+
+
+def ingest(raw_batches: DataFrame, **limits) -> dict[str, DataFrame]:
+    """Check and split uploaded batches."""
+    return ingest_outputs(*checked_lines(raw_batches, **limits))

@@ -14,6 +14,8 @@ def _streaming_settings(spark) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     # Run over what is there and stop: without this, wall-clock timers keep asking for further empty batches.
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    if spark.sparkContext.master.startswith("local"):   # micro-batches are not adaptive: one state store per core is enough
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
 
 
 def _stream(spark, rows: DataFrame, label: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import reporting, telemetry
+from ..operators.skew import spread
 from ..streaming import debounce
 from .registry import query
-from .views import table, view
+from .views import view
 
 
 def _pct(value: str, where: str = "TRUE") -> str:
@@ -209,9 +210,13 @@ def trim_to_bytes(spark, sf):
     return reporting.trim_to_bytes(queues, ["queue"], max_bytes=100_000, block_rows=512).select("queue", "seq")
 
 
+def _uploads(spark, sf):
+    return spread(view(spark, sf, "v_payload").select("batch_id", "seq", "raw"))
+
+
 @query("i4_validate_events", "SELECT seq, expected_reason AS reason FROM v_payload")
 def validate_events(spark, sf):
-    return reporting.validate_events(view(spark, sf, "v_payload")).select("seq", "reason")
+    return reporting.validate_events(_uploads(spark, sf)).select("seq", "reason")
 
 
 _BATCHES = "SELECT batch_id, count(*) AS n, sum(octet_length(encode(raw)) + 1) - 1 AS bytes, count(*) FILTER (expected_reason IS NULL) AS good FROM v_payload GROUP BY batch_id"
@@ -221,20 +226,20 @@ _BATCHES = "SELECT batch_id, count(*) AS n, sum(octet_length(encode(raw)) + 1) -
 SELECT batch_id, CASE WHEN bytes > 6000 OR n > 1000 THEN 413 WHEN good = 0 THEN 400 ELSE 202 END AS status, CASE WHEN bytes > 6000 THEN 'payload_too_large' END AS error,
   CASE WHEN bytes > 6000 THEN 0 ELSE good END AS accepted, CASE WHEN bytes > 6000 THEN 0 ELSE n - good END AS rejected FROM ({_BATCHES})""")
 def ingest_results(spark, sf):
-    return reporting.ingest(view(spark, sf, "v_payload").select("batch_id", "seq", "raw"), max_bytes=6000)["results"]
+    return reporting.ingest(_uploads(spark, sf), max_bytes=6000)["results"]
 
 
 @query("i5_ingest_accepted", """
 SELECT seq, 1.0::DOUBLE AS schema_version, 'i' AS install_id, CASE WHEN seq % 10 = 6 THEN 'canary' ELSE 'stable' END AS channel, seq % 10 = 6 AS dogfood,
   CASE WHEN seq % 10 = 6 THEN 'tb' END AS traceback, CASE WHEN seq % 10 >= 8 THEN seq END::DOUBLE AS duration_ms FROM v_payload WHERE expected_reason IS NULL""")
 def ingest_accepted(spark, sf):
-    rows = reporting.ingest(view(spark, sf, "v_payload").select("batch_id", "seq", "raw"))["accepted"]
+    rows = reporting.ingest(_uploads(spark, sf))["accepted"]
     return rows.select("seq", "schema_version", "install_id", "channel", "dogfood", "traceback", "duration_ms")
 
 
 @query("i5_ingest_reasons", "SELECT batch_id, expected_reason AS reason, count(*) AS n FROM v_payload WHERE expected_reason IS NOT NULL GROUP BY ALL")
 def ingest_reasons(spark, sf):
-    return reporting.ingest(view(spark, sf, "v_payload").select("batch_id", "seq", "raw"))["reasons"]
+    return reporting.ingest(_uploads(spark, sf))["reasons"]
 
 
 @query("i6_peek", "SELECT seq, raw FROM v_payload ORDER BY seq DESC LIMIT 10")

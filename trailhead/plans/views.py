@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.skew import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
 
@@ -217,10 +219,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables in ``sf_dir``."""
+    """A derived view over the tables in ``sf_dir``; the texts are spread when they come as a few scan partitions."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = with_views(f"SELECT * FROM {name}")
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            rows = table(spark, sf_dir, t)
+            (spread(rows) if t == "documents" else rows).createOrReplaceTempView(t)
     return spark.sql(sql)

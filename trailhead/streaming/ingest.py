@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.reporting import ingest
+from ..operators.reporting import checked_lines, ingest_outputs
 
 
 def ingest_stream(source: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, **limits) -> StreamingQuery:
@@ -16,8 +16,11 @@ def ingest_stream(source: DataFrame, out: str, checkpoint: str, trigger: dict |
 
     def save(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
-        for name, rows in ingest(held, **limits).items():
+        gates, checked = checked_lines(held, **limits)
+        checked = checked.persist()
+        for name, rows in ingest_outputs(gates, checked).items():
             rows.write.mode("overwrite").parquet(f"{out}/{name}/micro_batch={batch_id}")
+        checked.unpersist()
         held.unpersist()
 
     writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
