@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import globs
 from ..operators import authority as A, graph, ranking
+from ..operators.skew import top_k
 from . import context
 from ..session import settle
 from .queries_rank import _corpus
 from .queries_text import KIND
 from .registry import files_of, query, stored_files
-from .views import view
+from .views import table, view
 
 _FILE_TYPE = """CASE WHEN path LIKE 'contracts/%' THEN 'contract' WHEN path LIKE 'docs/adr/%' THEN 'architecture_note' END"""
 
@@ -107,7 +108,7 @@ SELECT path, pattern AS "glob" FROM (SELECT DISTINCT path FROM v_diff) d JOIN (
   SELECT 'src/s' || (p_size % 10) || '*.ts' AS pattern FROM part UNION SELECT 'tests/t' || p_partkey || '.py' FROM part UNION SELECT '*c' || (p_size % 3) || '?.yaml' FROM part) g
   ON (pattern LIKE 'src/%' AND path LIKE replace(pattern, '*', '%')) OR pattern = path OR (pattern LIKE '*%' AND path LIKE replace(replace(pattern, '*', '%'), '?', '_'))""")
 def glob_join(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = table(spark, sf, "part")
     size = F.col("p_size")
     rules = part.select(F.concat(F.lit("src/s"), (size % 10).cast("string"), F.lit("*.ts")).alias("glob")).union(
         part.select(F.concat(F.lit("tests/t"), F.col("p_partkey").cast("string"), F.lit(".py")))).union(
@@ -147,7 +148,8 @@ def edit_scope(spark, sf):
 
 
 _PLAN = """
-pt AS (SELECT task_id, path FROM (SELECT c_nationkey AS task_id, 'tests/test_c' || s_suppkey || '.py' AS path FROM supplier JOIN customer ON c_custkey = s_suppkey)
+pt AS (SELECT task_id, path FROM (SELECT c_nationkey AS task_id, 'tests/test_c' || s_suppkey || '.py' AS path FROM supplier JOIN customer ON c_custkey = s_suppkey
+    QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY 'tests/test_c' || s_suppkey || '.py') <= 6)
   UNION SELECT task_id, substr(unnest(refs), 6) FROM rc),
 pl AS (SELECT v.task_id, coalesce((SELECT list_sort(list(path)) FROM pt WHERE pt.task_id = v.task_id), []) AS tests,
   coalesce((SELECT list_sort(list(source_record_id)) FROM rc WHERE rc.task_id = v.task_id AND source_record_id LIKE 'contract:%'), []) AS contracts,
@@ -157,10 +159,10 @@ pl AS (SELECT v.task_id, coalesce((SELECT list_sort(list(path)) FROM pt WHERE pt
 def _plan(spark, sf):
     tasks, files, auth, cons = _work(spark, sf)
     tests = view(spark, sf, "v_source").where("path like 'tests/%'")
-    # Every test goes with the task whose package holds the module of the same number.
+    # A test goes with the task whose package holds the module of the same number; six per task, as related tests are.
     number = F.regexp_extract("path", r"test_c(\d+)", 1)
     modules = view(spark, sf, "v_changes").select("task_id", F.col("pos").cast("string").alias("_n"))
-    mapped = tests.withColumn("_n", number).join(modules, "_n").select("task_id", "path")
+    mapped = top_k(tests.withColumn("_n", number).join(modules, "_n").select("task_id", "path"), ["task_id"], ["path"], 6)
     return tasks, files, auth, cons, A.validation_plan(tasks, mapped, cons)
 
 
@@ -221,13 +223,12 @@ def initial_risks(spark, sf):
 @query("d14_scope_delta", f"""WITH {_WORK}, {_SCOPE}
 SELECT task_id, array_to_string(list_filter(allowed, lambda p: NOT list_contains(old, p)), ',') AS added_allowed_paths, array_to_string(related, ',') AS added_related_paths,
   array_to_string(protected, ',') AS added_protected_paths
-FROM sc JOIN (SELECT c_nationkey AS task_id, list('pkg' || c_nationkey || '/c' || c_custkey || '.py') AS old FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL) USING (task_id)""")
+FROM sc JOIN (SELECT task_id, list(path) AS old FROM rf WHERE rank <= 3 GROUP BY task_id) USING (task_id)""")
 def scope_delta(spark, sf):
     files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
     none = F.array().cast("array<string>")
-    # The scope before: the modules of one market segment.
-    building = spark.read.parquet(f"{sf}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("pos"))
-    before = view(spark, sf, "v_changes").join(building, "pos", "left_semi")
+    # The scope before: what a ranking of three files gave.
+    before = ranking.rank_files(tasks, files, k=3)
     old = before.groupBy("task_id").agg(F.collect_list("path").alias("allowed_paths")).select(
         "task_id", "allowed_paths", none.alias("related_paths"), none.alias("protected_paths"))
     out = context.refresh(tasks, files, settle(graph.dependency_edges(files), "edges"), view(spark, sf, "v_changes"), old)["delta"]

@@ -67,14 +67,6 @@ def search(spark, sf):
     return hits.select("query_id", "rank", "path", "chunk_index", "score")
 
 
-@query("e5_search_all_vectors", """
-WITH s AS (SELECT q.vec_id AS query_id, c.path, c.chunk_index, round(list_dot_product(c.vector::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q CROSS JOIN v_chunks c)""" + _TOP.format(where="score >= 0", k=3))
-def search_all_vectors(spark, sf):
-    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vectors.search(chunks_of(spark, sf), asked, k=3).select("query_id", "rank", "path", "chunk_index", "score")
-
-
 @query("e6_semantic_search", f"WITH {QUERIES_SQL}" + _TOP.format(where="kind = 'doc'", k=5))
 def semantic_search(spark, sf):
     chunks = chunks_of(spark, sf).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2)).withColumn(
@@ -203,14 +195,15 @@ def advisory_branches(spark, sf):
 
 
 def _advisory(spark, sf):
-    """Each branch carries the chunks of the label its key falls on, at the repo of the branch."""
-    branches = view(spark, sf, "v_branches").withColumn("label", (F.col("seq") % 10).cast("int"))
-    chunks = chunks_of(spark, sf).drop("repo").join(branches.select("repo", "branch", "label"), "label")
+    """Ten neighbouring chunks, two files, are open on the branch with that number."""
+    branches = view(spark, sf, "v_branches")
+    numbered = chunks_of(spark, sf).drop("repo").withColumn("seq", F.floor(F.col("vec_id") / 10).cast("long"))
+    chunks = numbered.join(branches.select("seq", "repo", "branch"), "seq").drop("seq")
     return vectors.advisory_chunks(chunks, vectors.advisory_branches(branches))
 
 
 _ADVISORY = _BRANCHES + """,
-x AS (SELECT b.repo, b.branch, b.commits_ahead, c.path, c.chunk_index, c.vec_id FROM b JOIN v_chunks c ON c.label = b.seq % 10),
+x AS (SELECT b.repo, b.branch, b.commits_ahead, c.path, c.chunk_index, c.vec_id FROM b JOIN v_chunks c ON CAST(floor(c.vec_id / 10) AS BIGINT) = b.seq),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY repo, branch ORDER BY path) AS n FROM x)"""
 
 
