@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import constants as K, paths, scoring
+from ..functions import constants as K, paths, scoring, text as T
 from .skew import salted_join, union_all
 
 LABEL_EVENTS = ["tool_use", "self_report", "git_edit"]
@@ -67,7 +67,7 @@ def attribute(events: DataFrame, ranked: DataFrame, window_seconds: int = 1800,
 
 def mark_used(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(self_report events of the valid labels, recorded and skipped counts per bundle)."""
-    blank = F.coalesce(F.trim("path"), F.lit("")) == ""
+    blank = F.coalesce(T.strip("path"), F.lit("")) == ""
     valid = ~blank & F.coalesce(F.col("relevance").isin(K.RELEVANCES), F.lit(False))
     checked = labels.where(F.coalesce("bundle_id", F.lit("")) != "").withColumn("_ok", valid)
     rows = checked.where("_ok").drop("_ok").withColumn("event_type", F.lit("self_report")).withColumn("source", F.lit("self_report"))

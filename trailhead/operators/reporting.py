@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as K
-from ..functions.text import as_col
+from ..functions.text import as_col, strip
 from .skew import salted_join
 
 
@@ -128,7 +128,7 @@ def stored_columns(valid: DataFrame, raw: str = "raw") -> DataFrame:
 
 def gate_batches(raw_batches: DataFrame, max_bytes: int = K.MAX_BATCH_BYTES, max_events: int = K.MAX_BATCH_EVENTS) -> DataFrame:
     """(batch_id, error): the limits on a whole batch."""
-    filled = F.trim("raw") != ""
+    filled = strip("raw") != ""
     sizes = raw_batches.groupBy("batch_id").agg(
         (F.sum(F.octet_length("raw") + 1) - 1).alias("bytes"), F.count_if(filled).alias("events"))
     error = (
@@ -142,7 +142,7 @@ def checked_lines(raw_batches: DataFrame, **limits) -> tuple[DataFrame, DataFram
     """(limits per batch, the checked lines of the batches within them). Input: (batch_id, seq, raw)."""
     gates = gate_batches(raw_batches, **limits)
     passed = gates.where("error is null").select("batch_id")
-    lines = salted_join(raw_batches.where(F.trim("raw") != ""), passed, ["batch_id"], ["seq"], "left_semi")
+    lines = salted_join(raw_batches.where(strip("raw") != ""), passed, ["batch_id"], ["seq"], "left_semi")
     return gates, validate_events(lines)
 
 

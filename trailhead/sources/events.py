@@ -55,13 +55,9 @@ def read_events(
 
     ``since`` is an ISO-8601 UTC string and compared as one; rows without a time pass.
     """
-    read = schema.add(T.StructField("_corrupt", T.StringType())) if "_corrupt" not in schema.fieldNames() else schema
-    lines = spark.read.text(path)
-    parsed = dense_offsets(lines).where(F.trim("value") != "").select(
-        "seq",
-        F.from_json("value", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"),
-    )
-    rows = parsed.select("seq", "e.*").where("_corrupt is null").drop("_corrupt")
+    numbered = dense_offsets(spark.read.text(path)).where(F.try_parse_json("value").isNotNull())
+    rows = numbered.select("seq", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).where("e is not null")
+    rows = rows.select("seq", "e.*")
     if since is not None:
         rows = rows.where(F.col("event_time").isNull() | (F.col("event_time") >= since))
     return rows
