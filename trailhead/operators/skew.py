@@ -93,7 +93,10 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 
 
 def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores; larger inputs stay where they are."""
+    """Spread a scan that has fewer partitions than the cluster has cores; larger inputs stay where they are.
+
+    Only for frames without a shuffle of their own: asking those for their partitions would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

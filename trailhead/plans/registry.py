@@ -32,8 +32,9 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def files_of(spark: SparkSession, sf_dir: str, view: str = "v_files") -> DataFrame:
-    """A view's files, classified. Small inputs arrive as one scan partition and are spread before the text work."""
-    return paths.classify(spread(views.view(spark, sf_dir, view).select("repo", "path", "content"), ["path"]))
+    """A view's files, classified. Small inputs arrive as a few scan partitions and are spread before the text work."""
+    rows = views.view(spark, sf_dir, view).select("repo", "path", "content")
+    return paths.classify(rows if view == "v_files" else spread(rows, ["path"]))   # v_files reads spread documents
 
 
 def stored_files(spark: SparkSession, sf_dir: str, view: str = "v_source") -> DataFrame:
