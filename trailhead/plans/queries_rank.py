@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K, paths, scoring
+from ..functions import constants as K, paths, scoring, text as T
 from ..operators import graph, ranking, vectors
 from . import context
 from .queries_text import EDGES, KIND, toks
@@ -188,3 +188,12 @@ def rank_files_embedded(spark, sf):
     files, tasks = files_of(spark, sf), view(spark, sf, "v_tasks")
     emb = embedded_scores(spark, sf, files, tasks)
     return ranking.rank_files(tasks, files, emb).select(*_columns())
+
+
+@query("b18_reason", f"""
+WITH r AS (SELECT path, task_id, score, list_sort({toks('path')}) AS ov FROM v_emb)
+SELECT path, task_id, CASE WHEN score >= 0.3 THEN printf('Semantic similarity %.2f', score) || '; tokens: ' || array_to_string(ov[:3], ', ')
+  ELSE 'Matches task tokens: ' || array_to_string(ov[:3], ', ') END AS reason FROM r""")
+def reason(spark, sf):
+    overlap = F.array_sort(T.token_set("path"))
+    return view(spark, sf, "v_emb").select("path", "task_id", T.reason(overlap, "score", F.lit(K.DEFAULT_THRESHOLD), "none").alias("reason"))
