@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(df: DataFrame, **columns: Column) -> DataFrame:
-    """The whole input row as one struct ``row`` beside the operator's own columns, so that no input name can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
+def packed(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """The input row (or its columns ``keep``) as one struct ``row`` beside the operator's own columns: no input name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
 
 
 def unpacked(like: DataFrame) -> list[Column]:
