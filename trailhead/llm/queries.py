@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, topk, url_rules
+from . import bpe, mixing, quality, topk, url_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_line_labels")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, field, keep=["doc_id"]).select("row.doc_id", "*").drop("row")
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
