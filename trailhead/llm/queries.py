@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, mixing, quality, topk, url_rules
+from . import bpe, line_dedup, mixing, quality, topk, url_rules, weighted_minhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.dedup(docs)
     return done.select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_weighted_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weighted_minhash.classes(docs).select(F.col("doc").alias("doc_id"), "class_id", "n_links", F.col("first").alias("kept"))
