@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, mixing, pii, quality, suffix_dedup, topk, url_rules, weighted_minhash
+from . import bpe, line_dedup, mixing, pii, quality, substrings, suffix_dedup, topk, url_rules, weighted_minhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["hi"] - r["lo"])
     return done.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_substrings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.dedup(docs, window=13, columns=["doc_id"])
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["hi"] - r["lo"])
+    return done.select("row.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

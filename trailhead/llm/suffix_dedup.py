@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import maybe_in, packed
-from .passages import Scheme, collapsed, fetched, in_groups, occurrences, place
+from .passages import Scheme, collapsed, cut, fetched, in_groups, merged, occurrences, place
 
 BATCH = 1 << 19         # bytes of passages that one suffix array covers, unless one group has more
 LEVELS = (8, 16, 32, 64, 128, 256)
@@ -163,26 +162,6 @@ def repeated(docs: DataFrame, length: int = 200, keep: str = "first", group_byte
     return spans.groupBy("doc", "sig").agg(F.array_sort(F.collect_set("w")).alias("spans"))       # a document's own spans
 
 
-def cut(docs: DataFrame, spans: DataFrame, keep: list[str] | None, doc_id: str, text: str) -> DataFrame:
-    """Every row as ``row`` with ``value`` and ``spans`` (ranges to remove, may overlap; null for none)."""
-    rows = packed(docs, keep, doc=F.col(doc_id), sig=F.xxhash64(text), value=F.col(text))
-    gone = settle(spans.select(F.col("doc").alias("d"), F.col("sig").alias("s"), "spans"), "spans")
-    told = maybe_in(rows, F.col("sig"), gone, F.col("s"))
-    hit = told.where("maybe").join(gone, F.col("doc").eqNullSafe(gone["d"]) & (F.col("sig") == gone["s"]), "left").select("row", "value", "spans")
-    return hit.unionByName(told.where("not maybe").select("row", "value", F.lit(None).cast(gone.schema["spans"].dataType).alias("spans")))
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted ranges joined where they touch."""
-    out: list[list[int]] = []
-    for s in spans or []:
-        if out and s["lo"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s["hi"])
-        else:
-            out.append([s["lo"], s["hi"]])
-    return [(a, b) for a, b in out]
-
-
 def dedup(docs: DataFrame, length: int = 200, keep: str = "first", doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` (of its ``columns``, or all) as ``row`` with ``n_bytes``, ``removed`` (maximal byte ranges) and ``kept`` (remaining bytes)."""
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("sig"), F.col(text).alias("value"))
