@@ -1,6 +1,6 @@
 """Byte-level BPE over whole texts, with a transducer lexicon for frequent words.
 
-A first pass counts words over all documents. The most frequent ones are merged once and compiled, with their ids as outputs,
+A first pass counts words over all documents (cut at single spaces). The most frequent ones are merged once and compiled, with their ids as outputs,
 into a minimal acyclic transducer (``lexicon``) that Spark ships as a file and workers map into memory. A second pass cuts texts
 into words, looks each batch's distinct words up in the transducer and merges those it doesn't hold by the exact rules. So the
 lexicon decides only the speed; the ids are always those of the vocabulary's merges.
@@ -19,25 +19,26 @@ import functools
 import heapq
 import json
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import scratch_root
+from ..session import scratch_root, settle
 from .common import packed
 from .lexicon import Lexicon, build
 
 # The pattern of the vocabulary's pre-tokenizer, with white space spelled out as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+NONE = 1 << 60      # rank of pairs that are never merged
 LONG_WORD = 48      # bytes; longer words are merged with a queue
-FLUSH = 200_000     # distinct words that a task counts before it hands them on
+FLUSH = 400_000     # distinct pieces that a task counts before it hands them on
 
 
 @functools.cache
@@ -52,6 +53,21 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _text(token, ids: list[int]) -> str:
+    """The text of ids; ``token`` gives the bytes of one."""
+    return b"".join(map(token, ids)).decode("utf-8", "replace")
+
+
+_MEMO: dict[str, dict[str, bytes]] = {}
+
+
+def _known(lexicon: str) -> dict[str, bytes]:
+    """What this worker has looked up in a lexicon; a worker serves many tasks. Other lexicons' go."""
+    if lexicon not in _MEMO:
+        _MEMO.clear()
+    return _MEMO.setdefault(lexicon, {})
+
+
 class Vocabulary:
     """Merges and tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -69,48 +85,45 @@ class Vocabulary:
         self.tokens |= {i: t.encode() for t, i in self.added.items()}
         self.bytes = [ids[c] for c, _ in sorted(names.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = list(pairs)
+        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
 
     def merge(self, word: bytes) -> list[int]:
         """The word's ids: the pair of the lowest rank is merged first, until none is left."""
         ids = [self.bytes[b] for b in word]
         if len(ids) > LONG_WORD:
             return self._merge_long(ids)
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min((get(p, (1 << 60, 0, ())) + (p,) for p in zip(ids, ids[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 60:
-                break
-            _, new, (a, b) = best[0], best[1], best[-1]
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get, made = self.ranks.get, self.made
+        ranks = [get(p, NONE) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)       # of equal ranks the first
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NONE)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, queue = self.merges.get, []
+        get, queue = self.ranks.get, []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (m := get((ids[i], ids[j]))):
-                heapq.heappush(queue, (m[0], i, ids[i], ids[j], m[1]))
+            if j < n and (rank := get((ids[i], ids[j]))) is not None:
+                heapq.heappush(queue, (rank, i, ids[i], ids[j]))
 
         for i in range(n):
             offer(i)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            rank, i, a, b = heapq.heappop(queue)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 ahead[after[i]] = i
@@ -123,36 +136,27 @@ class Vocabulary:
 def pieces(text: str) -> list[str]:
     """Cut at single spaces only, or by the pattern where the text has runs with several spaces; joined, they are the text."""
     pattern, runs = _cutter()
-    if runs.search(text):
+    if "\0" in text or runs.search(text):
         return pattern.findall(text)
-    parts = text.split(" ")
-    return [*parts[:1], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+    parts = text.replace(" ", "\0 ").split("\0")
+    return parts if parts[0] else parts[1:]
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): how often each word occurs in all texts. Words of single-space text only begin with their space."""
+def piece_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(piece, n): how often each piece, nearly always a word with its space, occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, _ = _cutter()
-
-        def flush(seen: Counter) -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in seen.items():
-                for w in pattern.findall(piece):
-                    words[w] += n
-            return pa.record_batch({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
-
         seen: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
                 if value.is_valid:
                     seen.update(pieces(value.as_py()))
                     if len(seen) > FLUSH:
-                        yield flush(seen)
+                        yield pa.record_batch({"piece": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
                         seen = Counter()
-        yield flush(seen)
+        yield pa.record_batch({"piece": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
-    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def ship_lexicon(spark: SparkSession, data: bytes) -> str:
@@ -171,19 +175,28 @@ def ship_lexicon(spark: SparkSession, data: bytes) -> str:
 
 
 def make_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 100_000, longest: int = 64) -> bytes:
-    """Transducer of the ``size`` most frequent words of at most ``longest`` bytes; both bound what the driver holds."""
-    top = (word_counts(docs, text).where(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas())
-    words = sorted(w.encode() for w in top["word"])
+    """Transducer of the words in the most frequent pieces, at most ``size`` of at most ``longest`` bytes: a bound on what the driver holds.
+
+    The number that a piece must occur is read off the counts' histogram, so that no task or driver sorts pieces.
+    """
+    counts = settle(piece_counts(docs, text).where((F.octet_length("piece") <= longest) & (F.col("n") > 1)), "pieces")
+    upto = W.orderBy(F.desc("n"))      # one row for each number that occurs
+    fits = counts.groupBy("n").agg(F.count("*").alias("m")).withColumn("all", F.sum("m").over(upto)).where(F.col("all") <= size)
+    least = fits.agg(F.min("n")).first()[0]
+    top = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("piece").toPandas()
+    pattern, _ = _cutter()
+    words = sorted({w.encode() for piece in top["piece"] for w in pattern.findall(piece)})
     return build((w, tuple(vocabulary.merge(w))) for w in words)
 
 
 def encode(
     docs: DataFrame, vocab_path: str, text: str = "text", keep: list[str] | None = None, lexicon_words: int = 100_000,
-    memo: int = 400_000,
+    memo: int = 900_000, decoded: str | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` (of its columns ``keep``, or all) as struct ``row`` with its text's ``ids``.
 
-    ``memo`` is the number of words whose ids a task keeps at hand.
+    ``memo`` is the number of pieces whose ids a worker keeps at hand. With ``decoded`` the ids' text comes along in a column of that
+    name, decoded in the same task.
     """
     spark = docs.sparkSession
     vocabulary = Vocabulary(vocab_path)
@@ -193,45 +206,47 @@ def encode(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lexicon, (pattern, _) = sent.value, Lexicon(SparkFiles.get(name)), _cutter()
         added = regex.compile("|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True)))) if vocab.added else None
-        known: dict[str, tuple[int, ...]] = {}
+        known = _known(name)      # ids of a piece as packed 32-bit numbers
+        token = vocab.tokens.__getitem__
 
-        def ids_of(piece: str) -> tuple[int, ...]:
+        def ids_of(piece: str) -> bytes:
             ids: list[int] = []
             for word in pattern.findall(piece):
                 raw = word.encode()
                 found = lexicon.get(raw)
                 ids += vocab.merge(raw) if found is None else found
-            return tuple(ids)
+            return array("i", ids).tobytes()
 
-        def text_ids(value: str) -> Iterator[int]:
+        def text_ids(value: str) -> bytes:
             cut = pieces(value)
             for piece in set(cut).difference(known):
                 known[piece] = ids_of(piece)
-            return chain.from_iterable(map(known.__getitem__, cut))
+            return b"".join(map(known.__getitem__, cut))
 
         for batch in batches:
             flat, ends = [], [0]
             for value in batch.column("value"):
                 s = value.as_py() or ""
                 if added and added.search(s):
-                    ids, at = [], 0
+                    at, parts = 0, []
                     for m in added.finditer(s):
-                        ids += [*text_ids(s[at:m.start()]), vocab.added[m[0]]]
+                        parts += [text_ids(s[at:m.start()]), array("i", [vocab.added[m[0]]]).tobytes()]
                         at = m.end()
-                    ids += text_ids(s[at:])
+                    ids = b"".join([*parts, text_ids(s[at:])])
                 else:
                     ids = text_ids(s)
-                array = np.fromiter(ids, np.int32)
-                flat.append(array)
-                ends.append(ends[-1] + len(array))
+                flat.append(ids)
+                ends.append(ends[-1] + len(ids) // 4)
                 if len(known) > memo:
                     known.clear()
-            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-            ids_col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), ids_col], ["row", "ids"])
+            values = pa.array(np.frombuffer(b"".join(flat), np.int32))
+            columns = {"row": batch.column("row"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            if decoded:
+                columns[decoded] = pa.array([_text(token, np.frombuffer(ids, np.int32).tolist()) for ids in flat], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     given = packed(docs, keep, value=F.col(text))
-    return given.mapInArrow(task, f"row {given.schema['row'].dataType.simpleString()}, ids array<int>")
+    return given.mapInArrow(task, f"row {given.schema['row'].dataType.simpleString()}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -242,6 +257,6 @@ def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids", out: str = "de
     @F.pandas_udf("string")
     def text_of(lists):
         token = sent.value.__getitem__
-        return lists.map(lambda x: "" if x is None else b"".join(map(token, x.tolist())).decode("utf-8", "replace"))
+        return lists.map(lambda x: "" if x is None else _text(token, x.tolist()))
 
     return encoded.withColumn(out, text_of(F.col(ids)))

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
+BYTES = [bytes([i]) for i in range(256)]
 HEADER = 5      # numbers of states, arcs, outputs; start state; length of labels
 
 
@@ -112,16 +113,20 @@ class Lexicon:
 
     def get(self, word: bytes) -> list[int] | None:
         """The word's ids, or None where it isn't in the lexicon."""
-        state, ids, at = self.start, [], self.labels_at
-        first, find = self.first, self.memory.find
+        state, at, first, target, find = self.start, self.labels_at, self.first, self.target, self.memory.find
+        arcs = []
         for c in word:
-            arc = find(c.to_bytes(), at + first[state], at + first[state + 1]) - at
+            arc = find(BYTES[c], at + first[state], at + first[state + 1]) - at
             if arc < 0:
                 return None
-            if self.out_at[arc] != self.out_at[arc + 1]:
-                ids += self.outs[self.out_at[arc]:self.out_at[arc + 1]]
-            state = self.target[arc]
+            arcs.append(arc)
+            state = target[arc]
         if not self.final[state]:
             return None
+        ids, out_at = [], self.out_at
+        for arc in arcs:
+            a, b = out_at[arc], out_at[arc + 1]
+            if a != b:
+                ids += self.outs[a:b]
         ids += self.tails[self.tails_at[state]:self.tails_at[state + 1]]
         return ids
