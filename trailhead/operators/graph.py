@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
-import re
+import posixpath
+import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths, text as T
+from ..session import settle
 from .skew import top_k, union_all
 
 
@@ -30,58 +32,55 @@ def module_map(files: DataFrame) -> DataFrame:
 
 # ---- extraction -------------------------------------------------------------------------------------------------------
 
-_FROM_LINE = re.compile(r"[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(.*)")
-_IMPORT_LINE = re.compile(r"[ \t]*import[ \t]+([.\w][.\w,\t ]*)")
+def _resolved(level: int, dotted: str, folder: str) -> str:
+    """Module name of a relative import: ``level`` dots seen from a file in ``folder``. The root is as high as it goes."""
+    if not level:
+        return dotted
+    climbed = posixpath.normpath("/".join(["", folder, *[".."] * (level - 1), *dotted.split(".")]))
+    return climbed.strip("/").replace("/", ".")
 
 
-def _absolute(dotted: str, package: list[str]) -> str:
-    """Module name without leading dots; each dot after the first climbs one package."""
-    name = dotted.lstrip(".")
-    dots = len(dotted) - len(name)
-    if not dots:
-        return name
-    base = package[: max(0, len(package) - dots + 1)]
-    return ".".join(base + [s for s in name.split(".") if s])
-
-
-def _join(package: str, name: str) -> str:
-    return package + name if package.endswith(".") else f"{package}.{name}"
-
-
-def _from_tree(tree: ast.AST) -> Iterator[tuple[str, bool]]:
+def _from_tree(tree: ast.AST) -> Iterator[tuple[int, str]]:
+    """(level, module) of all that is imported: modules, and names that may be modules."""
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            yield from ((a.name, False) for a in node.names)
+            yield from ((0, alias.name) for alias in node.names)
         elif isinstance(node, ast.ImportFrom):
-            source = "." * node.level + (node.module or "")
-            yield source, True
-            yield from ((_join(source, a.name), True) for a in node.names if a.name != "*")
-
-
-def _from_text(text: str) -> Iterator[tuple[str, bool]]:
-    """Imports of text that does not parse, line by line; an open bracket or backslash runs on to further lines."""
-    rows = text.split("\n")
-    for i, row in enumerate(rows):
-        plain = _IMPORT_LINE.match(row)
-        if plain:
-            yield from ((item.split()[0], False) for item in plain.group(1).split(",") if item.strip())
-        start = _FROM_LINE.match(row)
-        if not start:
+            names = [None, *[a.name for a in node.names if a.name != "*"]]
+            yield from ((node.level, ".".join(filter(None, (node.module, name)))) for name in names)
+
+
+def _import_tokens(text: str) -> Iterator[list[str]]:
+    """Tokens of each import statement of text that does not parse; brackets and backslashes are the tokenizer's business."""
+    lines = text.splitlines(keepends=True)
+    for i, line in enumerate(lines):
+        if line.split(None, 1)[:1] not in (["import"], ["from"]):
+            continue
+        found: list[str] = []
+        try:
+            for token in tokenize.generate_tokens(iter([line.lstrip(), *lines[i + 1:]]).__next__):
+                if token.type in (tokenize.NEWLINE, tokenize.ENDMARKER):
+                    break
+                if token.type in (tokenize.NAME, tokenize.OP):
+                    found.append(token.string)
+        except (tokenize.TokenError, SyntaxError):
+            pass        # an open bracket: what came before it broke still counts
+        yield found
+
+
+def _from_text(text: str) -> Iterator[tuple[int, str]]:
+    for head, *rest in _import_tokens(text):
+        where = rest.index("import") if head == "from" and "import" in rest else 0
+        if head == "from" and not where:
             continue
-        source, clause = start.groups()
-        yield source, True
-        depth = clause.count("(") - clause.count(")")
-        names = [clause]
-        for more in rows[i + 1 : i + 1 + K.MAX_CONTINUATION_LINES]:
-            if depth <= 0 and not names[-1].rstrip().endswith("\\"):
-                break
-            names.append(more)
-            depth += more.count("(") - more.count(")")
-        listed = " ".join(n.split("#", 1)[0] for n in names)
-        for item in re.sub(r"[()\\]", " ", listed).split(","):
-            word = item.split()
-            if word and word[0].isidentifier():
-                yield _join(source, word[0]), True
+        listed = " ".join(t for t in rest[where + (head == "from"):] if t not in "()").split(",")
+        items = ["".join(item.split(" as ")[0].split()) for item in listed] if head == "import" else [(item.split() or [""])[0] for item in listed]
+        source = "".join(rest[:where])
+        module = source.lstrip(".")
+        level = len(source) - len(module)
+        if head == "from":
+            yield level, module
+        yield from ((level, ".".join(filter(None, (module, item)))) for item in items if item.replace(".", "_").isidentifier())
 
 
 def _candidates(path: str, text: str) -> set[str]:
@@ -89,8 +88,8 @@ def _candidates(path: str, text: str) -> set[str]:
         found = list(_from_tree(ast.parse(text)))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         found = list(_from_text(text))
-    package = path[: -len(".py")].split("/")[:-1]   # the directory: a module's package, or the package itself
-    return {_absolute(name, package) if relative else name for name, relative in found} - {""}
+    folder = posixpath.dirname(path)     # a module's package, or the package itself
+    return {_resolved(level, name, folder) for level, name in found} - {""}
 
 
 def python_imports(files: DataFrame) -> DataFrame:
@@ -190,18 +189,18 @@ def expand_neighbors(edges: DataFrame, seeds: DataFrame, k: int = 8) -> DataFram
     return top_k(fresh, ["task_id"], [F.col("score").desc(), "path"], k)
 
 
-def _capped(pairs: DataFrame, value: str, name: str, cap: int) -> DataFrame:
-    """First ``cap`` distinct values per changed node, sorted; never more than that reaches one task."""
-    kept = top_k(pairs, ["repo", "changed"], [F.col(value)], cap, "_n")
+def _capped(pairs: DataFrame, value: str, name: str, cap: int | None) -> DataFrame:
+    """Distinct values per changed node, sorted: all, or the first ``cap``, never more than which reach one task."""
+    kept = pairs if cap is None else top_k(pairs, ["repo", "changed"], [F.col(value)], cap, "_n")
     return kept.groupBy("repo", "changed").agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def impact_pairs(edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct direct callers, callers of those, and imports of each changed node."""
-    e = edges.select("repo", "src", "dst").distinct()
+    e = settle(edges.select("repo", "src", "dst").distinct(), "edges")        # read for both hops and for imports
     start = changed.select("repo", F.col("path").alias("changed")).distinct()
-    direct = start.join(e, (e.repo == start.repo) & (e.dst == start.changed)).select(
-        start.repo, "changed", F.col("src").alias("caller"))
+    direct = settle(start.join(e, (e.repo == start.repo) & (e.dst == start.changed)).select(
+        start.repo, "changed", F.col("src").alias("caller")), "callers")
     second = (
         direct.join(e.withColumnRenamed("dst", "caller"), ["repo", "caller"]).select("repo", "changed", F.col("src").alias("caller"))
         .where("caller <> changed").distinct()
@@ -212,8 +211,11 @@ def impact_pairs(edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataF
     return direct, second, imports
 
 
-def impact(edges: DataFrame, changed: DataFrame, files: DataFrame | None = None, cap: int = 25) -> DataFrame:
-    """Per changed node: direct and indirect callers and imports, each sorted and cut at ``cap``."""
+def impact(edges: DataFrame, changed: DataFrame, files: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """Per changed node: direct and indirect callers and imports, each sorted and, with ``cap``, cut there.
+
+    Where hubs make whole lists too long for a row, read :func:`impact_pairs`, which has a row for each pair.
+    """
     direct, second, imports = impact_pairs(edges, changed)
     out = changed.select("repo", F.col("path").alias("changed")).distinct()
     for pairs, value, name in ((direct, "caller", "direct_callers"), (second, "caller", "indirect_callers"),
