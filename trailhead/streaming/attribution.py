@@ -11,41 +11,48 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _OUT = "repo string, path string, seq long, event_time timestamp, action string, bundle_id string"
 
 
-class _LatestBundle(StatefulProcessor):
-    """State of one (repo, path, block): the newest bundle seen. An event-time timer drops it once it is too old."""
+class _Bundles(StatefulProcessor):
+    """State of one (repo, path, block): the bundles seen, at most ``2 * max_events`` log rows apart and so as many.
+
+    A use takes the newest bundle before it, also when it comes late and newer ones are known. An event-time timer drops bundles
+    that are too old for any use.
+    """
 
     def __init__(self, window_seconds: int, max_events: int):
         self.window, self.max_events = pd.Timedelta(seconds=window_seconds), max_events
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bundle = handle.getValueState("bundle", "seq long, event_us long, bundle_id string")
+        self.bundles = handle.getMapState("bundles", "seq long", "event_us long, bundle_id string")
+
+    def _held(self) -> dict[int, tuple[int, str]]:
+        return {k[0]: (v[0], v[1]) for k, v in self.bundles.iterator()} if self.bundles.exists() else {}
+
+    def _due_ms(self, event_us: int) -> int:
+        return event_us // 1000 + int(self.window.total_seconds() * 1000) + 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        held = self.bundle.get() if self.bundle.exists() else None
-        start, found = held, []
-        for r in pdf.itertuples(index=False):
-            if r.is_bundle:
-                held = (int(r.seq), r.event_time.value // 1000, r.bundle_id)
-                continue
-            match = None
-            if held is not None and r.seq - held[0] <= self.max_events:
-                cutoff = (r.event_time - self.window).floor("s")
-                if pd.Timestamp(held[1], unit="us").floor("s") >= cutoff:
-                    match = held[2]
-            found.append((key[0], key[1], r.seq, r.event_time, r.action, match))
-        if held is not None and held != start:
-            self.bundle.update(held)
-            self.handle.registerTimer(held[1] // 1000 + int(self.window.total_seconds() * 1000) + 1000)
+        pdf = pd.concat(list(rows))
+        held = self._held()
+        for r in pdf[pdf["is_bundle"]].itertuples(index=False):
+            held[int(r.seq)] = (r.event_time.value // 1000, r.bundle_id)
+            self.bundles.updateValue((int(r.seq),), held[int(r.seq)])
+            self.handle.registerTimer(self._due_ms(held[int(r.seq)][0]))
+        newest_first = sorted(held, reverse=True)
+        found = []
+        for r in pdf[~pdf["is_bundle"]].sort_values("seq").itertuples(index=False):
+            cutoff = (r.event_time - self.window).floor("s")
+            fitting = (s for s in newest_first if 0 < r.seq - s <= self.max_events and pd.Timestamp(held[s][0], unit="us").floor("s") >= cutoff)
+            match = next(fitting, None)
+            found.append((key[0], key[1], r.seq, r.event_time, r.action, None if match is None else held[match][1]))
         if found:
             yield pd.DataFrame(found, columns=["repo", "path", "seq", "event_time", "action", "bundle_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.bundle.get() if self.bundle.exists() else None
-        limit = timerValues.getCurrentWatermarkInMs() - int(self.window.total_seconds() * 1000)
-        if held is not None and held[1] // 1000 < limit:
-            self.bundle.clear()
+        limit = timerValues.getCurrentWatermarkInMs()
+        for seq, (event_us, _) in self._held().items():
+            if self._due_ms(event_us) <= limit:
+                self.bundles.removeKey((seq,))
         return iter(())
 
     def close(self) -> None:
@@ -66,5 +73,5 @@ def attribute_stream(uses: DataFrame, ranked: DataFrame, window_seconds: int = 1
                             F.explode(F.array(block, block + 1)).alias("block"))
     log = used.unionByName(offered).withWatermark("event_time", f"{window_seconds} seconds")
     return log.groupBy("repo", "path", "block").transformWithStateInPandas(
-        statefulProcessor=_LatestBundle(window_seconds, max_events), outputStructType=_OUT, outputMode="Append",
+        statefulProcessor=_Bundles(window_seconds, max_events), outputStructType=_OUT, outputMode="Append",
         timeMode="EventTime")

@@ -12,42 +12,48 @@ _OUT = "repo string, path string, queued_at timestamp, trigger string"
 
 
 class _Pending(StatefulProcessor):
-    """State of one repo: pending path -> latest queue time. Never holds more than ``n`` paths."""
+    """State of one repo: pending path -> latest and first queue time. Never holds more than ``n`` paths.
+
+    A path is released with its latest time, but waits since its first: queueing it again doesn't put it off.
+    """
 
     def __init__(self, n: int, max_age: int):
         self.n, self.max_age_ms = n, max_age * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "path string", "queued_us long")
+        self.pending = handle.getMapState("pending", "path string", "queued_us long, first_us long")
 
-    def _release(self, repo: str, pending: dict[str, int], trigger: str) -> pd.DataFrame:
-        rows = sorted(pending.items(), key=lambda kv: (kv[1], kv[0]))
-        return pd.DataFrame([(repo, p, pd.Timestamp(us, unit="us"), trigger) for p, us in rows],
+    def _due_ms(self, pending: dict[str, tuple[int, int]]) -> int:
+        return min(first for _, first in pending.values()) // 1000 + self.max_age_ms
+
+    def _release(self, repo: str, pending: dict[str, tuple[int, int]], trigger: str) -> pd.DataFrame:
+        rows = sorted(pending.items(), key=lambda kv: (kv[1][0], kv[0]))
+        return pd.DataFrame([(repo, p, pd.Timestamp(us, unit="us"), trigger) for p, (us, _) in rows],
                             columns=["repo", "path", "queued_at", "trigger"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending = {k[0]: v[0] for k, v in self.pending.iterator()} if self.pending.exists() else {}
+        pending = {k[0]: tuple(v) for k, v in self.pending.iterator()} if self.pending.exists() else {}
         for r in pd.concat(list(rows)).sort_values("queued_at").itertuples(index=False):
             at = r.queued_at.value // 1000
-            pending[r.path] = max(at, pending.get(r.path, at))
+            latest, first = pending.get(r.path, (at, at))
+            pending[r.path] = max(at, latest), min(at, first)
             if len(pending) >= self.n:
                 yield self._release(key[0], pending, "count")
                 pending = {}
         now = timerValues.getCurrentProcessingTimeInMs()
-        if pending and now - min(pending.values()) // 1000 >= self.max_age_ms:
+        if pending and now >= self._due_ms(pending):
             yield self._release(key[0], pending, "age")
             pending = {}
         self.pending.clear()
-        for path, at in pending.items():
-            self.pending.updateValue((path,), (at,))
+        for path, times in pending.items():
+            self.pending.updateValue((path,), times)
         if pending:
-            self.handle.registerTimer(min(pending.values()) // 1000 + self.max_age_ms)
+            self.handle.registerTimer(self._due_ms(pending))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pending = {k[0]: v[0] for k, v in self.pending.iterator()} if self.pending.exists() else {}
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if pending and now - min(pending.values()) // 1000 >= self.max_age_ms:
+        pending = {k[0]: tuple(v) for k, v in self.pending.iterator()} if self.pending.exists() else {}
+        if pending and timerValues.getCurrentProcessingTimeInMs() >= self._due_ms(pending):
             self.pending.clear()
             yield self._release(key[0], pending, "age")
 
