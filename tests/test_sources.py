@@ -16,7 +16,7 @@ def test_read_files(spark, tmp_path):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(body)
-    got = {(r.repo, r.path): r for r in SF.read_files(spark, str(root)).collect()}
+    got = {(r.repo, r.path): r for r in SF.read_files(spark, str(root), 16_000).collect()}
     assert set(got) == {("r1", "src/a.py"), ("r1", "bad.md"), ("r2", "big.py")}
     assert got["r1", "bad.md"].content == "oktext" and got["r1", "bad.md"].kind == "doc"
     big = got["r2", "big.py"]

@@ -9,7 +9,7 @@ from .text import as_col
 
 def glob_regex(glob: Column | str) -> Column:
     out = as_col(glob)
-    out = F.regexp_replace(out, r"([\\.^$+{}()|])", r"\\$1")
+    out = F.regexp_replace(out, r"([\\.^$+{}()|&])", r"\\$1")    # && in brackets would be an intersection
     out = F.regexp_replace(out, r"\[(?![!^]?\]?[^\]]*\])", r"\\[")   # an unclosed bracket is a plain character
     out = F.regexp_replace(out, r"(?<!\\)\[!", "[^")
     out = F.regexp_replace(out, r"\*(?![^\[]*\])", ".*")

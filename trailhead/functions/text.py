@@ -83,9 +83,10 @@ def _header(path: Column, kind: Column, extra: list[Column], body: Column) -> Co
     )
 
 
-def enriched_text(path, kind, content, max_chars: int = K.EMBED_CONTENT_CHARS) -> Column:
-    """Text handed to the embedder for a whole file."""
-    return _header(as_col(path), as_col(kind), [], F.coalesce(F.left(as_col(content), F.lit(max_chars)), F.lit("")))
+def enriched_text(path, kind, content, max_chars: int | None = None) -> Column:
+    """Text handed to the embedder for a whole file, cut only where ``max_chars`` is given."""
+    body = as_col(content) if max_chars is None else F.left(as_col(content), F.lit(max_chars))
+    return _header(as_col(path), as_col(kind), [], F.coalesce(body, F.lit("")))
 
 
 def enriched_chunk_text(path, kind, text, symbol, start_line, end_line) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, globs, paths, text as T
-from .skew import salted_join, top_k, union_all
+from .skew import numbered, salted_join, top_k, union_all
 
 _NO_STRINGS = "array<string>"
 _AUTH = ["repo", "id", "type", "path", "title", "summary", "text", "authority_level", "tags", "related_ids",
@@ -144,7 +144,7 @@ def authority_records(files: DataFrame) -> DataFrame:
     whole = typed.select(
         "repo", F.concat("_a.type", F.lit(":"), "path").alias("id"), F.col("_a.type").alias("type"), "path",
         title.alias("title"), F.coalesce(F.left(plain, F.lit(240)), name).alias("summary"),
-        F.left("content", F.lit(K.EMBED_CONTENT_CHARS)).alias("text"), F.col("_a.level").alias("authority_level"),
+        F.col("content").alias("text"), F.col("_a.level").alias("authority_level"),
         _strings(F.col("_a.type")).alias("tags"), _strings().alias("related_ids"),
         F.when(ruled, _listed(front_matter("content"), "applies_to")).otherwise(_strings()).alias("applies_to_paths"),
         F.struct(F.lit(0).alias("stage"), F.col("path").alias("path"), F.lit(0).alias("line")).alias("ord"),
@@ -173,7 +173,7 @@ def constraints(auth: DataFrame) -> DataFrame:
     hard = F.when(F.col("authority_level") == 1, "hard").otherwise("guided")
     inline = auth.where(F.array_contains("tags", "inline")).select(
         *carried, "repo", F.col("id").alias("source_record_id"),
-        F.coalesce(F.nullif("summary", F.lit("")), F.nullif("text", F.lit("")), F.col("title")).alias("statement"),
+        F.coalesce(F.nullif("text", F.lit("")), F.nullif("summary", F.lit("")), F.col("title")).alias("statement"),
         F.lit("path").alias("scope"), "applies_to_paths", hard.alias("severity"),
         F.filter("related_ids", lambda r: r.startswith("test:")).alias("validation_refs"), "ord", F.lit(0).alias("item"),
     )
@@ -448,8 +448,8 @@ def subsystems(files: DataFrame, min_files: int = 3, samples: int = 5) -> DataFr
     return sizes.join(shown, ["repo", "name"])
 
 
-def contract_candidates(files: DataFrame, cap: int = 25) -> DataFrame:
-    """Code and config files that look like contracts, with the signals seen; the first ``cap`` per repo, code first."""
+def contract_candidates(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """Code and config files that look like contracts, with the signals seen, code first; all of them, or the first ``cap`` per repo."""
     low = F.lower(paths.name("path"))
     hint = F.lit(False)
     for word in K.SCHEMA_NAME_HINTS:
@@ -460,7 +460,9 @@ def contract_candidates(files: DataFrame, cap: int = 25) -> DataFrame:
     ))
     seen = files.where(F.col("kind").isin("code", "config")).select("repo", "path", "kind", signals.alias("signals"))
     order = [F.when(F.col("kind") == "code", 0).otherwise(1), "path"]
-    return top_k(seen.where(F.size("signals") > 0), ["repo"], order, cap).select("repo", "path", "signals", "rank")
+    ranked = numbered(seen.where(F.size("signals") > 0), ["repo"], order) if cap is None else top_k(
+        seen.where(F.size("signals") > 0), ["repo"], order, cap)
+    return ranked.select("repo", "path", "signals", "rank")
 
 
 def existing_authority(files: DataFrame) -> DataFrame:

@@ -78,6 +78,20 @@ def dense_offsets(df: DataFrame, name: str = "seq") -> DataFrame:
     return numbered.join(base, "_part").withColumn(name, F.col("_base") + F.col("_pos")).drop("_part", "_pos", "_base", "_n")
 
 
+def log_offsets(df: DataFrame, name: str = "seq") -> DataFrame:
+    """Number the lines of text files 0, 1, 2, … in the order of file names and of lines in a file.
+
+    ``df`` is (value, file, block): file and block start of each line. Splits may be read in any order; inside one the reading order is
+    the file's. The table of splits gives each its offset.
+    """
+    lines = df.withColumn("_at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)   # one row per split
+    base = splits.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return lines.join(base, ["file", "block"]).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first")).drop(
+        "file", "block", "_at", "_first", "_base")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -87,6 +101,11 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, rank: str = "rank") -> DataFrame:
+    """All rows of a key, numbered in order."""
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows, reading no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -11,10 +11,11 @@ _SUMMARY = "struct<p50:bigint,p95:bigint,max:bigint,n:bigint>"
 
 
 def filter_events(df: DataFrame, now: Column | None = None, days: int | None = 30, repo_hash: str | None = None) -> DataFrame:
-    """Last ``days`` before ``now`` and one repo; rows without a time drop out only when a window is set."""
+    """Last ``days`` before ``now`` and one repo; rows without a time, or with one that can't be read, drop out only when a window is set."""
     if days is not None:
         now = F.current_timestamp() if now is None else now
-        df = df.where(F.col("event_time") >= now - F.expr(f"interval {days} days"))
+        time = F.try_to_timestamp("event_time") if dict(df.dtypes)["event_time"] == "string" else F.col("event_time")
+        df = df.where(time >= now - F.expr(f"interval {days} days"))
     return df if repo_hash is None else df.where(F.col("repo_hash") == repo_hash)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K, paths, text as T
-from .skew import fits, top_k, union_all
+from .skew import numbered, fits, top_k, union_all
 
 SCORE_DIGITS = 6               # vectors are single precision: further digits are noise
 MAX_BROADCAST_QUERIES = 4096   # a block of queries: 16 MB of doubles at 512 dimensions
@@ -266,9 +266,14 @@ def replace_files(chunks: DataFrame, files: DataFrame, provider=None) -> DataFra
     return kept.unionByName(fresh.select(*[c for c in kept.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
-def overlay(base: DataFrame, delta_chunks: DataFrame, changed: DataFrame, deleted: DataFrame, cap: int = 300) -> DataFrame:
-    """Base without the changed and deleted files, plus the changed files' chunks; a repo over ``cap`` files keeps its base."""
+def overlay(base: DataFrame, delta_chunks: DataFrame, changed: DataFrame, deleted: DataFrame, cap: int | None = None) -> DataFrame:
+    """Base without the changed and deleted files, plus the changed files' chunks.
+
+    With ``cap`` a repo with more touched files keeps its base, to be rebuilt instead.
+    """
     touched = union_all([changed.select("repo", "path"), deleted.select("repo", "path")]).distinct()
+    if cap is None:
+        return base.join(touched, ["repo", "path"], "left_anti").unionByName(delta_chunks, allowMissingColumns=True)
     allowed = touched.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("repo")
     drop = touched.join(allowed, "repo", "left_semi")
     fresh = delta_chunks.join(allowed, "repo", "left_semi")
@@ -286,23 +291,24 @@ def classify_delta(candidates: DataFrame, files: DataFrame) -> DataFrame:
 # ---- branches --------------------------------------------------------------------------------------------------------
 
 
-def advisory_branches(branches: DataFrame, base: str = "main", max_age_days: int = 30, k: int = 25) -> DataFrame:
-    """Open branches worth indexing per repo: recent, ahead, not merged, one per commit, newest ``k``."""
+def advisory_branches(branches: DataFrame, base: str = "main", max_age_days: int = 30, k: int | None = None) -> DataFrame:
+    """Open branches worth indexing per repo, newest first: recent, ahead, not merged, one per commit; all, or the first ``k``."""
     open_ones = branches.where(
         (F.col("branch") != base) & ~F.col("branch").endswith("/HEAD") & ~F.col("merged")
         & (F.col("age_days") <= max_age_days) & (F.col("commits_ahead") > 0)
     )
     single = top_k(open_ones, ["repo", "sha"], ["seq"], 1, "_n").drop("_n")
-    return top_k(single, ["repo"], ["age_days", "seq"], k)
+    order = ["age_days", "seq"]
+    return numbered(single, ["repo"], order) if k is None else top_k(single, ["repo"], order, k)
 
 
-def advisory_chunks(chunks: DataFrame, branches: DataFrame, max_files: int = 60) -> DataFrame:
-    """Chunks of the first ``max_files`` changed files per branch, tagged with where they come from.
+def advisory_chunks(chunks: DataFrame, branches: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Chunks of the changed files per branch (with ``max_files``, the first in path order), tagged with where they come from.
 
     ``chunks`` carries (repo, branch, path, …); ``branches`` comes from :func:`advisory_branches`.
     """
     supported = chunks.select("repo", "branch", "path").distinct().where(paths.is_supported("path"))
-    kept = top_k(supported, ["repo", "branch"], ["path"], max_files, "_n").drop("_n")
+    kept = supported if max_files is None else top_k(supported, ["repo", "branch"], ["path"], max_files, "_n").drop("_n")
     facts = branches.select("repo", "branch", "commits_ahead", "age_days")
     tags = F.create_map(
         F.lit("branch"), F.col("branch"), F.lit("commits_ahead"), F.col("commits_ahead").cast("string"),

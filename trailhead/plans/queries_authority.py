@@ -248,7 +248,7 @@ SELECT path, 'filename_hint' AS signals, row_number() OVER (ORDER BY path) AS ra
 def contract_candidates(spark, sf):
     # The prose holds no interface code; model files are named for what they are.
     models = files_of(spark, sf).where("path like '%/models/%'").withColumn("path", F.replace("path", F.lit("/m"), F.lit("/models_")))
-    return A.contract_candidates(models.withColumn("content", F.lower("content"))).select(
+    return A.contract_candidates(models.withColumn("content", F.lower("content")), cap=25).select(
         "path", F.array_join("signals", ",").alias("signals"), "rank")
 
 

@@ -26,7 +26,7 @@ def toks(text: str) -> str:
 
 @query("a1_cut_content", "SELECT path, length(left(content, 16000)) AS kept_chars FROM v_files")
 def cut_content(spark, sf):
-    cut = SF.cut_content(view(spark, sf, "v_files"))
+    cut = SF.cut_content(view(spark, sf, "v_files"), 16_000)
     return cut.select("path", F.length("content").cast("long").alias("kept_chars"))
 
 
@@ -175,6 +175,13 @@ def content_hash(spark, sf):
 SELECT path, 'file: ' || path || chr(10) || 'kind: ' || {KIND} || chr(10) || 'module: ' || {MODULE} || chr(10) || chr(10)
   || left(content, 8000) AS enriched FROM v_files""")
 def enriched_text(spark, sf):
+    return files_of(spark, sf).select("path", T.enriched_text("path", "kind", "content", 8000).alias("enriched"))
+
+
+@query("b9_enriched_text_whole", f"""
+SELECT path, 'file: ' || path || chr(10) || 'kind: ' || {KIND} || chr(10) || 'module: ' || {MODULE} || chr(10) || chr(10)
+  || content AS enriched FROM v_files""")
+def enriched_text_whole(spark, sf):
     return files_of(spark, sf).select("path", T.enriched_text("path", "kind", "content").alias("enriched"))
 
 
@@ -388,10 +395,21 @@ SELECT changed, coalesce((SELECT array_to_string(list_sort(list(src))[:25], ',')
   coalesce((SELECT array_to_string(list_sort(list(src))[:25], ',') FROM i WHERE i.changed = s.changed), '') AS indirect_callers,
   coalesce((SELECT array_to_string(list_sort(list(dst))[:25], ',') FROM m WHERE m.changed = s.changed), '') AS imports FROM s""")
 def impact(spark, sf):
-    out = graph.impact(view(spark, sf, "v_edges"), _changed_nodes(spark, sf))
+    out = graph.impact(view(spark, sf, "v_edges"), _changed_nodes(spark, sf), cap=25)
     return out.select("changed", *[F.array_join(c, ",").alias(c) for c in ("direct_callers", "indirect_callers", "imports")])
 
 
+@query("c6_impact_all", """
+WITH e AS (SELECT DISTINCT src, dst FROM v_edges), s AS (SELECT DISTINCT dst AS changed FROM e WHERE dst NOT LIKE 'c%'),
+d AS (SELECT changed, src FROM s JOIN e ON dst = changed),
+i AS (SELECT DISTINCT d.changed, e.src FROM d JOIN e ON e.dst = d.src WHERE e.src <> d.changed AND (d.changed, e.src) NOT IN (SELECT changed, src FROM d))
+SELECT changed, coalesce((SELECT array_to_string(list_sort(list(src)), ',') FROM d WHERE d.changed = s.changed), '') AS direct_callers,
+  coalesce((SELECT array_to_string(list_sort(list(src)), ',') FROM i WHERE i.changed = s.changed), '') AS indirect_callers FROM s""")
+def impact_all(spark, sf):
+    out = graph.impact(view(spark, sf, "v_edges"), _changed_nodes(spark, sf))
+    return out.select("changed", *[F.array_join(c, ",").alias(c) for c in ("direct_callers", "indirect_callers")])
+
+
 @query("c6_impact_summary", """
 WITH e AS (SELECT DISTINCT src, dst FROM v_edges), s AS (SELECT DISTINCT dst AS changed FROM e WHERE dst NOT LIKE 'c%'),
 d AS (SELECT src FROM s JOIN e ON dst = changed), i AS (SELECT e.src FROM d JOIN e ON e.dst = d.src)

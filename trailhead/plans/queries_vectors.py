@@ -172,7 +172,7 @@ def overlay(spark, sf):
     changed = base.where("label = 3").select("repo", "path").distinct()
     deleted = _gone(spark, sf).join(changed, ["repo", "path"], "left_anti")
     fresh = base.join(changed, ["repo", "path"], "left_semi").withColumn("content_hash", F.concat("content_hash", F.lit("o")))
-    return vectors.overlay(base, fresh, changed, deleted).select("path", "chunk_index", "content_hash")
+    return vectors.overlay(base, fresh, changed, deleted, cap=300).select("path", "chunk_index", "content_hash")
 
 
 @query("e14_classify_delta", """
@@ -191,7 +191,7 @@ b AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY repo
 
 @query("e15_advisory_branches", _BRANCHES + "SELECT repo, branch, sha, rank FROM b")
 def advisory_branches(spark, sf):
-    return vectors.advisory_branches(view(spark, sf, "v_branches")).select("repo", "branch", "sha", "rank")
+    return vectors.advisory_branches(view(spark, sf, "v_branches"), k=25).select("repo", "branch", "sha", "rank")
 
 
 def _advisory(spark, sf):
@@ -199,7 +199,7 @@ def _advisory(spark, sf):
     branches = view(spark, sf, "v_branches")
     numbered = chunks_of(spark, sf).drop("repo").withColumn("seq", F.floor(F.col("vec_id") / 10).cast("long"))
     chunks = numbered.join(branches.select("seq", "repo", "branch"), "seq").drop("seq")
-    return vectors.advisory_chunks(chunks, vectors.advisory_branches(branches))
+    return vectors.advisory_chunks(chunks, vectors.advisory_branches(branches, k=25), max_files=60)
 
 
 _ADVISORY = _BRANCHES + """,

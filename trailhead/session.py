@@ -6,6 +6,8 @@ Everything here is a default: a cluster's own configuration wins, because ``getO
 from __future__ import annotations
 
 import functools
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +35,16 @@ def build_session(master: str | None = None, app: str = "trailhead", **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, for clusters where it is only on the driver's path.
+
+    Functions that run in Python workers import it there.
+    """
+    home = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)     # the driver serves it
+    spark.sparkContext.addPyFile(archive)
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="trailhead-")
@@ -41,9 +53,13 @@ def _local_folder() -> str:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local runs) is a local folder used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a local master gets a folder of its own; on any other
+    master it is an error, since executors could not see each other's files.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or _local_folder()
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.skew import dense_offsets
+from ..operators.skew import log_offsets
 
 RANKED_PATH = T.StructType([
     T.StructField("path", T.StringType()),
@@ -51,11 +51,16 @@ SCHEMA_VERSION = 1
 def read_events(
     spark: SparkSession, path: str, since: str | None = None, schema: T.StructType = FEEDBACK_SCHEMA
 ) -> DataFrame:
-    """Feedback log rows in log order (``seq``). Blank and malformed lines are skipped.
+    """Feedback log rows in log order (``seq``: by file name, then line). Blank and malformed lines are skipped.
+
+    In an object that repeats a key the last value counts.
 
     ``since`` is an ISO-8601 UTC string and compared as one; rows without a time pass.
     """
-    numbered = dense_offsets(spark.read.text(path)).where(F.try_parse_json("value").isNotNull())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # A strict parse refuses repeated keys, the other one trailing text.
+    whole = F.try_parse_json("value").isNotNull() | (F.get_json_object("value", "$").isNotNull() & F.trim("value").rlike(r"(?s)^\{.*\}$"))
+    numbered = log_offsets(lines).where(whole)
     rows = numbered.select("seq", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).where("e is not null")
     rows = rows.select("seq", "e.*")
     if since is not None:

@@ -42,8 +42,10 @@ def import_lines(text: Column | str) -> Column:
     return F.aggregate(T.lines(text), start, step, lambda acc: F.array_join(acc["out"], "\n"))
 
 
-def cut_content(files: DataFrame, max_chars: int = K.CONTENT_CHARS) -> DataFrame:
-    """Cut ``content`` and keep the import lines of longer Python files from the uncut text."""
+def cut_content(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Cut ``content`` and keep the import lines of longer Python files from the uncut text; without a limit nothing is cut."""
+    if max_chars is None:
+        return files.withColumn("import_source", F.lit(""))
     long_python = (paths.extension("path") == ".py") & (F.length("content") > max_chars)
     return files.withColumn(
         "import_source", F.when(long_python, import_lines("content")).otherwise(F.lit(""))
@@ -71,11 +73,11 @@ def _located(df: DataFrame, root: str) -> DataFrame:
 
 
 def read_files(
-    spark: SparkSession, root: str, max_chars: int = K.CONTENT_CHARS, ignored_dirs: list[str] | None = None
+    spark: SparkSession, root: str, max_chars: int | None = None, ignored_dirs: list[str] | None = None
 ) -> DataFrame:
     """Read every supported text file below ``root``/<repo>/ and classify it.
 
-    Invalid UTF-8 bytes are dropped. Directory names are filtered before any content is decoded.
+    Texts are whole unless ``max_chars`` is given. Invalid UTF-8 bytes are dropped. Directory names are filtered before any content is decoded.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = supported_paths(_located(raw.load(root).select("content", "_metadata"), root), ignored_dirs)
@@ -91,16 +93,15 @@ def read_files(
 
 def dedupe_content(files: DataFrame) -> DataFrame:
     """One row per distinct content: its hash, a representative path and how many paths share it."""
-    return (
-        files.withColumn("content_sha", F.sha2("content", 256))
-        .groupBy("content_sha")
-        .agg(
-            F.min_by("content", F.struct("repo", "path")).alias("content"),
-            F.min(F.struct("repo", "path")).alias("first"),
-            F.count("*").alias("copies"),
-        )
-        .select("content_sha", "content", F.col("first.repo").alias("repo"), F.col("first.path").alias("path"), "copies")
+    firsts = (
+        files.groupBy(F.sha2("content", 256).alias("content_sha"))
+        .agg(F.min(F.struct("repo", "path")).alias("first"), F.count("*").alias("copies"))
+        .select("content_sha", F.col("first.repo").alias("repo"), F.col("first.path").alias("path"), "copies")
     )
+    # Texts are only fetched for the representatives; they do not travel through the aggregation.
+    texts = files.select("repo", "path", "content").withColumn("content_sha", F.sha2("content", 256))
+    found = firsts.join(texts, ["repo", "path", "content_sha"]).dropDuplicates(["content_sha"])
+    return found.select("content_sha", "content", "repo", "path", "copies")
 
 
 def reattach_content(files: DataFrame, processed: DataFrame) -> DataFrame:
