@@ -6,8 +6,8 @@ its one-word deletions as hashed keys (with their place, for substitutions) and
 word-level edit distance is verified on the words. A key's rows are never paired with each other: all that matters is whether
 an earlier line is close, so each key is reduced to its earliest line, map side first.
 
-A line with a partner shares its first or its last half with it, counted by the shorter of the two; lines whose halves (for
-both possible lengths) occur in no other line can have no partner and emit no variants. That test is exact and leaves few.
+A line with a partner shares its first or its last half with it, counted by the shorter of the two, and of eight parts all but one.
+Lines without another line that does so can have no partner and emit no variants. Both tests are exact and leave few lines.
 
 Lines are taken in order of (document id, null last; hash of the text; place in the text). A line goes if an equal or close line
 comes earlier, whether or not that one stays. Lines with under ``min_words`` words stay: they are too short to tell copies from chance.
@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import packed
+from .common import maybe_in, packed
 
+PARTS = 8
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -34,15 +35,27 @@ def _hash(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(97), *columns).alias("b"))
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the first and last half, for partners of equal length or one word shorter, and (read there) one word longer."""
+def _without_part(words: Column, parts: int) -> Column:
+    """Keys of the line without one of ``parts`` equal parts, for partners of equal length or one word shorter, and (read there) longer.
+
+    One edit lies in one part, so close lines agree in a key: what comes before the part is counted from the start, what comes
+    behind it from the end.
+    """
     n = F.size(words)
 
-    def pair(m: Column) -> list[Column]:
-        h = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(0), m, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), m, F.slice(words, n - (m - h) + 1, m - h))]
+    def keys(m: Column) -> list[Column]:
+        cut = [F.floor(m * p / parts).cast("int") for p in range(parts + 1)]
+        return [F.xxhash64(F.lit(p), m, F.slice(words, F.lit(1), cut[p]), F.slice(words, n - (m - cut[p + 1]) + 1, m - cut[p + 1]))
+                for p in range(parts)]
+
+    return F.array(*keys(n), *keys(n - 1))
+
 
-    return F.array(*pair(n), *pair(n - 1))
+def _partnered(keyed: DataFrame) -> DataFrame:
+    """(a, part): 64-bit names of the lines of ``keyed(a, part, key)`` that share a key with another line, and the key's number."""
+    shared = settle(keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "shared")
+    likely = maybe_in(keyed, F.col("key"), shared, F.col("key")).where("maybe").select("a", "part", "key")
+    return likely.join(shared, "key", "left_semi").select("a", "part").distinct()
 
 
 def _prefix(a: Column, b: Column) -> Column:
@@ -75,30 +88,38 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("sig"), F.col(text).alias("value")).where("value is not null")
     rows = _lines(named, min_words)
-    found = settle(rows.select("doc", "sig", "no", _hash(F.col("words")).alias("line"), _halves(F.col("words")).alias("halves")), "lines")
+    found = settle(rows.select("doc", "sig", "no", _hash(F.col("words")).alias("line"), _without_part(F.col("words"), 2).alias("halves")), "lines")
     firsts = settle(found.groupBy("line").agg(F.min(_place()).alias("place")), "firsts")
 
-    # Lines that share a half with another line.
-    halves = found.select("line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("line.a").alias("lo"), F.max("line.a").alias("hi")).where("lo <> hi").select("half")
-    likely = halves.join(shared, "half", "left_semi").select("line").distinct()
-    wanted = firsts.join(likely, "line").groupBy("place.doc", "place.sig").agg(F.collect_set("place.no").alias("nos"))
-    # Their words, from the documents that hold their first places; a document's own lines bound the list.
-    at = wanted.select(F.col("doc").alias("d"), F.col("sig").alias("s"), "nos")
-    holders = named.join(at, named["doc"].eqNullSafe(at["d"]) & (named["sig"] == at["s"]))
+    # First places of lines that share a half with another line.
+    likely = _partnered(found.select("line.a", F.posexplode("halves").alias("part", "key"))).select("a").distinct()
+    wanted = firsts.join(likely, firsts["line.a"] == likely["a"], "left_semi").groupBy("place.doc", "place.sig").agg(F.collect_set("place.no").alias("nos"))
+    at = settle(wanted.select(F.col("doc").alias("d"), F.col("sig").alias("s"), "nos"), "wanted")      # nos: a document's own lines
+    # Their words, from the documents that hold them.
+    holders = maybe_in(named, F.col("sig"), at, F.col("s")).where("maybe").drop("maybe")
+    holders = holders.join(at, holders["doc"].eqNullSafe(at["d"]) & (holders["sig"] == at["s"]))
     lines = holders.select("doc", "sig", F.explode("nos").alias("no"), F.split("value", "\n").alias("all")).select(
         "doc", "sig", "no", _words(F.element_at("all", F.col("no") + 1)).alias("words"))
     held = settle(lines.select(_hash(F.col("words")).alias("line"), _place().alias("place"), "words").dropDuplicates(["line"]), "likely")
+    # Of these, lines that agree with another in all but an eighth.
+    close = _partnered(held.select("line.a", F.posexplode(_without_part(F.col("words"), PARTS)).alias("part", "key")))
+    close = close.groupBy("a").agg(F.collect_set("part").alias("parts"))       # at most 2 * PARTS
+    held = settle(held.join(close, held["line.a"] == close["a"]).drop("a"), "close")
 
     # The deletion neighbourhood: (length, place of the deletion or 0, hash), and which side of a match the row is.
     n = F.size("words")
     without = F.concat(F.slice("words", F.lit(1), F.col("i") - 1), F.slice("words", F.col("i") + 1, n))
-    cut = held.select("line", "place", n.alias("n"), "words", F.explode(F.sequence(F.lit(1), n)).alias("i")).select(
-        "line", "place", "n", "i", _hash(without).alias("h"))
+    # Only words of the parts that the line may differ in; behind the last part's words there may be one more where it is longer.
+    in_part = held.select("line", "place", n.alias("n"), "words", F.explode("parts").alias("part")).withColumn("longer", F.col("part") >= PARTS)
+    p, m = F.col("part") % PARTS, F.col("n") - F.col("longer").cast("int")
+    low, high = F.floor(m * p / PARTS).cast("int") + 1, F.floor(m * (p + 1) / PARTS).cast("int") + F.col("longer").cast("int")
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    cut = in_part.select("line", "place", "n", "words", "longer", F.explode(places).alias("i")).select(
+        "line", "place", "n", "i", "longer", _hash(without).alias("h"))
     whole = held.select("line", "place", n.alias("m"), F.lit(0).alias("i"), F.col("line").alias("h"), F.lit("whole").alias("side"))
-    variants = (cut.select("line", "place", F.col("n").alias("m"), "i", "h", F.lit("changed").alias("side"))
-                .unionByName(cut.select("line", "place", (F.col("n") - 1).alias("m"), F.lit(0).alias("i"), "h", F.lit("longer").alias("side")))
-                .unionByName(whole))
+    changed = cut.select("line", "place", F.when(F.col("longer"), F.col("n") - 1).otherwise(F.col("n")).alias("m"),
+                         F.when(F.col("longer"), 0).otherwise(F.col("i")).alias("i"), "h", F.when(F.col("longer"), "longer").otherwise("changed").alias("side"))
+    variants = changed.unionByName(whole)
     variants = settle(variants, "variants")
     keys = ["m", "i", "h"]
     me = F.struct("place", "line")
@@ -123,7 +144,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """Every row as struct ``row`` with ``n_lines``, ``removed`` (line numbers) and ``kept``, its text without them."""
     gone = removed_lines(docs, doc_id, text, min_words).select(F.col("doc").alias("d"), F.col("sig").alias("s"), "removed")
     rows = packed(docs, doc=F.col(doc_id), sig=F.xxhash64(text), value=F.col(text))
-    joined = rows.join(gone, rows["doc"].eqNullSafe(gone["d"]) & (rows["sig"] == gone["s"]), "left")
+    gone = settle(gone, "gone")
+    told = maybe_in(rows, F.col("sig"), gone, F.col("s"))
+    hit = told.where("maybe").join(gone, F.col("doc").eqNullSafe(gone["d"]) & (F.col("sig") == gone["s"]), "left").drop("maybe", "d", "s")
+    joined = hit.unionByName(told.where("not maybe").drop("maybe").withColumn("removed", F.lit(None).cast("array<int>")))
     lines = F.split("value", "\n")
     # The stretches between removed lines, so that the work is in proportion to the text.
     edges = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size("all")))
