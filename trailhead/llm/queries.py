@@ -83,7 +83,7 @@ def byte_bpe_50k() -> str:
 @query("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, byte_bpe_50k(), keep=["doc_id"]), byte_bpe_50k())
+    done = bpe.encode(docs, byte_bpe_50k(), keep=["doc_id"], decoded="decoded")
     return done.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,8 +7,9 @@ Jaccard similarity. Documents that agree in all rows of a band are candidates; t
 of their whole texts. Classes are the connected components of verified links.
 
 A band's bucket may hold very many documents. They are not paired with each other: in each round a bucket's documents are
-compared with one leader, other rounds have other leaders, and documents already in the leader's class are left out. What still
-lies in a bucket under different classes is compared pair by pair in the end, so no candidate goes unseen. Candidates whose samples agree
+compared with one leader, other rounds have other leaders, and documents already in the leader's class are left out. For documents that
+still share a bucket with another class an exact prefix filter ends the search: similar texts share one of their rarest shingles, so
+documents of different classes that do are compared, and no link between them is lost. Candidates whose samples agree
 in less than ``screen`` of all places are not verified (at similarity 0.8 and 48 samples under one in 100,000).
 
 Equal texts are one from the beginning. Defined cases: a text with fewer words than a shingle is one shingle; texts without words (and null texts) have none
@@ -173,6 +174,34 @@ def jaccard(weights: Weights, a, b) -> float:
     return float(low / high) if high else 0.0
 
 
+def _rare_shingles(texts: DataFrame, weights: Weights, threshold: float, width: int) -> DataFrame:
+    """(token, id, root): of each text of ``texts(id, root, text)`` the rarest shingles, as many as it can lack in nothing similar.
+
+    Two texts at the threshold share at least that part of either's weight, so they share a shingle among what comes first in any
+    order of all shingles until the rest is too light. Rare ones come first, by the table of frequencies.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+    kinds = texts.schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, shingle = sent.value, Shingler(width)
+        for batch in batches:
+            tokens, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i, value in enumerate(batch.column("text")):
+                found, counts = shingle(value.as_py())
+                order = np.lexsort((found, -weigh.idf[(found >> weigh.shift).astype(np.int64)]))
+                w = weigh(found, counts).astype(np.float64)[order]
+                n = int(np.searchsorted(np.cumsum(w), (1 - threshold) * w.sum() * 1.0001, side="right")) + 1
+                tokens.append(found[order[:n]])
+                rows.append(np.full(min(n, len(found)), i))
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("id").take(at), batch.column("root").take(at)],
+                                             ["token", "id", "root"])
+
+    kind = {c: kinds[c].dataType.simpleString() for c in ("id", "root")}
+    return texts.select("id", "root", "text").mapInArrow(task, f"token long, id {kind['id']}, root {kind['root']}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float, width: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough; ``texts(id, text)``."""
     sent = pairs.sparkSession.sparkContext.broadcast(weights)
@@ -214,9 +243,10 @@ def classes(
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(F.slice("samples", i * rows + 1, F.lit(rows))).alias("h")))
     slots = texts.select("id", F.explode(keys).alias("slot"))
-    crowded = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
-    slots = settle(slots.join(crowded, "slot", "left_semi"), "slots")
-    facts = texts.join(slots.select("id").distinct(), "id", "left_semi").select("id", "total", "samples")
+    crowded = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    slots = settle(slots.join(crowded, "slot"), "slots")
+    met = slots.groupBy("id").agg(F.sum("n").alias("met"))
+    facts = texts.join(met, "id").select("id", "total", "samples", "met")
     facts = settle(facts, "facts")
     ids = facts.select(F.col("id.id").alias("doc"), F.col("id.sig").alias("sig"))
     wanted = ids.select(F.col("doc").alias("d"), F.col("sig").alias("s"))
@@ -232,18 +262,26 @@ def classes(
 
     links = None
     tried = None
+    slots = settle(slots.join(facts.select("id", "met"), "id").select("id", "slot", "met"), "slots")
     label = facts.select("id", F.col("id").alias("root"))
     for n in range(rounds + 1):
         placed = slots.join(label, "id") if n else slots.withColumn("root", F.col("id"))
         if n < rounds:
-            rank = F.struct(F.xxhash64(F.lit(n), "id", "slot").alias("r"), F.col("id").alias("b"), F.col("root").alias("lead"))
+            # First the document that most others meet leads, which for a text and its copies is the text; then others by chance.
+            chance = F.xxhash64(F.lit(n), "id", "slot")
+            rank = F.struct((F.when(F.lit(n == 0), -F.col("met")).otherwise(chance)).alias("r"), F.col("id").alias("b"), F.col("root").alias("lead"))
             lead = placed.groupBy("slot").agg(F.min(rank).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
             pairs = placed.join(lead.select("slot", "l.b", "l.lead"), "slot").where("root <> lead").select(F.col("id").alias("a"), "b")
         else:
-            open_ = placed.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot")
-            rest = placed.join(open_, "slot", "left_semi")
-            other = rest.select("slot", F.col("id").alias("b"), F.col("root").alias("rb"))
-            pairs = rest.select("slot", F.col("id").alias("a"), "root").join(other, "slot").where("a < b and root <> rb").select("a", "b")
+            mixed = placed.groupBy("slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("slot")
+            rest = placed.join(mixed, "slot", "left_semi").select("id", "root").distinct()
+            rare = settle(_rare_shingles(bodies.join(rest, "id"), weights, threshold, width), "rare")
+            # Of each shingle the largest class stands against the others: no pairs within it.
+            sizes = rare.groupBy("token", "root").agg(F.count("*").alias("n"))
+            most = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+            few = rare.join(most.select("token", F.col("m.root").alias("top")), "token")
+            other = few.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), "top")
+            pairs = few.where("root <> top").drop("top").join(other, "token").where("root <> rb and (rb = top or id < b)").select(F.col("id").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = settle(screened(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
