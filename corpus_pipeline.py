@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids, with the check that they decode to the text."""
     keep = [c for c in docs.columns if c != "n_chars"]
-    done = bpe.decode(bpe.encode(docs, byte_bpe_50k(), keep=keep), byte_bpe_50k())
+    done = bpe.encode(docs, byte_bpe_50k(), keep=keep, decoded="decoded")
     return done.select("row.doc_id", "row.lang", "row.source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
 
