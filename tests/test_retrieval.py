@@ -9,7 +9,7 @@ from trailhead.operators import ranking, vectors
 from trailhead.plans.registry import files_of
 from trailhead.plans.views import view
 
-CHUNK = "path string, chunk_index long, kind string, namespace string, record_type string, metadata map<string,string>, content_hash string, vector array<float>"
+CHUNK = "repo string, path string, chunk_index long, kind string, namespace string, record_type string, metadata map<string,string>, content_hash string, vector array<float>"
 
 
 def chunks(spark, n=200, dim=8, seed=1):
@@ -18,7 +18,7 @@ def chunks(spark, n=200, dim=8, seed=1):
     for i in range(n):
         v = rng.normal(size=dim)
         v = v / np.linalg.norm(v) if i % 10 else np.eye(dim)[0]   # a tenth are copies of one vector
-        rows.append((f"f{i // 4}.py", i % 4, "code", "repo", "chunk", {"i": str(i)}, f"h{i}", [float(np.float32(x)) for x in v]))
+        rows.append(("r", f"f{i // 4}.py", i % 4, "code", "repo", "chunk", {"i": str(i)}, f"h{i}", [float(np.float32(x)) for x in v]))
     return spark.createDataFrame(rows, CHUNK), rows
 
 
@@ -30,7 +30,7 @@ def asked(spark, n, dim=8):
 def brute(rows, queries, k, floor):
     out = set()
     for q in queries.collect():
-        scored = [(-round(float(np.dot(np.array(r[7]), np.array(q.vector))), 6), r[0], r[1]) for r in rows]
+        scored = [(-round(float(np.dot(np.array(r[8]), np.array(q.vector))), 6), r[1], r[2]) for r in rows]
         for s, p, c in [x for x in sorted(scored) if -x[0] >= floor][:k]:
             out.add((q.query_id, p, c, round(-s, 5)))
     return out
@@ -47,7 +47,19 @@ def test_search_is_exact_by_broadcast_and_by_cells(spark, monkeypatch, limit):
     pooled = {(r.query_id, r.path): r.score for r in vectors.path_scores(table, queries).collect()}
     assert len(pooled) == 8 * 50
     q0 = np.array(queries.first().vector)
-    assert math.isclose(pooled[0, "f3.py"], max(np.dot(np.array(r[7]), q0) for r in rows if r[0] == "f3.py"), abs_tol=1e-5)
+    assert math.isclose(pooled[0, "f3.py"], max(np.dot(np.array(r[8]), q0) for r in rows if r[1] == "f3.py"), abs_tol=1e-5)
+
+
+def test_equal_paths_of_two_repos_stay_apart(spark):
+    table, rows = chunks(spark, 40)
+    both = table.unionByName(table.withColumn("repo", F.lit("other")))
+    queries = asked(spark, 3)
+    assert vectors.path_scores(both, queries).count() == 2 * 3 * 10
+    gone = spark.createDataFrame([("r", "f1.py")], "repo string, path string")
+    assert vectors.delete_paths(both, gone).count() == 76
+    assert {r.state for r in vectors.diff_chunks(both, both).collect()} == {"unchanged"}
+    here = vectors.search(both, queries.withColumn("repo", F.lit("other")), k=4, min_score=None).collect()
+    assert len(here) == 12 and {r.repo for r in here} == {"other"}
 
 
 def test_search_edges(spark):

@@ -1,4 +1,4 @@
-"""Vector retrieval over a ``chunks`` table keyed by (path, chunk_index).
+"""Vector retrieval over a ``chunks`` table keyed by (repo, path, chunk_index).
 
 Scores are exact: every query meets every chunk that passes the filters. The products are computed in Arrow batches with
 numpy, and each task keeps only its best ``k`` rows per query, so what is shuffled does not grow with the chunk table.
@@ -19,8 +19,9 @@ SCORE_DIGITS = 6               # vectors are single precision: further digits ar
 MAX_BROADCAST_QUERIES = 4096   # a block of queries: 16 MB of doubles at 512 dimensions
 CELL_ROWS = 50_000             # chunk rows per cell when queries are too many to broadcast
 
-_ENTRY = ["path", "chunk_index", "kind", "namespace", "record_type"]
-_OUT = "query_id long, path string, chunk_index long, kind string, namespace string, record_type string, score double"
+KEY = ["repo", "path", "chunk_index"]
+_ENTRY = [*KEY, "kind", "namespace", "record_type"]
+_OUT = "query_id long, repo string, path string, chunk_index long, kind string, namespace string, record_type string, score double"
 
 
 def filter_chunks(
@@ -44,47 +45,57 @@ def filter_chunks(
     return chunks
 
 
-def _products(pdf: pd.DataFrame, matrix: np.ndarray) -> np.ndarray:
+def _products(pdf: pd.DataFrame, matrix: np.ndarray, repos: np.ndarray) -> np.ndarray:
+    """Scores of chunks (rows) and queries; minus infinity where a query asks for another repo."""
     block = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-    return np.round(block @ matrix.T, SCORE_DIGITS)
+    scores = np.round(block @ matrix.T, SCORE_DIGITS)
+    asked = repos != None  # noqa: E711
+    if asked.any():
+        scores[(pdf["repo"].to_numpy()[:, None] != repos[None, :]) & asked[None, :]] = -np.inf
+    return scores
 
 
-def _all_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
-    scores = _products(pdf, matrix)
-    out = pdf[_ENTRY].iloc[np.repeat(np.arange(len(pdf)), len(ids))].reset_index(drop=True)
-    out.insert(0, "query_id", np.tile(ids, len(pdf)))
-    out["score"] = scores.ravel()
+def _all_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, repos: np.ndarray) -> pd.DataFrame:
+    scores = _products(pdf, matrix, repos)
+    at, q = np.nonzero(scores > -np.inf)
+    out = pdf[_ENTRY].iloc[at].reset_index(drop=True)
+    out.insert(0, "query_id", ids[q])
+    out["score"] = scores[at, q]
     return out
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = rows.sort_values(["query_id", "score", "path", "chunk_index"], ascending=[True, False, True, True])
+    ordered = rows.sort_values(["query_id", "score", *KEY], ascending=[True, False, True, True, True])
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def _best_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, min_score: float) -> pd.DataFrame:
-    scores = _products(pdf, matrix)
+def _best_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, repos: np.ndarray, k: int, min_score: float) -> pd.DataFrame:
+    scores = _products(pdf, matrix, repos)
     kth = scores.min(axis=0) if len(pdf) <= k else np.partition(scores, len(pdf) - k, axis=0)[len(pdf) - k]
-    at, q = np.nonzero((scores >= kth) & (scores >= min_score))   # ties at the edge are settled by ``_best``
+    at, q = np.nonzero((scores >= kth) & (scores >= min_score) & (scores > -np.inf))   # ties at the edge are settled by ``_best``
     out = pdf[_ENTRY].iloc[at].reset_index(drop=True)
     out.insert(0, "query_id", ids[q])
     out["score"] = scores[at, q]
     return _best(out, k)
 
 
-def _unpack(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(np.float64)
+def _unpack(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    repos = queries["repo"].astype(object).where(queries["repo"].notna(), None).to_numpy()
+    return queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(np.float64), repos
 
 
 def _meet(chunks: DataFrame, queries: DataFrame, combine: Callable, keep: Callable | None = None) -> DataFrame:
-    """Run ``combine(chunk batch, query ids, query matrix)`` so that every chunk meets every query once.
+    """Run ``combine(chunk batch, query ids, query matrix, query repos)`` so that every chunk meets every query once.
+
+    A query with a ``repo`` meets that repo's chunks only.
 
     Up to ``MAX_BROADCAST_QUERIES`` queries are broadcast and the chunks stay where they are. Beyond that both sides are
     cut into bounded cells and each pair of cells becomes one group, so neither side is ever whole in one place.
     ``keep`` reduces the rows a task has gathered so far.
     """
     entries = chunks.select(*_ENTRY, "vector")
-    asked = queries.select("query_id", "vector")
+    repo = F.col("repo") if "repo" in queries.columns else F.lit(None).cast("string").alias("repo")
+    asked = queries.select("query_id", "vector", repo)
     if fits(asked, MAX_BROADCAST_QUERIES):
         rows = asked.toPandas()
         if rows.empty:
@@ -108,7 +119,7 @@ def _meet(chunks: DataFrame, queries: DataFrame, combine: Callable, keep: Callab
 
     cells = -(-entries.count() // CELL_ROWS)
     blocks = -(-asked.count() // MAX_BROADCAST_QUERIES)
-    left = entries.withColumn("cell", F.pmod(F.xxhash64("path", "chunk_index"), F.lit(cells))).withColumn(
+    left = entries.withColumn("cell", F.pmod(F.xxhash64(*KEY), F.lit(cells))).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
@@ -127,27 +138,27 @@ def score(chunks: DataFrame, queries: DataFrame, **filters) -> DataFrame:
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = 0.0, **filters) -> DataFrame:
-    """Best ``k`` matching chunks per query with at least ``min_score``; equal scores order by (path, chunk_index)."""
+    """Best ``k`` matching chunks per query with at least ``min_score``; equal scores order by (repo, path, chunk_index)."""
     floor = -np.inf if min_score is None else float(min_score)
     if k <= 0:
         return score(chunks.limit(0), queries).withColumn("rank", F.lit(1))
 
-    def combine(pdf, ids, matrix):
-        return _best_pairs(pdf, ids, matrix, k, floor)
+    def combine(pdf, ids, matrix, repos):
+        return _best_pairs(pdf, ids, matrix, repos, k, floor)
 
     partial = _meet(filter_chunks(chunks, **filters), queries, combine, lambda rows: _best(rows, k))
-    return top_k(partial, ["query_id"], [F.col("score").desc(), "path", "chunk_index"], k)
+    return top_k(partial, ["query_id"], [F.col("score").desc(), *KEY], k)
 
 
 def path_scores(chunks: DataFrame, queries: DataFrame, **filters) -> DataFrame:
-    """Best chunk score of each path for each query."""
+    """Best chunk score of each path of a repo for each query."""
 
-    def combine(pdf, ids, matrix):
-        pairs = _all_pairs(pdf, ids, matrix)
-        return pairs.loc[pairs.groupby(["query_id", "path"])["score"].idxmax()]
+    def combine(pdf, ids, matrix, repos):
+        pairs = _all_pairs(pdf, ids, matrix, repos)
+        return pairs.loc[pairs.groupby(["query_id", "repo", "path"])["score"].idxmax()]
 
     partial = _meet(filter_chunks(chunks, **filters), queries, combine)
-    return partial.groupBy("query_id", "path").agg(F.max("score").alias("score"))
+    return partial.groupBy("query_id", "repo", "path").agg(F.max("score").alias("score"))
 
 
 def semantic_search(
@@ -155,14 +166,14 @@ def semantic_search(
 ) -> DataFrame:
     """Chunk hits with their line range, symbol and the text of those lines."""
     hits = search(chunks, queries, k, min_score=None, kind=kind)
-    where = chunks.select("path", "chunk_index", "start_line", "end_line", "enclosing_symbol")
-    body = files.select("path", "content")
-    found = hits.join(where, ["path", "chunk_index"]).join(body, "path", "left")
+    where = chunks.select(*KEY, "start_line", "end_line", "enclosing_symbol")
+    body = files.select("repo", "path", "content")
+    found = hits.join(where, KEY).join(body, ["repo", "path"], "left")
     start = F.greatest(F.lit(1), F.coalesce("start_line", F.lit(1)))
     end = F.greatest(start - 1, F.coalesce("end_line", "start_line", F.lit(1)))
     text = F.array_join(F.slice(T.lines_with_ends("content"), start, end - start + 1), "")
     return found.select(
-        "query_id", "rank", "path", "chunk_index", "score", start.alias("start_line"),
+        "query_id", "rank", *KEY, "score", start.alias("start_line"),
         F.coalesce("end_line", "start_line", F.lit(1)).alias("end_line"), "enclosing_symbol",
         F.left(F.coalesce(text, F.lit("")), F.lit(snippet_chars)).alias("snippet"),
     )
@@ -210,17 +221,17 @@ def embed(df: DataFrame, text_col: str, provider=None, out: str = "vector") -> D
 # ---- maintenance -----------------------------------------------------------------------------------------------------
 
 
-def upsert(chunks: DataFrame, updates: DataFrame, keys: list[str] = ("path", "chunk_index")) -> DataFrame:
+def upsert(chunks: DataFrame, updates: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Replace the entries with the same key and add the others."""
     return chunks.join(updates, list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
 
 
 def delete_paths(chunks: DataFrame, gone: DataFrame) -> DataFrame:
-    return chunks.join(gone.select("path"), "path", "left_anti")
+    return chunks.join(gone.select("repo", "path"), ["repo", "path"], "left_anti")
 
 
 def deleted_count(chunks: DataFrame, gone: DataFrame) -> DataFrame:
-    return chunks.join(gone.select("path"), "path", "left_semi").agg(F.count("*").alias("removed"))
+    return chunks.join(gone.select("repo", "path"), ["repo", "path"], "left_semi").agg(F.count("*").alias("removed"))
 
 
 def append_chunks(chunks: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
@@ -231,14 +242,14 @@ def append_chunks(chunks: DataFrame, new: DataFrame, dimension: int) -> DataFram
 
 
 def diff_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Class of each (path, chunk_index): unchanged, changed, new or removed."""
-    o = old.select("path", "chunk_index", F.col("content_hash").alias("old_hash"))
-    n = new.select("path", "chunk_index", F.col("content_hash").alias("new_hash"))
+    """Class of each (repo, path, chunk_index): unchanged, changed, new or removed."""
+    o = old.select(*KEY, F.col("content_hash").alias("old_hash"))
+    n = new.select(*KEY, F.col("content_hash").alias("new_hash"))
     state = (
         F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "removed")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("changed")
     )
-    return o.join(n, ["path", "chunk_index"], "full_outer").withColumn("state", state)
+    return o.join(n, KEY, "full_outer").withColumn("state", state)
 
 
 def diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -248,8 +259,8 @@ def diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def incremental_index(old: DataFrame, new_chunks: DataFrame, provider=None, text_col: str = "embed_text") -> DataFrame:
     """New chunk table that reuses the vectors of unchanged chunks and embeds only the others."""
-    reusable = old.select("path", "chunk_index", "content_hash", "vector")
-    keys = ["path", "chunk_index", "content_hash"]
+    keys = [*KEY, "content_hash"]
+    reusable = old.select(*keys, "vector")
     reused = new_chunks.join(reusable, keys)
     fresh = embed(new_chunks.join(reusable, keys, "left_anti"), text_col, provider)
     return reused.unionByName(fresh)

@@ -178,9 +178,9 @@ def embedded_scores(spark, sf, files, tasks):
     from ..operators import chunking
 
     chunks = vectors.embed(chunking.chunk_files(files), "embed_text").select(
-        "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector")
-    asked = vectors.embed(tasks.select(F.col("task_id").alias("query_id"), "task"), "task")
-    return vectors.path_scores(chunks, asked).select(F.col("query_id").alias("task_id"), F.lit("main").alias("repo"), "path", "score")
+        "repo", "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector")
+    asked = vectors.embed(tasks.select(F.col("task_id").alias("query_id"), "repo", "task"), "task")
+    return vectors.path_scores(chunks, asked).select(F.col("query_id").alias("task_id"), "repo", "path", "score")
 
 
 @query("f2_rank_files_embedded")

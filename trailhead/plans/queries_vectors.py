@@ -46,7 +46,44 @@ def score(spark, sf):
 
 @query("e3_path_scores", f"WITH {QUERIES_SQL} SELECT query_id, path, max(score) AS score FROM s GROUP BY ALL")
 def path_scores(spark, sf):
-    return vectors.path_scores(chunks_of(spark, sf), label_queries(spark, sf))
+    return vectors.path_scores(chunks_of(spark, sf), label_queries(spark, sf)).select("query_id", "path", "score")
+
+
+# The same paths in two repos: even vectors in one, odd ones in the other.
+REPOS_SQL = f"""{QUERIES_SQL}, t AS (SELECT * REPLACE ('r' || vec_id % 2 AS repo) FROM s)"""
+
+
+def two_repos(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("repo", F.concat(F.lit("r"), (F.col("vec_id") % 2).cast("string")))
+
+
+@query("e3_path_scores_repos", f"WITH {REPOS_SQL} SELECT query_id, repo, path, max(score) AS score FROM t GROUP BY ALL")
+def path_scores_repos(spark, sf):
+    return vectors.path_scores(two_repos(chunks_of(spark, sf)), label_queries(spark, sf))
+
+
+@query("e5_search_repos", f"""WITH {REPOS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repo, path, chunk_index) AS rank
+FROM t WHERE repo = 'r' || query_id % 2) SELECT query_id, rank, repo, path, chunk_index, score FROM r WHERE rank <= 10""")
+def search_repos(spark, sf):
+    asked = label_queries(spark, sf).withColumn("repo", F.concat(F.lit("r"), (F.col("query_id") % 2).cast("string")))
+    hits = vectors.search(two_repos(chunks_of(spark, sf)), asked, k=10, min_score=None)
+    return hits.select("query_id", "rank", "repo", "path", "chunk_index", "score")
+
+
+@query("e8_delete_paths_repos", """WITH c AS (SELECT * REPLACE ('r' || vec_id % 2 AS repo) FROM v_chunks)
+SELECT repo, path, chunk_index FROM c WHERE (repo, path) NOT IN (SELECT repo, path FROM c WHERE label = 7)""")
+def delete_paths_repos(spark, sf):
+    chunks = two_repos(view(spark, sf, "v_chunks"))
+    return vectors.delete_paths(chunks, chunks.where("label = 7").select("repo", "path").distinct()).select("repo", "path", "chunk_index")
+
+
+@query("e10_diff_chunks_repos", """WITH c AS (SELECT path, vec_id % 2 AS side, min(chunk_index) AS chunk_index, min(content_hash) AS h FROM v_chunks GROUP BY ALL),
+o AS (SELECT 'r' || side AS repo, path, 0 AS chunk_index, h FROM c), n AS (SELECT repo, path, chunk_index, CASE WHEN repo = 'r1' THEN h || 'x' ELSE h END AS h FROM o)
+SELECT o.repo, o.path, CASE WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS state FROM o JOIN n USING (repo, path, chunk_index)""")
+def diff_chunks_repos(spark, sf):
+    old = two_repos(view(spark, sf, "v_chunks")).groupBy("repo", "path").agg(F.lit(0).alias("chunk_index"), F.min("content_hash").alias("content_hash"))
+    new = old.withColumn("content_hash", F.when(F.col("repo") == "r1", F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    return vectors.diff_chunks(old, new).select("repo", "path", "state")
 
 
 @query("e4_filtered_score", f"""WITH {QUERIES_SQL}
@@ -71,7 +108,7 @@ def search(spark, sf):
 def semantic_search(spark, sf):
     chunks = chunks_of(spark, sf).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2)).withColumn(
         "enclosing_symbol", F.lit(None).cast("string"))
-    texts = view(spark, sf, "v_files").select("path", "content")
+    texts = view(spark, sf, "v_files").select("repo", "path", "content")
     hits = vectors.semantic_search(chunks, texts, label_queries(spark, sf), kind="doc", k=5)
     return hits.select("query_id", "rank", "path", "chunk_index", "score")
 
@@ -137,8 +174,8 @@ FROM v_chunks_new n LEFT JOIN v_chunks o ON o.path = n.path AND o.chunk_index =
 def incremental_index(spark, sf):
     old = view(spark, sf, "v_chunks")
     built = vectors.incremental_index(old, view(spark, sf, "v_chunks_new"))
-    kept = old.select("path", "chunk_index", "content_hash", F.lit(True).alias("reused"))
-    marked = built.join(kept, ["path", "chunk_index", "content_hash"], "left").fillna(False, ["reused"])
+    kept = old.select(*vectors.KEY, "content_hash", F.lit(True).alias("reused"))
+    marked = built.join(kept, [*vectors.KEY, "content_hash"], "left").fillna(False, ["reused"])
     first = F.when(F.col("reused"), F.round(F.get("vector", F.lit(0)).cast("double"), 6))
     return marked.select("path", "chunk_index", "reused", first.alias("first_value"))
 
