@@ -56,7 +56,7 @@ def test_viterbi_is_the_best_labelling():
 
 def test_quality_defined_cases(spark):
     rows = [(1, None, "x"), (None, "", "y"), (2, "a " * 60, "z"), (3, " ".join(f"w{i}" for i in range(60)), "z"), (3, " ".join(f"w{i}" for i in range(60)), "z")]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string")       # a clashing name
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string").withColumn("key", F.lit("k"))       # clashing names
     labels = spark.createDataFrame([], "doc_id int, quality int")
     got = [(r.row.doc_id, r.n_words, r.kept) for r in quality.assess(docs, quality.fit(docs, labels)).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, False), (None, 0, False), (2, 60, False), (3, 60, True), (3, 60, True)], key=str)

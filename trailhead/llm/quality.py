@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def codes(texts):
         return texts.map(lambda s: [c for c in read_lines(s or "")[1] if c >= 0])
 
-    found = docs.join(F.broadcast(drawn), docs[doc_id] == drawn["key"]).select("key", codes(F.col(text)).alias("codes"), "good").toPandas()
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("value"))
+    found = texts.join(F.broadcast(drawn), F.col("id") == F.col("key")).select("key", codes("value").alias("codes"), "good").toPandas()
     found = found.sort_values("key", kind="stable")
     return LineField.fit([(list(c), CONTENT if g else BOILERPLATE) for c, g in zip(found["codes"], found["good"]) if len(c)])
 
