@@ -23,7 +23,6 @@ from ..session import settle
 from .passages import Scheme, collapsed, cut, fetched, in_groups, merged, occurrences, place
 
 BATCH = 1 << 19         # bytes of passages that one suffix array covers, unless one group has more
-LEVELS = (8, 16, 32, 64, 128, 256)
 
 
 def _byte_hashes():
@@ -36,7 +35,7 @@ def scheme(length: int) -> Scheme:
 
 
 def _ranks(raw: np.ndarray, limit: int) -> dict[int, np.ndarray]:
-    """Rank of the string of 8, 16, 32, … bytes at each position among all; beyond the end counts as lowest."""
+    """Rank of the string of 8, 24, 72, … bytes (8, 16, 32, … of a long text) at each position; beyond the end counts as lowest."""
     n = len(raw)
     padded = np.concatenate([raw.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
@@ -45,13 +44,17 @@ def _ranks(raw: np.ndarray, limit: int) -> dict[int, np.ndarray]:
     first = np.unique(key, return_inverse=True)[1].astype(np.int64)
     key = first * 257 + padded[7:7 + n].astype(np.int64)
     out = {8: np.unique(key, return_inverse=True)[1].astype(np.int32)}
-    size = 8
+    size, fold = 8, 3 if n < (1 << 21) - 1 else 2       # three ranks fit a 64-bit key of a short text
     while size < limit:
         rank = out[size].astype(np.int64)
-        behind = np.zeros(n, np.int64)
-        behind[:n - size] = rank[size:] + 1 if n > size else 0
-        size *= 2
-        out[size] = np.unique(rank * (n + 2) + behind, return_inverse=True)[1].astype(np.int32)
+        key = rank
+        for k in range(1, fold):
+            behind = np.zeros(n, np.int64)
+            if n > k * size:
+                behind[:n - k * size] = rank[k * size:] + 1
+            key = key * (n + 2) + behind
+        size *= fold
+        out[size] = np.unique(key, return_inverse=True)[1].astype(np.int32)
     return out
 
 
@@ -69,7 +72,7 @@ def nearest_smaller(a: np.ndarray) -> np.ndarray:
 def _common(ranks: dict[int, np.ndarray], raw: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at i and j, up to about ``most``."""
     n, got = len(raw), np.zeros(len(i), np.int64)
-    for size in sorted(ranks, reverse=True):
+    for size in sorted([*ranks, *ranks], reverse=True):      # each at most twice
         a, b = i + got, j + got
         inside = (np.maximum(a, b) + size <= n) & (got < most)
         same = np.zeros(len(i), bool)
@@ -90,10 +93,7 @@ def _common(ranks: dict[int, np.ndarray], raw: np.ndarray, i: np.ndarray, j: np.
 
 def factors(raw: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For positions ``starts`` (ascending): longest match with an earlier and with a later of them, exact below ``most``."""
-    limit = 8
-    while 2 * limit <= max(most, 8) and limit < 256:
-        limit *= 2
-    ranks = _ranks(raw, 2 * limit if limit < most else limit)
+    ranks = _ranks(raw, most)
     order = starts[np.argsort(ranks[max(ranks)][starts], kind="stable")]      # the suffix array of the starts
     out = []
     for sign in (1, -1):
