@@ -106,6 +106,31 @@ def test_word_dedup(spark, group_words):
     assert substrings.dedup(frame.limit(0)).count() == 0 and suffix_dedup.dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator, size, window", [(substrings, 8, "words"), (suffix_dedup, 40, "bytes")])
+def test_no_task_holds_the_passages_of_a_crowded_anchor(spark, monkeypatch, operator, size, window):
+    random.seed(8)
+    word = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    shared, limit = word(14), 2_000
+    docs = [(i if i != 5 else None, f"{word(12)} {shared} {word(12) if i % 10 else 'same end of some of them here'}") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    inner = passages.in_groups
+
+    def in_groups(batches, least):
+        for held in inner(batches, least):
+            assert all(sum(len(r["units"]) for r in g) <= (5 if window == "words" else 1) * limit for g in held), "a task holds a whole crowded group"
+            yield held
+
+    monkeypatch.setattr(operator, "in_groups", in_groups)
+    got = removed_units(operator.repeated(named(frame), size, group_words=limit) if window == "words"
+                        else operator.repeated(named(frame), size, "first", group_bytes=limit), frame)
+    seen = set()
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0])):
+        u = t.split() if window == "words" else t.encode()
+        grams = [tuple(u[i:i + size]) for i in range(len(u) - size + 1)]
+        assert got(d, t) == covered([g in seen for g in grams], size)
+        seen.update(grams)
+
+
 def test_automaton_finds_the_least_holder():
     random.seed(2)
     texts = ["".join(random.choice("ab") for _ in range(30)) for _ in range(8)]

@@ -7,6 +7,7 @@ have no equal. The windows that share one anchor occurrence are neighbours; the
 First anchors are counted over all documents. Repeated ones go into a bit table of a fixed size that is sent to the tasks (full, it lets too much
 through, never too little). A second pass lists the occurrences of repeated anchors; equal passages are then collapsed before anything is
 compared, so a group of copies costs as much as one of them. Only anchors whose passages differ need a look inside: their distinct passages are fetched, once each.
+An anchor with very many of them is decided window by window, by an aggregation.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ class Scheme:
     split: Callable[[str | None], object]               # text → bytes, or list of words
     hashes: Callable[[], Callable[[object], np.ndarray]]    # makes a function from units to 64-bit hashes
     join: Callable[[object], bytes]                     # a slice of units → bytes
+    parts: Callable[[bytes], object]                    # and back
     gram: int
     window: int
 
@@ -148,32 +150,45 @@ def collapsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct, settle(groups.where("copies > 1"), "groups")
 
 
-def fetched(docs: DataFrame, distinct: DataFrame, groups: DataFrame, scheme: Scheme, group_units: int, step: int) -> DataFrame:
-    """(grp, anchor, body, lo, last, doc, sig, start, copies, units): the distinct passages of mixed anchors, from their first documents.
+def fetched(docs: DataFrame, distinct: DataFrame, groups: DataFrame, scheme: Scheme, group_units: int, step: int) -> tuple[DataFrame, DataFrame | None]:
+    """The distinct passages of mixed anchors, from their first documents: those that a task may hold together, and single windows of the others.
 
-    ``units`` holds the windows from ``lo`` on. An anchor with over ``group_units`` units of distinct passages is split: its passages are cut
-    into ``step`` windows each, at places counted from the anchor, and grouped by what all of these windows cover, so that only passages
-    that agree there come together.
+    The first is (grp, anchor, body, doc, sig, start, lo, units), ``grp`` the anchor, for anchors with at most ``group_units`` units of distinct passages.
+    The second is (key, anchor, body, doc, sig, start, lo) for anchors with more, a row a window: ``lo`` counts windows from ``start`` on, and ``key`` is the
+    128-bit hash of the window, so that they are compared by aggregations and no task holds an anchor's passages. Windows without an equal in another passage
+    are left out where that is plain: a passage is cut into ``step`` windows each, at places counted from the anchor, and only those count whose
+    core (what all of these windows cover) occurs in another passage as well. None if no anchor has that many.
     """
     mixed = groups.where("mixed").select("anchor")
-    wanted = distinct.join(mixed, "anchor", "left_semi")
-    size = wanted.groupBy("anchor").agg((F.sum(F.col("first.n") + (scheme.window - 1)) > group_units).alias("hot"))
-    wanted = wanted.join(size, "anchor").groupBy("first.doc", "first.sig").agg(
-        F.collect_list(F.struct("anchor", "body", "first.start", "first.n", "first.off", "copies", "hot")).alias("parts"))      # a document's own passages
+    wanted = settle(distinct.join(mixed, "anchor", "left_semi").select("anchor", "body", "first"), "mixed")
+    crowded = settle(wanted.groupBy("anchor").agg(F.sum(F.col("first.n") + (scheme.window - 1)).alias("units")).where(F.col("units") > group_units).select("anchor"), "crowded")
+    if crowded.isEmpty():
+        return _read(docs, wanted, scheme, None), None
+    hot = wanted.join(crowded, "anchor", "left_semi")
+    cores = settle(_read(docs, hot, scheme, step), "cores")
+    shared = settle(cores.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "shared")
+    likely = maybe_in(cores, F.col("grp"), shared, F.col("grp")).where("maybe").drop("maybe").join(shared, "grp", "left_semi")
+    return _read(docs, wanted.join(crowded, "anchor", "left_anti"), scheme, None), settle(_windows(likely, scheme), "windows")
+
+
+def _read(docs: DataFrame, wanted: DataFrame, scheme: Scheme, step: int | None) -> DataFrame:
+    """(grp, anchor, body, doc, sig, start, lo, units) of passages ``wanted(anchor, body, first)``: whole under their anchor, or ``step`` windows each under their core."""
+    wanted = wanted.groupBy("first.doc", "first.sig").agg(
+        F.collect_list(F.struct("anchor", "body", "first.start", "first.n", "first.off")).alias("parts"))      # a document's own passages
     wanted = settle(wanted.select(F.col("doc").alias("d"), F.col("sig").alias("s"), "parts"), "wanted")
     near = maybe_in(docs, F.col("sig"), wanted, F.col("s")).where("maybe").dropDuplicates(["doc", "sig"])
     joined = near.join(wanted, near["doc"].eqNullSafe(wanted["d"]) & (near["sig"] == wanted["s"])).select("doc", "sig", "value", "parts")
     kinds = dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["grp", "anchor", "body", "lo", "row", "start", "copies", "units"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["grp", "anchor", "body", "lo", "row", "start", "units"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for i in range(len(batch)):
                 units, rows = scheme.split(batch.column("value")[i].as_py()), []
                 for p in batch.column("parts")[i].as_py():
                     whole = [(0, p["n"], p["anchor"])]
-                    if p["hot"]:
+                    if step:
                         whole = []
                         for at in range(-(p["off"] // step) * step - step, p["n"] - p["off"], step):      # windows at..at+step-1 from the anchor on
                             lo, hi = max(0, at + p["off"]), min(p["n"], at + p["off"] + step)
@@ -183,12 +198,32 @@ def fetched(docs: DataFrame, distinct: DataFrame, groups: DataFrame, scheme: Sch
                                 whole.append((lo, hi - lo, xxhash.xxh3_64_intdigest(core, seed=(p["anchor"] + at) % (1 << 64)) - (1 << 63)))
                     for lo, n, grp in whole:
                         a = p["start"] + lo
-                        rows.append((grp, p["anchor"], p["body"], lo, i, p["start"], p["copies"], scheme.join(units[a:a + n + scheme.window - 1])))
+                        rows.append((grp, p["anchor"], p["body"], lo, i, p["start"], scheme.join(units[a:a + n + scheme.window - 1])))
                 columns = {k: pa.array(c, t) for k, c, t in zip(names, zip(*rows), types)}
                 at = columns.pop("row")
                 yield pa.RecordBatch.from_arrays([*columns.values(), batch.column("doc").take(at), batch.column("sig").take(at)], [*columns, "doc", "sig"])
 
-    return joined.mapInArrow(cut, f"grp long, anchor long, body long, lo int, start int, copies long, units binary, doc {kinds['doc']}, sig {kinds['sig']}")
+    return joined.mapInArrow(cut, f"grp long, anchor long, body long, lo int, start int, units binary, doc {kinds['doc']}, sig {kinds['sig']}")
+
+
+def _windows(cores: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, anchor, body, doc, sig, start, lo) of every window of ``cores``."""
+    kinds = dict(cores.dtypes)
+    same = ["anchor", "body", "start", "doc", "sig"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row, lo = [], [], []
+            for i, (raw, first) in enumerate(zip(batch.column("units").to_pylist(), batch.column("lo").to_pylist())):
+                units = scheme.parts(raw)
+                n = len(units) - scheme.window + 1
+                key += [xxhash.xxh3_128_digest(scheme.join(units[k:k + scheme.window])) for k in range(n)]
+                row += [i] * n
+                lo += range(first, first + n)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *[batch.column(c).take(at) for c in same], pa.array(lo, pa.int32())], ["key", *same, "lo"])
+
+    return cores.mapInArrow(cut, f"key binary, {', '.join(f'{c} {kinds[c]}' for c in same)}, lo int")
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[list[dict]]]:

@@ -7,7 +7,8 @@ than the reader's go; together they make the maximal spans removed.
 
 The reference is the corpus itself, so its automata have no size bound and are not sent everywhere: passages that can match have the same anchor (``passages``),
 anchors deal reference and documents to shards, and each shard's automaton is built in the task that streams the documents for it. Equal passages are streamed once for all
-their places. A shard holds about ``SHARD`` bytes of passages; an anchor with more than ``group_words`` words of distinct passages is split further.
+their places. A shard holds about ``SHARD`` bytes of passages; an anchor with more than ``group_words`` words of
+distinct passages is decided by an aggregation of hashed windows (128 bits) instead, so no task holds a group of unbounded size.
 
 A document's id decides what is earlier, null last; windows that are repeated only inside one document, or under one id, stay. Defined cases: null and empty texts
 have no words. Windows are judged on the input. Extra columns pass through.
@@ -45,7 +46,7 @@ def _word_hashes():
 
 
 def scheme(window: int) -> Scheme:
-    return Scheme(lambda s: (s or "").encode("utf-8", "replace").split(), _word_hashes, b" ".join, gram=max(1, (window - 1) // 2 - 1), window=window)
+    return Scheme(lambda s: (s or "").encode("utf-8", "replace").split(), _word_hashes, b" ".join, lambda raw: raw.split(b" "), gram=max(1, (window - 1) // 2 - 1), window=window)
 
 
 def repeated(docs: DataFrame, window: int = 13, group_words: int = 100_000) -> DataFrame:
@@ -53,7 +54,7 @@ def repeated(docs: DataFrame, window: int = 13, group_words: int = 100_000) -> D
     plan = scheme(window)
     found = occurrences(docs, plan)
     distinct, groups = collapsed(found)
-    bodies = fetched(docs, distinct, groups, plan, group_words, step=3)
+    bodies, singles = fetched(docs, distinct, groups, plan, group_words, step=3)
     kind = dict(docs.dtypes)["doc"]
     part = f"array<struct<lo:int,hi:int,last:boolean,id:{kind}>>"
 
@@ -82,12 +83,19 @@ def repeated(docs: DataFrame, window: int = 13, group_words: int = 100_000) -> D
     windows = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("last", pa.bool_()), ("id", ids)]))
     schema = pa.schema([("anchor", pa.int64()), ("body", pa.int64()), ("windows", windows)])
     judged = bodies.repartition("grp").sortWithinPartitions("grp").mapInArrow(task, f"anchor long, body long, windows {part}")
+    if singles is not None:     # windows that a smaller document than the passage's first holds
+        own = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("id"))
+        least = singles.groupBy("key").agg(F.min(own).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+        found_in = F.array(F.struct("lo", (F.col("lo") + 1).alias("hi"), "least.last", "least.id"))
+        judged = judged.unionByName(singles.join(least, "key").where(F.col("least") < own).select("anchor", "body", found_in.cast(part).alias("windows")))
     judged = settle(judged.groupBy("anchor", "body").agg(F.flatten(F.collect_list("windows")).alias("windows")), "judged")     # parts of one passage
     verdict = distinct.join(groups.select("anchor", "mixed"), "anchor").join(judged, ["anchor", "body"], "left").where("copies > 1 or mixed").select(
         "anchor", "body", "first", "windows")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"), F.col("first.last").alias("last"), F.col("first.doc").alias("id")))
+    # Single windows are only told where they stand in a smaller document than the passage does.
+    told = F.coalesce("windows", whole) if singles is None else F.concat(F.coalesce("windows", F.array().cast(part)), whole)
     own = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("id"))
-    hit = found.join(verdict, ["anchor", "body"]).select("doc", "sig", "start", F.explode(F.coalesce("windows", whole)).alias("w")).where(
+    hit = found.join(verdict, ["anchor", "body"]).select("doc", "sig", "start", F.explode(told).alias("w")).where(
         F.struct(F.col("w.last").alias("last"), F.col("w.id").alias("id")) < own)
     span = F.struct((F.col("start") + F.col("w.lo")).alias("lo"), (F.col("start") + F.col("w.hi") + (window - 1)).alias("hi"))
     return hit.groupBy("doc", "sig").agg(F.array_sort(F.collect_set(span)).alias("spans"))       # a document's own spans

@@ -5,7 +5,8 @@ earlier partner is the nearest neighbour with a smaller position on either side;
 begins earlier (``keep="first"``: copies go, the first stays) or anywhere else (``keep="none"``).
 
 Positions whose string can have a partner are found by anchors (``passages``): suffix arrays are built over the distinct passages of a
-bounded number of anchors at a time, in as many tasks as there are partitions, never over a whole corpus. Equal passages are one text with several places.
+bounded number of anchors at a time, in as many tasks as there are partitions, never over a whole corpus. Equal passages are one text with several places. An anchor
+with over ``group_bytes`` of different passages is decided by counting hashed windows (128 bits), so no task holds a group of unbounded size.
 
 Places are ordered by (document id, null last; hash of the text; position). Defined cases: null is the empty text. Equal rows are different
 documents that copy each other (with ``keep="first"`` they share a place and are treated alike). Matches never cross documents. Strings are judged on the input. Extra columns pass through.
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +33,7 @@ def _byte_hashes():
 
 
 def scheme(length: int) -> Scheme:
-    return Scheme(lambda s: (s or "").encode("utf-8", "replace"), _byte_hashes, bytes, gram=max(2, length // 6), window=length)
+    return Scheme(lambda s: (s or "").encode("utf-8", "replace"), _byte_hashes, bytes, bytes, gram=max(2, length // 6), window=length)
 
 
 def _ranks(raw: np.ndarray, limit: int) -> dict[int, np.ndarray]:
@@ -116,12 +118,32 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _judged_windows(windows: DataFrame, span: str) -> DataFrame:
+    """(anchor, body, earlier, other) of passages from their single ``windows(key, anchor, body, doc, sig, start, lo)``."""
+    at = F.struct(F.col("doc").isNull().alias("last"), "doc", "sig", (F.col("start") + F.col("lo")).alias("at"))
+    equal = windows.groupBy("key").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    met = windows.join(equal, "key").select("anchor", "body", "lo", (F.col("least") < at).alias("before"))
+
+    @F.pandas_udf(span)
+    def ranges(lists: pd.Series) -> pd.Series:
+        def runs(at: np.ndarray) -> list[dict]:
+            at = np.sort(np.asarray(at, np.int64))
+            cut = np.flatnonzero(np.diff(at) != 1) + 1
+            return [{"lo": int(p[0]), "hi": int(p[-1]) + 1} for p in np.split(at, cut) if len(p)]
+
+        return lists.map(runs)
+
+    lists = met.groupBy("anchor", "body").agg(      # a passage's own windows
+        F.collect_list(F.when(F.col("before"), F.col("lo"))).alias("earlier"), F.collect_list("lo").alias("other"))
+    return lists.select("anchor", "body", ranges("earlier").alias("earlier"), ranges("other").alias("other"))
+
+
 def repeated(docs: DataFrame, length: int = 200, keep: str = "first", group_bytes: int = 4 << 20) -> DataFrame:
     """(doc, sig, spans): byte ranges (from, to) of ``docs(doc, sig, value)`` to remove, for documents that lose any."""
     plan = scheme(length)
     found = occurrences(docs, plan)
     distinct, groups = collapsed(found)
-    bodies = fetched(docs, distinct, groups, plan, group_bytes, step=8)
+    bodies, windows = fetched(docs, distinct, groups, plan, group_bytes, step=8)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in in_groups(batches, BATCH):
@@ -148,6 +170,8 @@ def repeated(docs: DataFrame, length: int = 200, keep: str = "first", group_byte
 
     span = "array<struct<lo:int,hi:int>>"
     judged = bodies.repartition("grp").sortWithinPartitions("grp").mapInArrow(task, f"anchor long, body long, earlier {span}, other {span}")
+    if windows is not None:
+        judged = judged.unionByName(_judged_windows(windows, span))
     judged = judged.where("size(earlier) + size(other) > 0").groupBy("anchor", "body").agg(
         F.flatten(F.collect_list("earlier")).alias("earlier"), F.flatten(F.collect_list("other")).alias("other"))     # parts of one passage
     verdict = distinct.join(settle(judged, "judged"), ["anchor", "body"], "left").where("copies > 1 or earlier is not null")
