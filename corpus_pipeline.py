@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line nearly equals; those left without a word go. ``n_chars`` follows the text."""
-    done = line_dedup.dedup(docs).where((F.size("removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    done = line_dedup.dedup(docs, short=True).where((F.size("removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept"), "n_chars": F.coalesce(F.length("kept").cast("long"), F.col("row")["n_chars"])}
     return done.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 

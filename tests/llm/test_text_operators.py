@@ -156,3 +156,10 @@ def test_line_dedup_defined_cases(spark):
     assert got[None, 7] == (1, [0], "") and got[2, 8] == (0, [], None) and got[3, 9] == (1, [], "")
     assert got[4, 1] == (4, [0, 3], "\na c d e")
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_short_lines_go_when_equal(spark, tmp_path):
+    rows = [(1, "Read more\n\nx\nAll rights reserved."), (2, "Read  more\n\nRead this more\nAll rights kept.\nx"), (None, "x\nRead more")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in queries.QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 4], None: [0, 1]}

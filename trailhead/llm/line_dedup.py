@@ -10,7 +10,8 @@ A line with a partner shares its first or its last half with it, counted by the
 Lines without another line that does so can have no partner and emit no variants. Both tests are exact and leave few lines.
 
 Lines are taken in order of (document id, null last; hash of the text; place in the text). A line goes if an equal or close line
-comes earlier, whether or not that one stays. Lines with under ``min_words`` words stay: they are too short to tell copies from chance.
+comes earlier, whether or not that one stays. Of lines with under ``min_words`` words only equal ones go, as an edit there can't be
+told from chance, and only with ``short``; otherwise they stay. Lines without a word are no copies of each other and stay.
 
 Only DataFrame functions are used. Defined cases: a null text stays null, an empty one empty. Rows with the same id and the same
 text are one document: all of them keep or lose the same lines. Extra columns pass through.
@@ -71,24 +72,25 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (_prefix(a, b) + _prefix(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, sig, no, words) of the lines long enough; ``doc`` and ``sig`` name the document."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc, sig, no, words) of the lines with at least ``least`` words; ``doc`` and ``sig`` name the document."""
     split = docs.select("doc", "sig", F.posexplode(F.split("value", "\n")).alias("no", "line"))
-    return split.select("doc", "sig", "no", _words(F.col("line")).alias("words")).where(F.size("words") >= min_words)
+    return split.select("doc", "sig", "no", _words(F.col("line")).alias("words")).where(F.size("words") >= least)
 
 
 def _place() -> Column:
     return F.struct(F.col("doc").isNull().alias("last"), "doc", "sig", "no")
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, short: bool = False) -> DataFrame:
     """(doc, sig, removed): the numbers (from 0, ascending) of the lines that go, for documents that lose any.
 
     ``doc`` is the id and ``sig`` the 64-bit hash of the text.
     """
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("sig"), F.col(text).alias("value")).where("value is not null")
-    rows = _lines(named, min_words)
-    found = settle(rows.select("doc", "sig", "no", _hash(F.col("words")).alias("line"), _without_part(F.col("words"), 2).alias("halves")), "lines")
+    rows = _lines(named, 1 if short else min_words)
+    halves = F.when(F.size("words") >= min_words, _without_part(F.col("words"), 2))      # null: only equal lines count
+    found = settle(rows.select("doc", "sig", "no", _hash(F.col("words")).alias("line"), halves.alias("halves")), "lines")
     firsts = settle(found.groupBy("line").agg(F.min(_place()).alias("place")), "firsts")
 
     # First places of lines that share a half with another line.
@@ -140,9 +142,9 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return gone.groupBy("doc", "sig").agg(F.sort_array(F.collect_set("no")).alias("removed"))    # bounded by a document's lines
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, short: bool = False) -> DataFrame:
     """Every row as struct ``row`` with ``n_lines``, ``removed`` (line numbers) and ``kept``, its text without them."""
-    gone = removed_lines(docs, doc_id, text, min_words).select(F.col("doc").alias("d"), F.col("sig").alias("s"), "removed")
+    gone = removed_lines(docs, doc_id, text, min_words, short).select(F.col("doc").alias("d"), F.col("sig").alias("s"), "removed")
     rows = packed(docs, doc=F.col(doc_id), sig=F.xxhash64(text), value=F.col(text))
     gone = settle(gone, "gone")
     told = maybe_in(rows, F.col("sig"), gone, F.col("s"))

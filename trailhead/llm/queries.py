@@ -92,7 +92,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.dedup(docs)
+    done = line_dedup.dedup(docs, short=True)
     return done.select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
