@@ -165,6 +165,30 @@ def test_near_duplicate_classes(spark, sf):
     assert got == {i: top(i) for i in sets}
 
 
+@pytest.mark.parametrize("bits", [6, 20])
+def test_near_duplicates_are_verified_by_exact_frequencies(spark, bits):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template = [word() for _ in range(120)]
+    docs = [(i, " ".join(template + [word() for _ in range(n)])) for i, n in enumerate([6, 7, 8, 9, 10, 11, 12, 14, 16, 20] * 3)]
+    docs += [(100 + i, " ".join(word() for _ in range(200))) for i in range(120)]
+    docs += [(300 + i, t[:-len(t) // 14]) for i, t in docs[30:40]]
+    shingles = {i: Counter(zip(*[t.split()[k:] for k in range(5)])) for i, t in docs}
+    seen = Counter(g for c in shingles.values() for g in c)
+    root = {i: i for i in shingles}
+    top = lambda x: x if root[x] == x else top(root[x])
+    for a, ca in shingles.items():
+        for b, cb in shingles.items():
+            if a < b and ca.keys() & cb.keys():
+                idf = {g: np.log((1 + len(docs)) / (1 + seen[g])) + 1 for g in ca | cb}
+                if sum(min(ca[g], cb[g]) * w for g, w in idf.items()) >= 0.8 * sum(max(ca[g], cb[g]) * w for g, w in idf.items()):
+                    x, y = top(a), top(b)
+                    root[max(x, y)] = min(x, y)
+    got = {r.doc: r.class_id for r in weighted_minhash.classes(spark.createDataFrame(docs, "doc_id int, text string"), bits=bits).collect()}
+    assert got == {i: top(i) for i in shingles}
+    assert len(set(got.values())) not in (1, len(docs))
+
+
 def test_sampling_follows_weighted_jaccard():
     rng = np.random.default_rng(0)
     sampler = weighted_minhash.Sampler(2000)

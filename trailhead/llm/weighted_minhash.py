@@ -1,16 +1,18 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: count in the document times inverse document frequency. Frequencies
-are counted over all documents in ``2 ** bits`` hashed features, a bounded table that is sent to the tasks. Consistent weighted
-sampling draws ``bands * rows`` samples a document such that two documents' samples agree with the probability of their weighted
+are counted over all documents in ``2 ** bits`` hashed features, a bounded table that is sent to the tasks. These counts serve for sampling and are
+upper bounds of a shingle's own. Consistent weighted sampling draws ``bands * rows`` samples a document such that two documents' samples agree with the probability of their weighted
 Jaccard similarity. Documents that agree in all rows of a band are candidates; these are verified by the weighted Jaccard similarity
-of their whole texts. Classes are the connected components of verified links.
+of their whole texts under exact frequencies: where the bounds leave the verdict open, a second pass counts the exact frequencies of
+the open candidates' shingles over all documents. Classes are the connected components of verified links.
 
 A band's bucket may hold very many documents. They are not paired with each other: in each round a bucket's documents are
 compared with one leader, other rounds have other leaders, and documents already in the leader's class are left out. For documents that
 still share a bucket with another class an exact prefix filter ends the search: similar texts share one of their rarest shingles, so
 documents of different classes that do are compared, and no link between them is lost. Candidates whose samples agree
-in less than ``screen`` of all places are not verified (at similarity 0.8 and 48 samples under one in 100,000).
+in less than ``screen`` of all places are not verified (at a similarity of 0.8 under the sampling weights and 48 samples under one in 100,000; the
+sampling weights are the hashed ones, so candidates are found by them, and only their verification is exact).
 
 Equal texts are one from the beginning. Defined cases: a text with fewer words than a shingle is one shingle; texts without words (and null texts) have none
 and are alone. Ids are compared by (id, hash of the text); rows equal in both are one document. A null id sorts first.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import packed, unpacked
+from .common import BITMAP, packed, unpacked
 from .components import components
 
 SLICES = 64
@@ -89,11 +91,12 @@ def frequencies(docs: DataFrame, text: str = "text", bits: int = 20, width: int
 
 
 class Weights:
-    """Inverse document frequency by hashed feature."""
+    """Inverse document frequency by hashed feature: never above a shingle's own, which is never above ``most``."""
 
     def __init__(self, n: int, seen: np.ndarray):
         self.shift = np.uint64(64 - (len(seen).bit_length() - 1))
         self.idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+        self.most = float(np.log((1 + n) / 2) + 1)
 
     def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts.astype(np.float32) * self.idf[(shingles >> self.shift).astype(np.int64)]
@@ -125,13 +128,13 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, weights: Weights, samples: int, text: str = "text", width: int = 5) -> DataFrame:
-    """(doc, sig, total, samples): of each row of ``docs(doc, sig, text)`` the whole weight and the samples, as whole numbers; null without shingles."""
+    """(doc, sig, total, most, samples): of each row of ``docs(doc, sig, text)`` the whole weight, a bound of its exact value, and the samples, as whole numbers; null without shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, shingle, sampler = sent.value, Shingler(width), Sampler(samples)
         for batch in batches:
-            total, drawn, ends = [], [], [0]
+            total, most, drawn, ends = [], [], [], [0]
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def draw():
@@ -146,9 +149,11 @@ def signatures(docs: DataFrame, weights: Weights, samples: int, text: str = "tex
                 ends.append(ends[-1] + samples * (len(found) > 0))
                 if not len(found):
                     total.append(None)
+                    most.append(None)
                     continue
                 w = weigh(found, counts)
                 total.append(float(w.sum(dtype=np.float64)))
+                most.append(float(counts.sum() * weigh.most))
                 held.append((found, w))
                 size += len(found)
                 if size > CHUNK:
@@ -159,26 +164,52 @@ def signatures(docs: DataFrame, weights: Weights, samples: int, text: str = "tex
             missing = pa.array([t is None for t in total], pa.bool_())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=missing)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("sig"), pa.array(total, pa.float64()), lists], ["doc", "sig", "total", "samples"])
+                [batch.column("doc"), batch.column("sig"), pa.array(total, pa.float64()), pa.array(most, pa.float64()), lists],
+                ["doc", "sig", "total", "most", "samples"])
 
     kinds = dict(docs.dtypes)
-    return docs.select("doc", "sig", F.col(text).alias("text")).mapInArrow(task, f"doc {kinds['doc']}, sig {kinds['sig']}, total double, samples array<int>")
+    return docs.select("doc", "sig", F.col(text).alias("text")).mapInArrow(task, f"doc {kinds['doc']}, sig {kinds['sig']}, total double, most double, samples array<int>")
 
 
-def jaccard(weights: Weights, a, b) -> float:
+def jaccard(weights, a, b) -> float:
     """Weighted Jaccard similarity of two (shingles, counts)."""
     wa, wb = weights(*a).astype(np.float64), weights(*b).astype(np.float64)
-    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return _similarity(a[0], wa, b[0], wb)
+
+
+def _similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     low = np.minimum(wa[ia], wb[ib]).sum()
     high = wa.sum() + wb.sum() - low
     return float(low / high) if high else 0.0
 
 
+def decided(weights: Weights, a, b, threshold: float) -> bool | None:
+    """Whether two (shingles, counts) are similar enough under any frequencies that the hashed ones bound; None if that depends on them.
+
+    Similar means that the sum of (smaller count - threshold * larger count) * weight is not negative: linear in the weights.
+    """
+    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    least, most = weights(a[0][ia], np.ones(len(ia))).astype(np.float64), weights.most
+    part = np.minimum(a[1][ia], b[1][ib]) - threshold * np.maximum(a[1][ia], b[1][ib])
+    up, down = np.maximum(part, 0), np.minimum(part, 0)
+    alone_least = alone_most = 0.0
+    for (shingles, counts), at in ((a, ia), (b, ib)):
+        rest = np.ones(len(shingles), bool)
+        rest[at] = False
+        alone_least += threshold * weights(shingles[rest], counts[rest]).sum(dtype=np.float64)
+        alone_most += threshold * counts[rest].sum() * most
+    margin = 1e-5 * (alone_most + (up - down).sum() * most)      # the table holds 32-bit floats
+    if up.sum() * most + (down * least).sum() - alone_least < -margin:
+        return False
+    return True if (up * least).sum() + down.sum() * most - alone_most > margin else None
+
+
 def _rare_shingles(texts: DataFrame, weights: Weights, threshold: float, width: int) -> DataFrame:
     """(token, id, root): of each text of ``texts(id, root, text)`` the rarest shingles, as many as it can lack in nothing similar.
 
     Two texts at the threshold share at least that part of either's weight, so they share a shingle among what comes first in any
-    order of all shingles until the rest is too light. Rare ones come first, by the table of frequencies.
+    order of all shingles until the rest is too light, whatever the exact weights between the bounds. Rare ones come first, by the table of frequencies.
     """
     sent = texts.sparkSession.sparkContext.broadcast(weights)
     kinds = texts.schema
@@ -191,7 +222,8 @@ def _rare_shingles(texts: DataFrame, weights: Weights, threshold: float, width:
                 found, counts = shingle(value.as_py())
                 order = np.lexsort((found, -weigh.idf[(found >> weigh.shift).astype(np.int64)]))
                 w = weigh(found, counts).astype(np.float64)[order]
-                n = int(np.searchsorted(np.cumsum(w), (1 - threshold) * w.sum() * 1.0001, side="right")) + 1
+                rest = (counts.sum() - np.cumsum(counts[order])) * weigh.most
+                n = int(np.searchsorted(threshold * np.cumsum(w) - (1 - threshold) * rest * 1.0001, 0, side="right")) + 1
                 tokens.append(found[order[:n]])
                 rows.append(np.full(min(n, len(found)), i))
             at = pa.array(np.concatenate(rows))
@@ -202,12 +234,63 @@ def _rare_shingles(texts: DataFrame, weights: Weights, threshold: float, width:
     return texts.select("id", "root", "text").mapInArrow(task, f"token long, id {kind['id']}, root {kind['root']}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough; ``texts(id, text)``."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+def _exact(open_: DataFrame, texts: DataFrame, named: DataFrame, n: int, threshold: float, width: int, bits: int = 27) -> DataFrame:
+    """The pairs ``open_(a, b)`` that are similar enough under the exact document frequencies of their shingles among all ``named(text)``.
+
+    Only shingles of these pairs are counted: others are left out before the shuffle by a table of ``2 ** bits`` bits, which loses none.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(width)
+        for batch in batches:
+            for i in range(len(batch)):
+                found, counts = shingle(batch.column("text")[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.full(len(found), i))), pa.array(found.view(np.int64)), pa.array(counts)],
+                                                 ["id", "token", "count"])
+
+    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = settle(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(emit, f"id {kind}, token long, count long"), "shingles")
+    asked = settle(parts.select("token").distinct(), "asked")
+    size = 1 << (bits - 15)
+    slots = asked.select(F.pmod("token", F.lit(size)).cast("int").alias("slot"), F.pmod(F.shiftright("token", 24), F.lit(BITMAP)).alias("bit"))
+    table = np.zeros((size, BITMAP // 8), np.uint8)
+    for row in slots.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():      # at most ``size`` rows of 4 KiB
+        table[row["slot"]] = np.frombuffer(row["bits"], np.uint8)
+    sent = named.sparkSession.sparkContext.broadcast(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, wanted = Shingler(width), sent.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                hits = [np.empty(0, np.int64)]
+                for value in batch.column(0)[i:i + 256]:
+                    t = shingle(value.as_py())[0].view(np.int64)
+                    bit = (t >> 24) % BITMAP
+                    hits.append(t[(wanted[t % size, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1])
+                tokens, many = np.unique(np.concatenate(hits), return_counts=True)
+                yield pa.record_batch({"token": pa.array(tokens), "n": pa.array(many, pa.int64())})
+
+    seen = named.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).join(asked, "token", "left_semi")
+    weight = F.col("count") * (F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1)
+    weighed = parts.join(seen, "token").select("id", "token", weight.alias("w")).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("token", "w"))).alias("all"))      # a document's own shingles
+    weighed = settle(weighed.select("id", F.col("all.token").alias("t"), F.col("all.w").alias("w")), "weighed")
 
     @F.pandas_udf("boolean")
-    def similar(left: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def similar(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+        return pd.Series([_similarity(*(np.asarray(x) for x in row)) >= threshold - 1e-12 for row in zip(ta, wa, tb, wb)], dtype=bool)
+
+    one, two = (weighed.select(F.col("id").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}")) for k in "ab")
+    return open_.join(one, "a").join(two, "b").where(similar("ta", "wa", "tb", "wb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, named: DataFrame, weights: Weights, n: int, threshold: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough; ``texts(id, text)``, and ``named(text)`` of all ``n`` documents with shingles."""
+    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("int")
+    def verdict(left: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         weigh, shingle = sent.value, Shingler(width)
         last, held = None, None
         for a, b in left:
@@ -215,12 +298,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
             for x, y in zip(a, b):      # rows come sorted by b: one leader's set serves many
                 if y != last:
                     last, held = y, shingle(y)
-                out.append(jaccard(weigh, shingle(x), held) >= threshold)
-            yield pd.Series(out, dtype=bool)
+                sure = decided(weigh, shingle(x), held, threshold)
+                out.append(-1 if sure is None else int(sure))
+            yield pd.Series(out, dtype="int32")
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").where(similar("ta", "tb")).select("a", "b")
+    told = settle(pairs.join(one, "a").join(two, "b").select("a", "b", verdict("ta", "tb").alias("sure")).where("sure <> 0"), "told")
+    open_ = told.where("sure < 0").select("a", "b")
+    sure = told.where("sure > 0").select("a", "b")
+    return sure if open_.isEmpty() else sure.unionByName(_exact(open_, texts, named, n, threshold, width))
 
 
 def classes(
@@ -234,11 +321,12 @@ def classes(
     """
     samples = bands * rows
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("sig"), F.col(text).alias("text"))
-    weights = Weights(*frequencies(named, "text", bits, width))
+    n_docs, seen = frequencies(named, "text", bits, width)
+    weights = Weights(n_docs, seen)
     drawn = settle(signatures(named, weights, samples, "text", width), "samples")
     # Equal texts (equal hash, weight and samples) are one; the smallest id stands for them.
     same = ["sig", "total", "samples"]
-    texts = settle(drawn.where("samples is not null").groupBy(*same).agg(F.min("doc").alias("id")), "texts").withColumn("id", F.struct("id", "sig"))
+    texts = settle(drawn.where("samples is not null").groupBy(*same).agg(F.min("doc").alias("id"), F.min("most").alias("most")), "texts").withColumn("id", F.struct("id", "sig"))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(F.slice("samples", i * rows + 1, F.lit(rows))).alias("h")))
@@ -246,7 +334,7 @@ def classes(
     crowded = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     slots = settle(slots.join(crowded, "slot"), "slots")
     met = slots.groupBy("id").agg(F.sum("n").alias("met"))
-    facts = texts.join(met, "id").select("id", "total", "samples", "met")
+    facts = texts.join(met, "id").select("id", "total", "most", "samples", "met")
     facts = settle(facts, "facts")
     ids = facts.select(F.col("id.id").alias("doc"), F.col("id.sig").alias("sig"))
     wanted = ids.select(F.col("doc").alias("d"), F.col("sig").alias("s"))
@@ -255,10 +343,10 @@ def classes(
 
     def screened(pairs: DataFrame) -> DataFrame:
         """Pairs whose weights and samples leave the threshold possible."""
-        f = pairs.join(facts.select(F.col("id").alias("a"), F.col("total").alias("wa"), F.col("samples").alias("sa")), "a").join(
-            facts.select(F.col("id").alias("b"), F.col("total").alias("wb"), F.col("samples").alias("sb")), "b")
+        f = pairs.join(facts.select(F.col("id").alias("a"), F.col("total").alias("wa"), F.col("most").alias("ma"), F.col("samples").alias("sa")), "a").join(
+            facts.select(F.col("id").alias("b"), F.col("total").alias("wb"), F.col("most").alias("mb"), F.col("samples").alias("sb")), "b")
         agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return f.where((F.least("wa", "wb") >= threshold * F.greatest("wa", "wb") * 0.9999) & (agree >= int(screen * samples))).select("a", "b")
+        return f.where((F.col("ma") >= threshold * F.col("wb") * 0.9999) & (F.col("mb") >= threshold * F.col("wa") * 0.9999) & (agree >= int(screen * samples))).select("a", "b")
 
     links = None
     tried = None
@@ -289,7 +377,7 @@ def classes(
             if n < rounds:
                 continue
             break
-        new = settle(_verified(pairs, bodies, weights, threshold, width), "links")
+        new = settle(_verified(pairs, bodies, named, weights, n_docs, threshold, width), "links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
         label = settle(facts.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "roots")
