@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trailhead.functions import paths
 from trailhead.operators import reporting, telemetry
 
 GOOD = {"schema_version": 1, "event_type": "x", "event_time": "t", "install_id": "i", "channel": "stable", "build_id": ""}
@@ -90,3 +91,11 @@ def test_index_builds_and_experiments(spark):
     out = {r.session_id: r for r in telemetry.experiment_summary(df).collect()}
     assert float(out["s"].savings) == 1.5 and out["s"].savings_pct == 37.5 and out["s"].winner == "treatment"
     assert out["t"].missing == "treatment" and out["t"].winner is None
+
+
+def test_whole_conversations_and_texts(spark):
+    rows = [("b", i, "other", ["Edit"]) for i in range(300)] + [("c", 0, "user", ["Edit"]), ("c", 1, "other", ["Write"])]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, tool_names array<string>")
+    assert {r.conv_id: r.edits for r in telemetry.turn_tool_counts(turns, tail=None).collect()} == {"b": 300, "c": 1}
+    late = spark.createDataFrame([("x.py", "# " + "x" * 3000 + "\nimport click\n")], "path string, content string")
+    assert paths.classify(late).first().subkind == "cli" and paths.classify(late, head_chars=2048).first().subkind == "util"

@@ -68,11 +68,11 @@ def _imports(modules: str) -> str:
     return rf"(?imU)^\s*(?:from|import)\s+(?:{modules})\b"
 
 
-def subkind(kind_col: Column | str, path: Column | str, content: Column | str) -> Column:
-    """Refinement of code, doc and config files; empty for the other kinds."""
+def subkind(kind_col: Column | str, path: Column | str, content: Column | str, head_chars: int | None = None) -> Column:
+    """Refinement of code, doc and config files; empty for the other kinds. Texts are read whole unless ``head_chars`` is given."""
     k, path, content = as_col(kind_col), as_col(path), F.coalesce(as_col(content), F.lit(""))
     low_name, low_parts = F.lower(name(path)), parts(F.lower(path))
-    head = F.left(content, F.lit(K.HEADER_SAMPLE_CHARS))
+    head = content if head_chars is None else F.left(content, F.lit(head_chars))
     has_text = content != ""
     code = (
         F.when(head.rlike("(?iU)" + K.GENERATED_MARKER), "generated")
@@ -160,11 +160,11 @@ def is_dunder(path: Column | str) -> Column:
     return name(path).startswith("__") & name(path).endswith(".py")
 
 
-def classify(files, path: str = "path", content: str = "content"):
+def classify(files, path: str = "path", content: str = "content", head_chars: int | None = None):
     """Add ext, kind, subkind and doc_score to a ``files`` frame."""
     return (
         files.withColumn("ext", extension(path))
         .withColumn("kind", kind(path))
-        .withColumn("subkind", subkind("kind", path, content))
+        .withColumn("subkind", subkind("kind", path, content, head_chars))
         .withColumn("doc_score", F.when(F.col("kind") == "doc", doc_score(path)).otherwise(F.lit(0.0)))
     )

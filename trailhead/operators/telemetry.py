@@ -166,12 +166,12 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
         F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "").alias("tool_names"))
 
 
-def turn_tool_counts(transcripts: DataFrame, validate_tool: str = "validate_plan", tail: int = K.TRANSCRIPT_TAIL_LINES) -> DataFrame:
-    """Edits and validations after the last user message of each conversation, or in its last lines if it has none."""
+def turn_tool_counts(transcripts: DataFrame, validate_tool: str = "validate_plan", tail: int | None = K.TRANSCRIPT_TAIL_LINES) -> DataFrame:
+    """Edits and validations after the last user message of each conversation; if it has none, in its last ``tail`` lines, or in all for None."""
     ends = transcripts.groupBy("conv_id").agg(
         F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("_user"), F.max("turn").alias("_end"))
-    start = F.coalesce(F.col("_user"), F.col("_end") - tail)
-    inside = salted_join(transcripts, ends, ["conv_id"], ["turn"]).where(F.col("turn") > start)
+    start = F.col("_user") if tail is None else F.coalesce(F.col("_user"), F.col("_end") - tail)
+    inside = salted_join(transcripts, ends, ["conv_id"], ["turn"]).where(start.isNull() | (F.col("turn") > start))
     calls = inside.select("conv_id", F.explode("tool_names").alias("tool")).groupBy("conv_id").agg(
         F.count_if(F.col("tool").isin(K.EDIT_ACTIONS)).alias("edits"),
         F.count_if(F.col("tool") == validate_tool).alias("validates"))

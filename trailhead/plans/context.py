@@ -95,7 +95,7 @@ def rules_for_tasks(tasks: DataFrame, files: DataFrame, k: int = 12) -> tuple[Da
 
 def bundles(
     tasks: DataFrame, files: DataFrame, edges: DataFrame, emb: DataFrame | None = None, index_ok: bool | None = None,
-    max_code: int = 10, **options,
+    max_code: int | None = None, summary_chars: int | None = None, **options,
 ) -> DataFrame:
     """Ground-truth bundle per task: authority, constraints, code, examples, edit scope, validation plan and risks."""
     auth, cons = rules_for_tasks(tasks, files)
@@ -123,8 +123,8 @@ def bundles(
     ref = lambda items: F.transform(items, lambda i: F.struct(i["path"].alias("path"), i["reason"].alias("reason"),
                                                               i["score"].alias("score"), i["snippet"].alias("snippet")))
     return out.select(
-        "task_id", "repo", F.left("task", F.lit(240)).alias("task_summary"), F.col("task").alias("task_raw"),
-        "authority", "constraints", ref(F.slice("files", 1, max_code)).alias("relevant_code"),
+        "task_id", "repo", (F.col("task") if summary_chars is None else F.left("task", F.lit(summary_chars))).alias("task_summary"), F.col("task").alias("task_raw"),
+        "authority", "constraints", ref(F.col("files") if max_code is None else F.slice("files", 1, max_code)).alias("relevant_code"),
         ref(F.filter("docs", lambda d: d["path"].startswith("examples/"))).alias("examples"),
         "edit_scope", "validation_plan", "risk_notes", ranker.alias("ranker"), warning.alias("warnings"), "metrics")
 

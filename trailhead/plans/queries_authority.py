@@ -252,6 +252,13 @@ def contract_candidates(spark, sf):
         "path", F.array_join("signals", ",").alias("signals"), "rank")
 
 
+@query("d16_contract_candidates_whole", """
+SELECT path, 'filename_hint' AS signals, row_number() OVER (ORDER BY path) AS rank FROM (SELECT replace(path, '/m', '/models_') AS path FROM v_files WHERE path LIKE '%/models/m%')""")
+def contract_candidates_whole(spark, sf):
+    models = files_of(spark, sf).where("path like '%/models/%'").withColumn("path", F.replace("path", F.lit("/m"), F.lit("/models_")))
+    return A.contract_candidates(models.withColumn("content", F.lower("content"))).select("path", F.array_join("signals", ",").alias("signals"), "rank")
+
+
 @query("d17_suggestions", """
 WITH s AS (SELECT split_part(path, '/', 1) AS name, count(*) AS n FROM v_source WHERE path LIKE 'pkg%' OR path LIKE 'web/%' GROUP BY 1 HAVING count(*) >= 3)
 SELECT 'docs/architecture/' || name || '.md' AS path, 'architecture' AS template_hint, 'How the `' || name || '/` subsystem is organized and what it owns' AS topic FROM s""")
@@ -282,7 +289,7 @@ def edge_targets(spark, sf):
 
 def _bundles(spark, sf):
     files, tasks = stored_files(spark, sf), view(spark, sf, "v_work")
-    return context.bundles(tasks, files, settle(graph.dependency_edges(files), "edges"), index_ok=False)
+    return context.bundles(tasks, files, settle(graph.dependency_edges(files), "edges"), index_ok=False, max_code=10, summary_chars=240)
 
 
 @query("f10_bundles", f"""WITH {_WORK}, {_SCOPE}

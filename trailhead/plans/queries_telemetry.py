@@ -147,6 +147,19 @@ def turn_tool_counts(spark, sf):
     return telemetry.turn_tool_counts(_transcript(spark, sf))
 
 
+_TURNS_WHOLE = _TURNS.replace("max(turn) - 200", "min(turn) - 1")
+
+
+@query("h13_turn_tool_counts_whole", _TURNS_WHOLE + "SELECT * FROM c")
+def turn_tool_counts_whole(spark, sf):
+    return telemetry.turn_tool_counts(_transcript(spark, sf), tail=None)
+
+
+@query("h14_missing_validation_whole", _TURNS_WHOLE + "SELECT * FROM c WHERE edits > 0 AND validates = 0")
+def missing_validation_whole(spark, sf):
+    return telemetry.missing_validation(_transcript(spark, sf), tail=None)
+
+
 @query("h13_parse_transcript", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'other' END AS role, coalesce(tool_name, '') AS tools FROM v_transcript")
 def parse_transcript(spark, sf):
     block = F.array(F.struct(F.lit("tool_use").alias("type"), F.col("tool_name").alias("name")), F.struct(

@@ -30,6 +30,11 @@ def cut_content(spark, sf):
     return cut.select("path", F.length("content").cast("long").alias("kept_chars"))
 
 
+@query("a1_cut_content_whole", "SELECT path, length(content) AS kept_chars FROM v_files")
+def cut_content_whole(spark, sf):
+    return SF.cut_content(view(spark, sf, "v_files")).select("path", F.length("content").cast("long").alias("kept_chars"))
+
+
 @query("a2_supported_paths", """SELECT DISTINCT path FROM v_diff WHERE regexp_matches(path, '\\.(py|md|yaml|ts)$')""")
 def supported_paths(spark, sf):
     return SF.supported_paths(view(spark, sf, "v_diff").select("path").distinct())
@@ -125,6 +130,11 @@ def subkind(spark, sf):
     return files_of(spark, sf).select("path", "subkind")
 
 
+@query("b2_subkind_whole", f"SELECT path, {SUBKIND.replace('left(content, 2048)', 'content')} AS subkind FROM v_files")
+def subkind_whole(spark, sf):
+    return paths.classify(view(spark, sf, "v_files").select("repo", "path", "content")).select("path", "subkind")
+
+
 @query("b3_full_kind", f"""
 SELECT path, {KIND} || CASE WHEN {SUBKIND} = '' THEN '' ELSE '/' || {SUBKIND} END AS full_kind, {KIND} AS parent_kind FROM v_files""")
 def full_kind(spark, sf):

@@ -226,6 +226,11 @@ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, sha ORDER B
 b AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY repo ORDER BY age_days, seq) AS rank FROM u) WHERE rank <= 25)"""
 
 
+@query("e15_advisory_branches_whole", _BRANCHES.replace(" WHERE rank <= 25", "") + "SELECT repo, branch, sha, rank FROM b")
+def advisory_branches_whole(spark, sf):
+    return vectors.advisory_branches(view(spark, sf, "v_branches")).select("repo", "branch", "sha", "rank")
+
+
 @query("e15_advisory_branches", _BRANCHES + "SELECT repo, branch, sha, rank FROM b")
 def advisory_branches(spark, sf):
     return vectors.advisory_branches(view(spark, sf, "v_branches"), k=25).select("repo", "branch", "sha", "rank")

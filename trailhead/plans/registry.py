@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import paths
+from ..functions import constants as K, paths
 from ..operators.skew import spread
 from ..session import scratch_root, settle
 from . import views
@@ -34,7 +34,7 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def files_of(spark: SparkSession, sf_dir: str, view: str = "v_files") -> DataFrame:
     """A view's files, classified. Small inputs arrive as a few scan partitions and are spread before the text work."""
     rows = views.view(spark, sf_dir, view).select("repo", "path", "content")
-    return paths.classify(rows if view == "v_files" else spread(rows, ["path"]))   # v_files reads spread documents
+    return paths.classify(rows if view == "v_files" else spread(rows, ["path"]), head_chars=K.HEADER_SAMPLE_CHARS)   # v_files reads spread documents
 
 
 def stored_files(spark: SparkSession, sf_dir: str, view: str = "v_source") -> DataFrame:
