@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, mixing, pii, quality, substrings, suffix_dedup, topk, url_rules, weighted_minhash
+from . import (bpe, line_dedup, mixing, pii, product_codes, quality, spelling, substrings, suffix_dedup, topk, url_rules, weighted_minhash,
+               whitening)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,78 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.dedup(docs, window=13, columns=["doc_id"])
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["hi"] - r["lo"])
     return done.select("row.doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, "embedding", components=16, scale=64.0, offset=1_000_000)
+    done = whitening.transform(rows, model, "embedding", keep=["vec_id"])
+    explained = F.lit(model.explained.tolist()).cast("array<double>")
+    return done.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+@query("op12_product_codes", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT r, vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v),
+links AS (
+  SELECT a.r, b.r AS other, b.vec_id AS other_id
+  FROM u a JOIN u b ON a.r <> b.r AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reached(r, other) AS (SELECT r, other FROM links UNION SELECT reached.r, links.other FROM reached JOIN links ON reached.other = links.r),
+component AS (SELECT reached.r, min(u.vec_id) AS least FROM reached JOIN u ON u.r = reached.other GROUP BY reached.r),
+degree AS (SELECT r, count(*) AS n FROM links GROUP BY r),
+judged AS (
+  SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(least, v.vec_id)) AS component_id
+  FROM v LEFT JOIN degree USING (r) LEFT JOIN component USING (r)
+  UNION ALL
+  SELECT vec_id, 0, vec_id FROM embeddings
+  WHERE vec_id IS NULL OR embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+    OR len(list_filter(embedding, lambda x: x <> 0)) = 0)
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM judged""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return product_codes.classes(rows, threshold=0.95, keep=["vec_id"]).select("row.vec_id", "n_links", "component_id", "kept")
+
+
+# The checksum goes through the text's half bytes: its table holds the sixteen remainders of the CRC-32 polynomial (fixed values).
+@query("op13_spelling", """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+halves AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c) & 15, unicode(c) >> 4]
+         ELSE [(192 + (unicode(c) >> 6)) & 15, (192 + (unicode(c) >> 6)) >> 4, (128 + (unicode(c) & 63)) & 15, (128 + (unicode(c) & 63)) >> 4] END)) AS h
+  FROM runs),
+checked AS (
+  SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda b: b::BIGINT)), lambda c, b: xor(c >> 4,
+    [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+     3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, b) & 15) + 1])), 4294967295) AS crc
+  FROM halves),
+words AS (
+  SELECT word, sum(n) AS n FROM (
+    SELECT n, CASE WHEN doc_id IS NOT NULL AND crc % 31 = 0
+      THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM checked)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN other END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain(word, place, steps) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT chain.word, formed.form, steps + 1 FROM chain JOIN formed ON chain.place = formed.word WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed JOIN ends USING (word)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), least_letters=7, least_count=2, slip_every=31)
+    return spelling.group(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
