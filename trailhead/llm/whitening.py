@@ -260,7 +260,7 @@ def transform(df: DataFrame, model: Whitening, vector: str = "embedding", keep:
     scale, k, most = model.scale, len(model.values), max(map(abs, sums), default=0)
     shift = np.array([s // n for s in sums] if n else [], np.int64)
     rest = np.array([(s % n) / n for s in sums] if n else [])
-    out = rows.select("row").withColumns({"deviation": F.lit(0).cast("long"), "whitened": F.array().cast("array<double>")}).schema
+    out = rows.select("row").withColumns({"deviation": F.lit(None).cast("long"), "whitened": F.array().cast("array<double>")}).schema
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
