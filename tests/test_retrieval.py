@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailhead.functions import paths, text as T
-from trailhead.operators import ranking, vectors
+from trailhead.operators import impact, ranking, vectors
 from trailhead.plans.registry import files_of
 from trailhead.plans.views import view
 
@@ -118,7 +118,7 @@ def test_salted_ranking_equals_broadcast(spark, sf, monkeypatch):
     run = lambda: (sorted(map(tuple, ranking.rank_files(tasks, files, emb, epsilon=0.0).select("task_id", "path", "rank").collect())),
                    sorted(map(tuple, ranking.rank_documents(tasks, files).select("task_id", "path", "rank").collect())))
     small = run()
-    monkeypatch.setattr(ranking, "MAX_BROADCAST_TERMS", 0)
+    monkeypatch.setattr(impact, "MAX_BROADCAST_TERMS", 0)
     monkeypatch.setattr(ranking, "MAX_BROADCAST_TASKS", 0)
     assert run() == small and small[0] and small[1]
 
@@ -178,3 +178,82 @@ def test_threshold_fallbacks(spark):
     df = spark.createDataFrame([("code", "handler"), ("code", "x"), ("test", "")], "kind string, subkind string")
     got = {(r.kind, r.subkind): (r.qualify, r.tiebreak) for r in ranking.resolve_thresholds(df, ranking.merge_thresholds(layers)).collect()}
     assert got == {("code", "handler"): (0.2, 0.1), ("code", "x"): (0.3, 0.1), ("test", ""): (0.3, 0.05)}
+
+
+# ---- bounds ----------------------------------------------------------------------------------------------------------
+
+
+def expected_ranking(tasks, files, emb, kinds, k):
+    """All pairs of tasks and files, scored one by one in Python."""
+    import re
+
+    from trailhead.functions import constants as K
+
+    toks = lambda s: {t for t in (x.lower() for x in re.findall("[A-Za-z0-9]+", s)) if len(t) > 1 and t not in K.STOPWORDS}
+    scores = {(r.task_id, r.path): r.score for r in emb.collect()} if emb is not None else None
+    corpus = [(f, toks(f.path.rsplit("/", 1)[-1]), toks(f.path), toks(f.content)) for f in files.collect() if f.kind in kinds]
+    out = []
+    for t in tasks.collect():
+        rows = []
+        for f, name, path, content in corpus:
+            if f.repo != t.repo:
+                continue
+            nn, np_, nc = (len(toks(t.task) & s) for s in (name, path, content))
+            doc = f.kind == "doc"
+            h = f.doc_score + 4.0 * np_ + nc if doc else (6.0 * nn + 3.0 * np_ + nc) * (0.5 if f.kind == "config" else 1.0)
+            e = None if scores is None else scores.get((t.task_id, f.path), 0.0)
+            score = h if e is None else max(0.0, e) + 0.05 * math.tanh(max(0.0, h) / 12.0)
+            worthy = np_ > 0 or nc >= 2 or (doc and f.doc_score >= 12) or (not doc and nn > 0)
+            if score > 0 and (worthy or (e is not None and e >= 0.3)):
+                rows.append((-score, f.path))
+        out += [(t.task_id, p, i + 1, round(-s, 9)) for i, (s, p) in enumerate(sorted(rows)[:k])]
+    return sorted(out)
+
+
+def skewed_corpus(spark, n=1500):
+    """One word in every file, some in many files, some in few, some in names; two repos."""
+    rng = np.random.default_rng(12)
+    common = [f"word{i}" for i in range(12)]
+    rows = []
+    for i in range(n):
+        body = ["everywhere", *[w for j, w in enumerate(common) if rng.random() < 0.9 / (j + 1)], f"rare{rng.integers(0, n // 3)}"]
+        name = f"rare{i % 97}" if i % 50 == 0 else f"f{i:05d}"
+        ending = ("py", "md", "yaml")[i % 3]
+        rows.append(("big" if i % 5 else "small", f"{'docs/' if ending == 'md' else 'src/'}d{i % 7}/{name}_{i}.{ending}", " ".join(body)))
+    rows += [("big", f"pkg{i}/AGENTS.md", "everywhere word3") for i in range(9)]
+    files = paths.classify(spark.createDataFrame(rows, "repo string, path string, content string"))
+    asked = ["everywhere rare7", "everywhere word0", "word1 word2 word5 everywhere", "rare3 rare9 rare15 word0", "everywhere", "no such thing", "word0 word1 word2 word3 word4 word5 word6 word7"]
+    asked += [f"rare{int(rng.integers(0, n // 3))} everywhere word{int(rng.integers(0, 12))}" for _ in range(33)]
+    tasks = spark.createDataFrame([(i, "small" if i % 8 == 7 else "big", a) for i, a in enumerate(asked)], "task_id int, repo string, task string")
+    emb = spark.createDataFrame(
+        [(int(rng.integers(0, 5)) * 8 + int(rng.integers(0, 7)), "big", rows[int(rng.integers(0, n))][1], float(s)) for s in rng.uniform(-0.2, 0.9, 300)],
+        "task_id int, repo string, path string, score double").dropDuplicates(["task_id", "path"])
+    return tasks, files, emb
+
+
+@pytest.mark.parametrize("hybrid", [False, True])
+def test_bounded_ranking_equals_all_pairs(spark, monkeypatch, hybrid):
+    monkeypatch.setattr(impact, "DIRECT_PAIRS", 0)
+    monkeypatch.setattr(impact, "SEED_PAIRS", 16)
+    monkeypatch.setattr(impact, "BLOCK_FILES", 16)
+    tasks, files, emb = skewed_corpus(spark)
+    scores = emb if hybrid else None
+    for rank, kinds, k in ((ranking.rank_files, {"code", "config"}, 8), (ranking.rank_documents, {"doc"}, 6)):
+        more = {"epsilon": 0.0} if rank is ranking.rank_files else {}
+        got = sorted((r.task_id, r.path, r.rank, round(r.score, 9)) for r in rank(tasks, files, scores, **more).collect())
+        assert got == expected_ranking(tasks, files, scores, kinds, k)
+
+
+def test_a_token_of_every_file_forms_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(impact, "DIRECT_PAIRS", 0)
+    monkeypatch.setattr(impact, "SEED_PAIRS", 32)
+    rows = [("r", f"src/m{i:05d}.py", f"everywhere topic{i % 400}") for i in range(4000)]
+    files = paths.classify(spark.createDataFrame(rows, "repo string, path string, content string"))
+    tasks = spark.createDataFrame([(i, "r", f"everywhere topic{i}") for i in range(100)], "task_id int, repo string, task string")
+    report = {}
+    got = {}
+    for r in ranking.rank_files(tasks, files, report=report).collect():
+        got.setdefault(r.task_id, []).append(r.path)
+    assert got == {i: [f"src/m{j:05d}.py" for j in range(i, 4000, 400)][:8] for i in range(100)}
+    formed = sum(report.values())
+    assert 0 < formed < 0.05 * 100 * 4000, report

@@ -1,9 +1,8 @@
 """Ranking of documents and files for batches of tasks.
 
-The corpus is inverted: distinct (file, token) rows meet the tasks' tokens in an equi-join on (repo, token), and one
-aggregation per (task, file) counts the shared tokens. Pairs that share nothing are never formed; the two groups that may
-rank without a shared token — files similar by vector, and high-value documents — enter as extra rows of the same
-aggregation.
+The corpus is inverted: distinct (file, token) rows meet the tasks' tokens in an equi-join on (repo, token). Which pairs of a task and a
+file are formed at all is decided by bounds on their scores (:mod:`impact`). Pairs that share nothing are never formed; the two groups
+that may rank without a shared token — files similar by vector, and high-value documents — take part as given pairs.
 """
 
 from __future__ import annotations
@@ -11,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths, scoring, text as T
-from .skew import fits, salted_join, top_k, union_all
+from . import impact
+from .skew import fits, top_k, union_all
 
 HIGH_DOC_SCORE = 12.0
-MAX_BROADCAST_TERMS = 200_000   # (task, token) rows; about 20 MB
 MAX_BROADCAST_TASKS = 20_000    # tasks whose ranked rows (at most 8 each) may be broadcast; about 30 MB
+MAX_BROADCAST_BYTES = 8 << 20   # of their texts, whose words go with each ranked row
 
 _LAYERS = {"default": 0, "file": 1, "learned": 2, "env": 3}
 
@@ -88,39 +88,31 @@ def file_terms(files: DataFrame) -> DataFrame:
     return files.select(*carried, F.inline(F.concat(in_content, in_path)))
 
 
-def _matches(files: DataFrame, tasks: DataFrame) -> DataFrame:
-    terms, wanted = file_terms(files), task_terms(tasks)
-    if fits(wanted, MAX_BROADCAST_TERMS):
-        return terms.join(F.broadcast(wanted), ["repo", "token"])
-    return salted_join(terms, wanted, ["repo", "token"], spread_by=["path"])
+def _given(pairs: DataFrame, files: DataFrame, e: Column) -> DataFrame:
+    """Pairs (task_id, repo, path) that take part whatever tokens they share, with their files' facts and vector score."""
+    attributes = files.select("repo", "path", *impact.FACTS)
+    return pairs.select("task_id", "repo", "path", e.cast("double").alias("e")).join(attributes, ["repo", "path"])
 
 
-def _evidence(files: DataFrame, tasks: DataFrame, emb: DataFrame | None, extra: DataFrame | None = None) -> DataFrame:
-    """Per (task, file) with any evidence: shared-token counts by field and the vector score, if given."""
-    facts = ["kind", "subkind", "doc_score", "qualify", "tiebreak"]
-    counts = ["n_name", "n_path", "n_content"]
-    shape = ["task_id", "repo", "path", *facts, *counts, "e"]
-    no_score = F.lit(None).cast("double")
-    frames = [_matches(files, tasks).withColumn("e", no_score).select(*shape)]
-    attributes = files.select("repo", "path", *facts)
+def _best(tasks: DataFrame, files: DataFrame, emb: DataFrame | None, judge: impact.Judge, k: int, extra: DataFrame | None = None,
+          report: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` judged pairs per task, and all judged pairs formed; see :func:`impact.best_pairs`."""
+    none = F.lit(None).cast("double")
+    given = [] if emb is None else [_given(emb, files, F.col("score"))]
+    given += [] if extra is None else [_given(extra, files, none)]
+    return impact.best_pairs(file_terms(files), task_terms(tasks), judge, k, union_all(given) if given else None,
+                             no_score=None if emb is None else 0.0, report=report)
 
-    def bare(pairs: DataFrame) -> DataFrame:
-        return pairs.select("*", *[F.lit(0).alias(c) for c in counts]).select(*shape)
 
-    if emb is not None:
-        scored = emb.select("task_id", "repo", "path", F.col("score").alias("e"))
-        frames.append(bare(scored.join(attributes, ["repo", "path"])))
-    if extra is not None:
-        frames.append(bare(extra.withColumn("e", no_score)))
-    pairs = union_all(frames).groupBy("task_id", "repo", "path").agg(
-        *[F.max(c).alias(c) for c in facts], *[F.sum(c).cast("double").alias(c) for c in counts], F.max("e").alias("e"))
-    return pairs if emb is None else pairs.fillna(0.0, ["e"])
+def _bytes(tasks: DataFrame) -> int:
+    return tasks.agg(F.sum(F.octet_length("task"))).first()[0] or 0
 
 
 def _with_text(winners: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Fetch the text of ranked rows. While the tasks are few the rows go to the texts, so no text is shuffled."""
     texts = files.select("repo", "path", "content")
-    small = F.broadcast(winners) if fits(tasks, MAX_BROADCAST_TASKS) else winners
+    # Up to eight winners a task travel with the task's words; both the rows and the bytes are checked.
+    small = F.broadcast(winners) if fits(tasks, MAX_BROADCAST_TASKS) and _bytes(tasks) <= MAX_BROADCAST_BYTES else winners
     return texts.join(small, ["repo", "path"])
 
 
@@ -141,37 +133,44 @@ def _shared(text: Column | str) -> Column:
 
 
 def rank_documents(
-    tasks: DataFrame, files: DataFrame, emb: DataFrame | None = None, k: int = 6, thresholds: DataFrame | None = None
+    tasks: DataFrame, files: DataFrame, emb: DataFrame | None = None, k: int = 6, thresholds: DataFrame | None = None,
+    report: dict | None = None,
 ) -> DataFrame:
-    """Best ``k`` documents per task. ``tasks`` is (task_id, repo, task); ``emb`` is (task_id, repo, path, score)."""
+    """Best ``k`` documents per task. ``tasks`` is (task_id, repo, task); ``emb`` is (task_id, repo, path, score).
+
+    ``report`` receives the numbers of pairs and bounds that were formed.
+    """
     docs = resolve_thresholds(files.where(F.col("kind") == "doc"), thresholds)
     # A high-value document ranks even without evidence. It then scores its own value, so of those only the best k per
     # repo can be among a task's best k: any other is beaten by k documents that score at least as much.
     own = scoring.blend("doc_score", F.lit(0.0) if emb is not None else F.lit(None).cast("double"), "tiebreak")
     high = docs.where(F.col("doc_score") >= HIGH_DOC_SCORE).drop("content").withColumn("own", own)
-    high = top_k(high, ["repo"], [F.col("own").desc(), "path"], k, "_n").drop("_n", "own")
-    extra = high.join(tasks.select("task_id", "repo"), "repo")
-    pairs = _evidence(docs, tasks, emb, extra)
-    h = F.col("doc_score") + 4.0 * F.col("n_path") + F.col("n_content")
-    similar = F.coalesce(F.col("e") >= F.col("qualify"), F.lit(False))
-    worthy = (F.col("n_path") > 0) | (F.col("n_content") >= 2) | (F.col("doc_score") >= HIGH_DOC_SCORE)
-    scored = pairs.withColumn("h", h).withColumn("score", scoring.blend("h", "e", "tiebreak"))
-    kept = scored.where((similar | worthy) & (F.col("score") > 0))
-    ranked = top_k(kept, ["task_id"], [F.col("score").desc(), "path"], k)
+    high = top_k(high, ["repo"], [F.col("own").desc(), "path"], k, "_n")
+    extra = high.select("repo", "path").join(tasks.select("task_id", "repo"), "repo")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        h = F.col("doc_score") + 4.0 * F.col("n_path") + F.col("n_content")
+        similar = F.coalesce(F.col("e") >= F.col("qualify"), F.lit(False))
+        worthy = (F.col("n_path") > 0) | (F.col("n_content") >= 2) | (F.col("doc_score") >= HIGH_DOC_SCORE)
+        scored = pairs.withColumn("h", h).withColumn("score", scoring.blend("h", "e", "tiebreak"))
+        return scored.withColumn("ok", (similar | worthy) & (F.col("score") > 0))
+
+    ranked, _ = _best(tasks, docs, emb, judge, k, extra, report)
     overlap = F.array_intersect("task_tokens", F.array_union(T.token_set("path"), T.token_set("content")))
     return _explain(ranked, files, tasks, overlap, "High-value documentation for repository context")
 
 
-def _file_pairs(tasks: DataFrame, files: DataFrame, emb: DataFrame | None, thresholds: DataFrame | None) -> DataFrame:
-    pairs = _evidence(resolve_thresholds(files.where(F.col("kind").isin("code", "config")), thresholds), tasks, emb)
+def _judge_files(pairs: DataFrame) -> DataFrame:
     h = 6.0 * F.col("n_name") + 3.0 * F.col("n_path") + F.col("n_content")
     h = F.when(F.col("kind") == "config", h * 0.5).otherwise(h)
     named = (F.col("n_name") > 0) | (F.col("n_path") > 0) | (F.col("n_content") >= 2)
-    return (
-        pairs.withColumn("h", h).withColumn("score", scoring.blend("h", "e", "tiebreak"))
-        .withColumn("lexical", named)
-        .withColumn("similar", F.coalesce(F.col("e") >= F.col("qualify"), F.lit(False)))
-    )
+    scored = pairs.withColumn("h", h).withColumn("score", scoring.blend("h", "e", "tiebreak")).withColumn("lexical", named).withColumn(
+        "similar", F.coalesce(F.col("e") >= F.col("qualify"), F.lit(False)))
+    return scored.withColumn("ok", (F.col("similar") | F.col("lexical")) & (F.col("score") > 0))
+
+
+def _best_files(tasks: DataFrame, files: DataFrame, emb: DataFrame | None, k: int, thresholds: DataFrame | None, report: dict | None = None):
+    return _best(tasks, resolve_thresholds(files.where(F.col("kind").isin("code", "config")), thresholds), emb, _judge_files, k, report=report)
 
 
 def _file_overlap() -> Column:
@@ -202,12 +201,10 @@ def explore(pairs: DataFrame, tasks: DataFrame, files: DataFrame, epsilon: float
 
 def rank_files(
     tasks: DataFrame, files: DataFrame, emb: DataFrame | None = None, k: int = 8, thresholds: DataFrame | None = None,
-    epsilon: float = 0.05, seed: int = 0,
+    epsilon: float = 0.05, seed: int = 0, report: dict | None = None,
 ) -> DataFrame:
     """Best ``k`` code and config files per task, plus exploration probes when vector scores are given."""
-    pairs = _file_pairs(tasks, files, emb, thresholds)
-    kept = pairs.where((F.col("similar") | F.col("lexical")) & (F.col("score") > 0))
-    ranked = top_k(kept, ["task_id"], [F.col("score").desc(), "path"], k)
+    ranked, pairs = _best_files(tasks, files, emb, k, thresholds, report)
     out = _explain(ranked, files, tasks, _file_overlap(), "Task tokens align with file name and content")
     if emb is None or epsilon <= 0:
         return out
@@ -221,4 +218,5 @@ def exploration_probes(
     tasks: DataFrame, files: DataFrame, emb: DataFrame, epsilon: float = 0.05, seed: int = 0,
     thresholds: DataFrame | None = None,
 ) -> DataFrame:
-    return explore(_file_pairs(tasks, files, emb, thresholds), tasks, files, epsilon, seed)
+    _, pairs = _best_files(tasks, files, emb, 1, thresholds)
+    return explore(pairs, tasks, files, epsilon, seed)
