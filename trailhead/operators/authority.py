@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, globs, paths, text as T
+from . import glob_automaton
 from .skew import numbered, salted_join, top_k, union_all
 
 _NO_STRINGS = "array<string>"
@@ -206,16 +207,15 @@ def constraints(auth: DataFrame) -> DataFrame:
 def glob_join(targets: DataFrame, rules: DataFrame, by: list[str] = ("repo",)) -> DataFrame:
     """Pairs of ``targets`` (by…, path) and ``rules`` (by…, glob, …) that match.
 
-    Rules are joined on the directory every match must lie under (an exact rule on the path itself), so a pattern only
-    meets the paths below its own directory. Patterns without one meet every path; those are spread by salting.
+    Exact rules are an equi-join on the path. Patterns go through one automaton per key (:mod:`glob_automaton`), so what is compared grows
+    with the matches and not with patterns times paths, whatever the patterns begin with.
     """
     by = list(by)
     exact = globs.is_exact("glob")
-    keyed = rules.withColumn("_key", F.when(exact, F.concat(F.lit("="), "glob")).otherwise(globs.literal_dir("glob")))
-    places = F.array_append(globs.ancestors("path"), F.concat(F.lit("="), F.col("path")))
-    spread = targets.withColumn("_key", F.explode(places))
-    pairs = salted_join(spread, keyed, [*by, "_key"], spread_by=["path"])
-    return pairs.where(F.col("_key").startswith("=") | globs.glob_match("path", "glob")).drop("_key")
+    same = salted_join(targets, rules.where(exact).withColumn("path", F.col("glob")), [*by, "path"], spread_by=["path"])
+    matched = glob_automaton.matches(targets, rules.where(~exact), by)
+    columns = [*targets.columns, *[c for c in rules.columns if c not in by]]
+    return same.select(*columns).unionByName(matched.select(*columns))
 
 
 def rank_authority(auth: DataFrame, tasks: DataFrame, k: int = 12) -> DataFrame:
