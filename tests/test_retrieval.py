@@ -109,6 +109,48 @@ def test_overlay_cap(spark):
     assert kept == {("a", "old"), ("b", "old"), ("c", "old")}
 
 
+def clustered(spark, n=3000, dim=12, clusters=25):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(clusters, dim))
+    v = centres[rng.integers(0, clusters, n)] + 0.05 * rng.normal(size=(n, dim))
+    v = np.round(v / np.linalg.norm(v, axis=1)[:, None] * 256) / 256      # products are exact in any order
+    rows = [("r", f"f{i // 4}.py", i % 4, "code", "repo", "chunk", {}, f"h{i}", [float(np.float32(x)) for x in v[i]]) for i in range(n)]
+    q = np.round(centres[:20] / np.linalg.norm(centres[:20], axis=1)[:, None] * 256) / 256
+    asked = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(q)], "query_id long, vector array<double>")
+    return spark.createDataFrame(rows, CHUNK).repartition(2), rows, asked
+
+
+@pytest.mark.parametrize("limit", [4096, 7])
+def test_tiles_leave_out_what_their_bounds_exclude(spark, monkeypatch, limit):
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", limit)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 1000)
+    tile = 32 * 20 * 40     # bytes of 40 chunks and 20 queries
+    table, rows, queries = clustered(spark)
+    got = {(r.query_id, r.path, r.chunk_index, round(r.score, 5)) for r in vectors.search(table, queries, k=5, tile_bytes=tile).collect()}
+    assert got == brute(rows, queries, 5, 0.0)
+    counted = vectors.search_tiles(table, queries, k=5, tile_bytes=tile).first()
+    assert counted.tiles > 500 and counted.skipped / counted.tiles > 0.25, counted
+
+
+def test_tiles_stay_below_their_bytes(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+
+    monkeypatch.setattr(vectors, "SLAB_ROWS", 2048)
+    rng = np.random.default_rng(18)
+    v = rng.normal(size=(20_000, 16)).astype(np.float32)
+    pdf = pd.DataFrame({"repo": "r", "path": [f"p{i}" for i in range(len(v))], "chunk_index": 0, "kind": "code", "namespace": "n", "record_type": "c", "vector": list(v)})
+    q = rng.normal(size=(4000, 16))
+    top = vectors._TopK(vectors._Asked(np.arange(4000), q, np.array([None] * 4000)), 3, -np.inf, tile_bytes=4 << 20)
+    monkeypatch.setattr(top, "_settle", lambda: (top.rows.clear(), setattr(top, "held", 0)))      # measure the tiles, not the kept rows
+    tracemalloc.start()
+    list(top.add(pdf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 20_000 * 4000 * 8 > 100 * (4 << 20) and peak < 3 * (4 << 20) + 2 * vectors.PAIR_ROWS * 100, peak
+
+
 # ---- ranking ---------------------------------------------------------------------------------------------------------
 
 

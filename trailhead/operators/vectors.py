@@ -1,7 +1,9 @@
 """Vector retrieval over a ``chunks`` table keyed by (repo, path, chunk_index).
 
-Scores are exact: every query meets every chunk that passes the filters. The products are computed in Arrow batches with
-numpy, and each task keeps only its best ``k`` rows per query, so what is shuffled does not grow with the chunk table.
+Scores are exact: every query meets every chunk that passes the filters, or a proof that it can't be among its best. Products are computed
+in tiles of neighbouring chunks, of at most ``TILE_BYTES`` whatever the batch and the number of queries. A tile's centroid and radius
+bound all its scores (q·c + |q| r), so a search leaves out the queries whose k-th score is above the bound. Each task keeps only its
+best ``k`` rows per query, so what is shuffled does not grow with the chunk table.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from .skew import numbered, fits, top_k, union_all
 SCORE_DIGITS = 6               # vectors are single precision: further digits are noise
 MAX_BROADCAST_QUERIES = 4096   # a block of queries: 16 MB of doubles at 512 dimensions
 CELL_ROWS = 50_000             # chunk rows per cell when queries are too many to broadcast
+SLAB_ROWS = 8_192              # chunk rows that are laid out as a matrix at a time
+TILE_BYTES = 32 << 20          # scores of one tile, with the copies made of them
+PAIR_ROWS = 200_000            # (query, chunk) rows handed on at a time where all pairs are asked for
 
 KEY = ["repo", "path", "chunk_index"]
 _ENTRY = [*KEY, "kind", "namespace", "record_type"]
@@ -45,23 +50,72 @@ def filter_chunks(
     return chunks
 
 
-def _products(pdf: pd.DataFrame, matrix: np.ndarray, repos: np.ndarray) -> np.ndarray:
-    """Scores of chunks (rows) and queries; minus infinity where a query asks for another repo."""
-    block = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-    scores = np.round(block @ matrix.T, SCORE_DIGITS)
-    asked = repos != None  # noqa: E711
-    if asked.any():
-        scores[(pdf["repo"].to_numpy()[:, None] != repos[None, :]) & asked[None, :]] = -np.inf
-    return scores
-
-
-def _all_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, repos: np.ndarray) -> pd.DataFrame:
-    scores = _products(pdf, matrix, repos)
-    at, q = np.nonzero(scores > -np.inf)
-    out = pdf[_ENTRY].iloc[at].reset_index(drop=True)
-    out.insert(0, "query_id", ids[q])
-    out["score"] = scores[at, q]
-    return out
+class _Asked:
+    """A block of queries inside a task."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, repos: np.ndarray):
+        self.ids, self.matrix, self.repos = ids, matrix, repos
+        self.bound_to_repo = repos != None  # noqa: E711
+        self.norms = np.sqrt((matrix * matrix).sum(1))
+
+    def scores(self, block: np.ndarray, repos: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Scores of chunks (rows) and live queries; minus infinity where a query asks for another repo."""
+        out = block @ self.matrix[live].T
+        np.round(out, SCORE_DIGITS, out=out)
+        if self.bound_to_repo[live].any():
+            out[(repos[:, None] != self.repos[live][None, :]) & self.bound_to_repo[live][None, :]] = -np.inf
+        return out
+
+
+def _tiles(pdf: pd.DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of at most ``rows`` chunks that lie near each other: those with the same nearest leader."""
+    rows = max(1, rows)
+    for at in range(0, len(pdf), SLAB_ROWS):
+        block = np.stack(pdf["vector"].iloc[at:at + SLAB_ROWS].to_numpy()).astype(np.float64)
+        n = len(block)
+        if n <= rows:
+            yield np.arange(at, at + n), block
+            continue
+        leaders = block[np.linspace(0, n - 1, -(-n // rows)).astype(int)]
+        nearest = np.concatenate([(block[i:i + 1024] @ leaders.T - 0.5 * (leaders * leaders).sum(1)).argmax(1) for i in range(0, n, 1024)])
+        order = np.argsort(nearest, kind="stable")
+        ends = [*(np.flatnonzero(np.diff(nearest[order])) + 1), n]
+        start = 0
+        for end in ends:
+            for i in range(start, end, rows):
+                mine = order[i:min(i + rows, end)]
+                yield mine + at, block[mine]
+            start = end
+
+
+class _AllPairs:
+    """Hands on the scores of all pairs, tile by tile."""
+
+    def __init__(self, asked: _Asked, tile_bytes: int = TILE_BYTES):
+        self.asked, self.tile_rows = asked, min(PAIR_ROWS, tile_bytes // 16) // max(1, len(asked.ids))
+
+    def add(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        asked, everything = self.asked, np.arange(len(self.asked.ids))
+        entries, repos = pdf[_ENTRY], pdf["repo"].to_numpy()
+        for mine, block in _tiles(pdf, self.tile_rows):
+            scores = asked.scores(block, repos[mine], everything)
+            at, q = np.nonzero(scores > -np.inf)
+            out = entries.iloc[mine[at]].reset_index(drop=True)
+            out.insert(0, "query_id", asked.ids[q])
+            out["score"] = scores[at, q]
+            yield out
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        return iter(())
+
+
+class _PathBest(_AllPairs):
+    """The best score of each path of a tile; the rest is a grouping."""
+
+    def add(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for pairs in super().add(pdf):
+            if len(pairs):
+                yield pairs.loc[pairs.groupby(["query_id", "repo", "path"])["score"].idxmax()]
 
 
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -69,14 +123,63 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def _best_pairs(pdf: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, repos: np.ndarray, k: int, min_score: float) -> pd.DataFrame:
-    scores = _products(pdf, matrix, repos)
-    kth = scores.min(axis=0) if len(pdf) <= k else np.partition(scores, len(pdf) - k, axis=0)[len(pdf) - k]
-    at, q = np.nonzero((scores >= kth) & (scores >= min_score) & (scores > -np.inf))   # ties at the edge are settled by ``_best``
-    out = pdf[_ENTRY].iloc[at].reset_index(drop=True)
-    out.insert(0, "query_id", ids[q])
-    out["score"] = scores[at, q]
-    return _best(out, k)
+class _TopK:
+    """The best ``k`` chunks of each query so far; tiles are left out for queries whose k-th score their bound stays below."""
+
+    def __init__(self, asked: _Asked, k: int, floor: float, tile_bytes: int = TILE_BYTES):
+        self.asked, self.k, self.floor, self.tile_rows = asked, k, floor, tile_bytes // (32 * max(1, len(asked.ids)))
+        self.top = np.empty((0, len(asked.ids)))        # best scores of each query, k at most
+        self.kth = np.full(len(asked.ids), -np.inf)
+        self.rows: list[pd.DataFrame] = []
+        self.held = self.tiles = self.skipped = 0
+
+    def add(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        asked, k = self.asked, self.k
+        entries, repos = pdf[_ENTRY], pdf["repo"].to_numpy()
+        for mine, block in _tiles(pdf, self.tile_rows):
+            centre = block.mean(0)
+            radius = np.sqrt(((block - centre) ** 2).sum(1).max())
+            # Two units of the last digit cover rounding; ties with the k-th score are decided by key, so they stay.
+            bound = asked.matrix @ centre + asked.norms * radius + 2 * 10.0 ** -SCORE_DIGITS
+            live = np.flatnonzero((bound >= self.kth) & (bound >= self.floor))
+            self.tiles += len(asked.ids)
+            self.skipped += len(asked.ids) - len(live)
+            if not len(live):
+                continue
+            scores = asked.scores(block, repos[mine], live)
+            best = scores if len(mine) <= k else np.partition(scores, len(mine) - k, axis=0)[len(mine) - k:]
+            before = self.top
+            merged = np.full((len(before) + len(best), len(asked.ids)), -np.inf)
+            merged[:len(before)] = before
+            merged[len(before):, live] = best
+            self.top = merged if len(merged) <= k else np.partition(merged, len(merged) - k, axis=0)[len(merged) - k:]
+            if len(self.top) == k:
+                self.kth = self.top.min(0)
+            at, q = np.nonzero((scores >= self.kth[live]) & (scores >= self.floor) & (scores > -np.inf))
+            out = entries.iloc[mine[at]].reset_index(drop=True)
+            out.insert(0, "query_id", asked.ids[live[q]])
+            out["score"] = scores[at, q]
+            self.rows.append(out)
+            self.held += len(out)
+            if self.held > max(PAIR_ROWS, 2 * k * len(asked.ids)):
+                self._settle()
+        return iter(())
+
+    def _settle(self) -> None:
+        self.rows = [_best(pd.concat(self.rows), self.k)]
+        self.held = len(self.rows[0])
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        if self.rows:
+            self._settle()
+            yield self.rows[0]
+
+
+class _TileCount(_TopK):
+    """How many (query, tile) pairs there were and how many of them the bounds left out."""
+
+    def finish(self) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"tiles": [self.tiles], "skipped": [self.skipped]})
 
 
 def _unpack(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,14 +187,14 @@ def _unpack(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return queries["query_id"].to_numpy(), np.stack(queries["vector"].to_numpy()).astype(np.float64), repos
 
 
-def _meet(chunks: DataFrame, queries: DataFrame, combine: Callable, keep: Callable | None = None) -> DataFrame:
-    """Run ``combine(chunk batch, query ids, query matrix, query repos)`` so that every chunk meets every query once.
+def _meet(chunks: DataFrame, queries: DataFrame, collector: Callable, shape: str = _OUT) -> DataFrame:
+    """Let every chunk meet every query once. ``collector(asked)`` is made for each block of queries in a task; its ``add`` takes batches
+    of chunks and its ``finish`` ends the task, both give back frames of ``shape``.
 
     A query with a ``repo`` meets that repo's chunks only.
 
     Up to ``MAX_BROADCAST_QUERIES`` queries are broadcast and the chunks stay where they are. Beyond that both sides are
     cut into bounded cells and each pair of cells becomes one group, so neither side is ever whole in one place.
-    ``keep`` reduces the rows a task has gathered so far.
     """
     entries = chunks.select(*_ENTRY, "vector")
     repo = F.col("repo") if "repo" in queries.columns else F.lit(None).cast("string").alias("repo")
@@ -99,23 +202,17 @@ def _meet(chunks: DataFrame, queries: DataFrame, combine: Callable, keep: Callab
     if fits(asked, MAX_BROADCAST_QUERIES):
         rows = asked.toPandas()
         if rows.empty:
-            return entries.limit(0).select(F.lit(0).cast("long").alias("query_id"), *_ENTRY, F.lit(0.0).alias("score"))
+            return chunks.sparkSession.createDataFrame([], shape)
         held = chunks.sparkSession.sparkContext.broadcast(_unpack(rows))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
+            gathered = collector(_Asked(*held.value))
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                part = combine(pdf, *held.value)
-                if keep is None:
-                    yield part
-                else:
-                    best = part if best is None else keep(pd.concat([best, part]))
-            if best is not None:
-                yield best
-
-        return entries.mapInPandas(scan, _OUT)
+                if not pdf.empty:
+                    yield from gathered.add(pdf)
+            yield from gathered.finish()
+
+        return entries.mapInPandas(scan, shape)
 
     cells = -(-entries.count() // CELL_ROWS)
     blocks = -(-asked.count() // MAX_BROADCAST_QUERIES)
@@ -126,38 +223,42 @@ def _meet(chunks: DataFrame, queries: DataFrame, combine: Callable, keep: Callab
 
     def pair(chunk_cell: pd.DataFrame, query_block: pd.DataFrame) -> pd.DataFrame:
         if chunk_cell.empty or query_block.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
-        return combine(chunk_cell, *_unpack(query_block))
+            return pd.DataFrame(columns=[c.split()[0] for c in shape.split(", ")])
+        gathered = collector(_Asked(*_unpack(query_block)))
+        return pd.concat([*gathered.add(chunk_cell), *gathered.finish()] or [pd.DataFrame(columns=[c.split()[0] for c in shape.split(", ")])])
 
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(pair, _OUT)
+    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(pair, shape)
 
 
 def score(chunks: DataFrame, queries: DataFrame, **filters) -> DataFrame:
     """Cosine of every query with every matching chunk (vectors are L2-normalised)."""
-    return _meet(filter_chunks(chunks, **filters), queries, _all_pairs)
+    return _meet(filter_chunks(chunks, **filters), queries, _AllPairs)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = 0.0, **filters) -> DataFrame:
+def search(
+    chunks: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = 0.0, tile_bytes: int = TILE_BYTES, **filters
+) -> DataFrame:
     """Best ``k`` matching chunks per query with at least ``min_score``; equal scores order by (repo, path, chunk_index)."""
     floor = -np.inf if min_score is None else float(min_score)
     if k <= 0:
         return score(chunks.limit(0), queries).withColumn("rank", F.lit(1))
 
-    def combine(pdf, ids, matrix, repos):
-        return _best_pairs(pdf, ids, matrix, repos, k, floor)
-
-    partial = _meet(filter_chunks(chunks, **filters), queries, combine, lambda rows: _best(rows, k))
+    partial = _meet(filter_chunks(chunks, **filters), queries, lambda asked: _TopK(asked, k, floor, tile_bytes))
     return top_k(partial, ["query_id"], [F.col("score").desc(), *KEY], k)
 
 
-def path_scores(chunks: DataFrame, queries: DataFrame, **filters) -> DataFrame:
-    """Best chunk score of each path of a repo for each query."""
+def search_tiles(
+    chunks: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = 0.0, tile_bytes: int = TILE_BYTES, **filters
+) -> DataFrame:
+    """One row (tiles, skipped): the (query, tile) pairs of such a :func:`search`, and those that bounds left out."""
+    floor = -np.inf if min_score is None else float(min_score)
+    counts = _meet(filter_chunks(chunks, **filters), queries, lambda asked: _TileCount(asked, k, floor, tile_bytes), "tiles long, skipped long")
+    return counts.agg(F.sum("tiles").alias("tiles"), F.sum("skipped").alias("skipped"))
 
-    def combine(pdf, ids, matrix, repos):
-        pairs = _all_pairs(pdf, ids, matrix, repos)
-        return pairs.loc[pairs.groupby(["query_id", "repo", "path"])["score"].idxmax()]
 
-    partial = _meet(filter_chunks(chunks, **filters), queries, combine)
+def path_scores(chunks: DataFrame, queries: DataFrame, **filters) -> DataFrame:
+    """Best chunk score of each path of a repo for each query."""
+    partial = _meet(filter_chunks(chunks, **filters), queries, _PathBest)
     return partial.groupBy("query_id", "repo", "path").agg(F.max("score").alias("score"))
 
 
