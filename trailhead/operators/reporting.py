@@ -126,16 +126,20 @@ def stored_columns(valid: DataFrame, raw: str = "raw") -> DataFrame:
     return valid.select(*[c for c in valid.columns if c not in (raw, "reason")], *picked, stats_json).fillna(False, ["dogfood"])
 
 
-def gate_batches(raw_batches: DataFrame, max_bytes: int = K.MAX_BATCH_BYTES, max_events: int = K.MAX_BATCH_EVENTS) -> DataFrame:
+def gate_error(max_bytes: int = K.MAX_BATCH_BYTES, max_events: int = K.MAX_BATCH_EVENTS) -> Column:
+    """Why a batch of ``bytes`` and ``events`` is refused as a whole, or null."""
+    return (
+        F.when(F.col("bytes") > max_bytes, "payload_too_large").when(F.col("events") == 0, "empty_body")
+        .when(F.col("events") > max_events, "too_many_events")
+    )
+
+
+def gate_batches(raw_batches: DataFrame, **limits) -> DataFrame:
     """(batch_id, error): the limits on a whole batch."""
     filled = strip("raw") != ""
     sizes = raw_batches.groupBy("batch_id").agg(
         (F.sum(F.octet_length("raw") + 1) - 1).alias("bytes"), F.count_if(filled).alias("events"))
-    error = (
-        F.when(F.col("bytes") > max_bytes, "payload_too_large").when(F.col("events") == 0, "empty_body")
-        .when(F.col("events") > max_events, "too_many_events")
-    )
-    return sizes.withColumn("error", error)
+    return sizes.withColumn("error", gate_error(**limits))
 
 
 def checked_lines(raw_batches: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,11 @@ def _streaming_settings(spark) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
 
 
+def _closing_batches(spark) -> None:
+    """Let event-time timers run once more after the last rows."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+
+
 def _stream(spark, rows: DataFrame, label: str) -> DataFrame:
     """A file stream over ``rows``, read in one micro-batch: files written together carry no order between them."""
     _streaming_settings(spark)
@@ -34,13 +39,16 @@ def _collected(spark, stream: DataFrame, label: str, mode: str = "append") -> Da
 
 @query("j1_ingest_stream", "SELECT batch_id, expected_reason AS reason, count(*) AS n FROM v_payload WHERE expected_reason IS NOT NULL GROUP BY ALL")
 def ingest_stream(spark, sf):
-    # An upload is one file of the stream: its lines must not be split, so a file holds whole batches.
-    rows = view(spark, sf, "v_payload").select("batch_id", "seq", "raw")
+    # Uploads are spread over files and micro-batches; the last file's tick closes those that are still open.
+    rows = view(spark, sf, "v_payload").select("batch_id", "seq", "raw", F.timestamp_seconds(F.lit(86_400)).alias("received_at"))
     _streaming_settings(spark)
     source = fresh_dir(spark, "uploads")
-    rows.repartitionByRange(2, "batch_id").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows.repartition(3, "seq").write.parquet(source)
+    tick = rows.limit(1).select(F.lit(None).cast(rows.schema["batch_id"].dataType).alias("batch_id"), "seq", "raw", F.timestamp_seconds(F.lit(90_000)).alias("received_at"))
+    tick.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
     out = fresh_dir(spark, "ingest-out")
+    _closing_batches(spark)
     ingest.ingest_stream(stream, out, fresh_dir(spark, "ingest-checkpoint")).awaitTermination()
     return spark.read.parquet(f"{out}/reasons").select("batch_id", "reason", "n")
 
@@ -54,7 +62,11 @@ def attribute_stream(spark, sf):
     uses = view(spark, sf, "v_feedback").where("event_type = 'tool_use' and path is not null").select(
         "repo", "path", "seq", "event_time", "action")
     shown = view(spark, sf, "v_ranked").select("repo", "path", "seq", "event_time", "bundle_id")
-    log = _stream(spark, uses.unionByName(shown, allowMissingColumns=True), "log")
+    rows = uses.unionByName(shown, allowMissingColumns=True)
+    # A tick a day behind the last row lets the last uses out.
+    tick = rows.agg((F.max("event_time") + F.expr("interval 1 day")).alias("event_time"))
+    log = _stream(spark, rows.unionByName(tick, allowMissingColumns=True), "log")
+    _closing_batches(spark)
     found = attribution.attribute_stream(log.where("bundle_id is null"), log.where("bundle_id is not null"), 6 * 3600)
     return _collected(spark, found, "attribution").select("seq", "path", "action", "bundle_id")
 

@@ -8,70 +8,84 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_OUT = "repo string, path string, seq long, event_time timestamp, action string, bundle_id string"
+_OUT = "repo string, path string, seq long, event_us long, action string, bundle_id string"
+_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
 class _Bundles(StatefulProcessor):
-    """State of one (repo, path, block): the bundles seen, at most ``2 * max_events`` log rows apart and so as many.
+    """State of one (repo, path, block): bundles and unanswered uses, at most ``2 * max_events`` log rows apart and so as many.
 
-    A use takes the newest bundle before it, also when it comes late and newer ones are known. An event-time timer drops bundles
-    that are too old for any use.
+    A use is held until the watermark has passed its time. Then every bundle before it has come, in whatever order and micro-batch,
+    and it takes the newest. The same timers drop bundles that are too old for any use.
     """
 
     def __init__(self, window_seconds: int, max_events: int):
-        self.window, self.max_events = pd.Timedelta(seconds=window_seconds), max_events
+        self.window, self.max_events = window_seconds, max_events
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bundles = handle.getMapState("bundles", "seq long", "event_us long, bundle_id string")
-
-    def _held(self) -> dict[int, tuple[int, str]]:
-        return {k[0]: (v[0], v[1]) for k, v in self.bundles.iterator()} if self.bundles.exists() else {}
+        self.uses = handle.getMapState("uses", "seq long", "event_us long, action string")
 
     def _due_ms(self, event_us: int) -> int:
-        return event_us // 1000 + int(self.window.total_seconds() * 1000) + 1000
+        return event_us // 1000 + self.window * 1000 + 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        held = self._held()
-        for r in pdf[pdf["is_bundle"]].itertuples(index=False):
-            held[int(r.seq)] = (r.event_time.value // 1000, r.bundle_id)
-            self.bundles.updateValue((int(r.seq),), held[int(r.seq)])
-            self.handle.registerTimer(self._due_ms(held[int(r.seq)][0]))
-        newest_first = sorted(held, reverse=True)
-        found = []
-        for r in pdf[~pdf["is_bundle"]].sort_values("seq").itertuples(index=False):
-            cutoff = (r.event_time - self.window).floor("s")
-            fitting = (s for s in newest_first if 0 < r.seq - s <= self.max_events and pd.Timestamp(held[s][0], unit="us").floor("s") >= cutoff)
-            match = next(fitting, None)
-            found.append((key[0], key[1], r.seq, r.event_time, r.action, None if match is None else held[match][1]))
-        if found:
-            yield pd.DataFrame(found, columns=["repo", "path", "seq", "event_time", "action", "bundle_id"])
+        for pdf in rows:
+            for r in pdf[pdf["role"] != "tick"].itertuples(index=False):
+                seq, event_us = int(r.seq), int(r.event_us)
+                if r.role == "bundle":
+                    self.bundles.updateValue((seq,), (event_us, r.bundle_id))
+                    self.handle.registerTimer(self._due_ms(event_us))
+                else:
+                    self.uses.updateValue((seq,), (event_us, r.action))
+                    self.handle.registerTimer(event_us // 1000 + 1)
+        return iter(())
+
+    def _answer(self, seq: int, event_us: int, held: dict[int, tuple[int, str]], newest_first: list[int]) -> str | None:
+        cutoff = event_us // 1_000_000 - self.window
+        fitting = (s for s in newest_first if 0 < seq - s <= self.max_events and held[s][0] // 1_000_000 >= cutoff)
+        match = next(fitting, None)
+        return None if match is None else held[match][1]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs()
-        for seq, (event_us, _) in self._held().items():
+        held = {k[0]: (v[0], v[1]) for k, v in self.bundles.iterator()}
+        ripe = sorted((k[0], v[0], v[1]) for k, v in self.uses.iterator() if v[0] // 1000 + 1 <= limit)
+        newest_first = sorted(held, reverse=True)
+        found = [(key[0], key[1], seq, event_us, action, self._answer(seq, event_us, held, newest_first)) for seq, event_us, action in ripe]
+        for seq, _, _ in ripe:
+            self.uses.removeKey((seq,))
+        for seq, (event_us, _) in held.items():
             if self._due_ms(event_us) <= limit:
                 self.bundles.removeKey((seq,))
-        return iter(())
+        if found:
+            yield pd.DataFrame(found, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def attribute_stream(uses: DataFrame, ranked: DataFrame, window_seconds: int = 1800, max_events: int = 200) -> DataFrame:
-    """Streaming form of :func:`trailhead.operators.feedback.attribute`.
+def attribute_stream(
+    uses: DataFrame, ranked: DataFrame, window_seconds: int = 1800, max_events: int = 200, late_seconds: int | None = None
+) -> DataFrame:
+    """Streaming form of :func:`trailhead.operators.feedback.attribute`, with the same rows in whatever order the log arrives.
 
     ``uses`` is (repo, path, seq, event_time, action), ``ranked`` (repo, path, seq, event_time, bundle_id). The same
-    blocks of log rows as in the batch form split the state of a hot path.
+    blocks of log rows as in the batch form split the state of a hot path. A row may come up to ``late_seconds`` (the window, unless
+    given) behind the newest one; a use is answered that long after its time. Uses without a path only move the time on: such a tick
+    behind the last row lets the last uses out.
     """
     block = F.floor(F.col("seq") / F.lit(max_events)).cast("long")
     shared = ["repo", "path", "seq", "event_time"]
     none = F.lit(None).cast("string")
-    used = uses.select(*shared, "action", none.alias("bundle_id"), F.lit(False).alias("is_bundle"), block.alias("block"))
-    offered = ranked.select(*shared, none.alias("action"), "bundle_id", F.lit(True).alias("is_bundle"),
+    role = F.when(F.col("path").isNull(), "tick").otherwise("use")
+    used = uses.select(*shared, "action", none.alias("bundle_id"), role.alias("role"), block.alias("block"))
+    offered = ranked.select(*shared, none.alias("action"), "bundle_id", F.lit("bundle").alias("role"),
                             F.explode(F.array(block, block + 1)).alias("block"))
-    log = used.unionByName(offered).withWatermark("event_time", f"{window_seconds} seconds")
-    return log.groupBy("repo", "path", "block").transformWithStateInPandas(
+    log = used.unionByName(offered).withColumn("event_us", F.unix_micros("event_time"))
+    log = log.withWatermark("event_time", f"{window_seconds if late_seconds is None else late_seconds} seconds")
+    found = log.groupBy("repo", "path", "block").transformWithStateInPandas(
         statefulProcessor=_Bundles(window_seconds, max_events), outputStructType=_OUT, outputMode="Append",
         timeMode="EventTime")
+    return found.select("repo", "path", "seq", F.timestamp_micros("event_us").alias("event_time"), "action", "bundle_id")
