@@ -52,6 +52,70 @@ def test_index_version_gate(spark, tmp_path):
         index_store.load_index(spark, str(tmp_path / "i"), expect_version=3)
 
 
+def wide_index(spark, path, n=10_000, buckets=256):
+    chunks = spark.range(n).select(
+        F.lit("r").alias("repo"), F.format_string("src/f%05d.py", "id").alias("path"), F.lit(0).cast("long").alias("chunk_index"),
+        F.concat(F.lit("h"), "id").alias("content_hash"))
+    index_store.save_index(chunks, path, "m", 4, {"t": 1}, buckets=buckets)
+    return chunks
+
+
+def named(spark, numbers, **more):
+    rows = [("r", f"src/f{i:05d}.py", 0, f"new{i}") for i in numbers]
+    return spark.createDataFrame(rows, "repo string, path string, chunk_index long, content_hash string")
+
+
+def test_an_update_rewrites_the_buckets_of_its_paths_only(spark, tmp_path):
+    path = str(tmp_path / "i")
+    wide_index(spark, path)
+    before = {r.bucket: (r.folder, r.entries) for r in index_store.manifest(spark, path)}
+    reader = index_store.load_index(spark, path)
+    updates = named(spark, [*range(0, 1000, 111)])
+    assert updates.count() == 10
+    assert index_store.upsert_index(spark, path, updates) == 1
+    after = {r.bucket: (r.folder, r.entries) for r in index_store.manifest(spark, path)}
+    changed = {b for b in after if after[b] != before[b]}
+    assert 0 < len(changed) <= 10 and len({after[b][0] for b in changed}) == 1
+    written = sum(p.stat().st_size for b in changed for p in (tmp_path / "i/chunks" / after[b][0]).rglob("*.parquet"))
+    assert len(list((tmp_path / "i/chunks" / after[min(changed)][0]).glob("bucket=*"))) == len(changed) and written
+    # A reader that began before sees what it began with, a new one sees the update.
+    assert reader.where("content_hash like 'new%'").count() == 0 and reader.count() == 10_000
+    now = index_store.load_index(spark, path)
+    assert now.count() == 10_000 and sorted(r.content_hash for r in now.where("content_hash like 'new%'").collect()) == sorted(r.content_hash for r in updates.collect())
+    assert index_store.delete_from_index(spark, path, updates.where("content_hash <> 'new0'")) == 2
+    assert index_store.load_index(spark, path).count() == 9_991 and index_store.load_meta(spark, path).first().file_count == 9_991
+    assert index_store.load_index(spark, path, version=0).where("content_hash like 'new%'").count() == 0
+    assert index_store.upsert_index(spark, path, named(spark, [20_000])) == 3 and index_store.load_meta(spark, path).first().entry_count == 9_992
+    assert index_store.upsert_index(spark, path, updates.limit(0)) == 3
+
+
+def test_a_failed_update_leaves_the_last_version(spark, tmp_path):
+    path = str(tmp_path / "i")
+    wide_index(spark, path, 100, 8)
+    broken = lambda part: part.withColumn("content_hash", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        index_store.update_index(spark, path, named(spark, [1]), broken)
+    with pytest.raises(ValueError, match="not named"):
+        index_store.update_index(spark, path, named(spark, [1]).limit(1), lambda part: part.unionByName(named(spark, range(200, 260))))
+    assert index_store.latest_version(spark, path) == 0 and index_store.load_index(spark, path).count() == 100
+
+    def meanwhile(part):
+        index_store.delete_from_index(spark, path, named(spark, [5]))
+        return part
+
+    with pytest.raises(index_store.IndexConflictError):
+        index_store.update_index(spark, path, named(spark, [1]), meanwhile)
+    assert index_store.latest_version(spark, path) == 1 and index_store.load_index(spark, path).count() == 99
+    # The index may be written from itself, and old folders go.
+    assert index_store.save_index(index_store.load_index(spark, path).where("path > 'src/f00049.py'"), path, "m", 4, buckets=8) == 2
+    assert len(index_store.vacuum(spark, path, keep=1)) == 4
+    assert index_store.load_index(spark, path).count() == 50
+    with pytest.raises(FileNotFoundError):
+        index_store.load_index(spark, path, version=0)
+    with pytest.raises(FileNotFoundError):
+        index_store.load_index(spark, str(tmp_path / "none"))
+
+
 def test_content_is_processed_once_and_given_back(spark):
     files = spark.createDataFrame([("r", "a", "x"), ("r", "b", "x"), ("s", "a", "y")], "repo string, path string, content string")
     once = SF.dedupe_content(files)

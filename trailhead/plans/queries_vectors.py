@@ -131,6 +131,13 @@ def upsert(spark, sf):
     return vectors.upsert(view(spark, sf, "v_chunks"), _updates(spark, sf)).select("path", "chunk_index", "content_hash")
 
 
+@query("e7_upsert_index", "SELECT path, chunk_index, CASE WHEN label = 3 THEN content_hash || 'u' ELSE content_hash END AS content_hash FROM v_chunks")
+def upsert_index(spark, sf):
+    out = _stored_index(spark, sf)
+    index_store.upsert_index(spark, out, _updates(spark, sf))
+    return index_store.load_index(spark, out).select("path", "chunk_index", "content_hash")
+
+
 def _gone(spark, sf):
     return view(spark, sf, "v_chunks").where("label = 7").select("repo", "path").distinct()
 
@@ -140,6 +147,13 @@ def delete_paths(spark, sf):
     return vectors.delete_paths(view(spark, sf, "v_chunks"), _gone(spark, sf)).select("path", "chunk_index")
 
 
+@query("e8_delete_from_index", "SELECT path, chunk_index FROM v_chunks WHERE path NOT IN (SELECT path FROM v_chunks WHERE label = 7)")
+def delete_from_index(spark, sf):
+    out = _stored_index(spark, sf)
+    index_store.delete_from_index(spark, out, _gone(spark, sf))
+    return index_store.load_index(spark, out).select("path", "chunk_index")
+
+
 @query("e8_deleted_count", "SELECT count(*) AS removed FROM v_chunks WHERE path IN (SELECT path FROM v_chunks WHERE label = 7)")
 def deleted_count(spark, sf):
     return vectors.deleted_count(view(spark, sf, "v_chunks"), _gone(spark, sf))
@@ -186,17 +200,33 @@ def compatible(spark, sf):
     return index_store.compatible(meta, "m1", chunking.ChunkSettings().as_dict())
 
 
-@query("e12_replace_files", """
+_REPLACED = """
 SELECT 'old' AS origin, path, chunk_index FROM v_chunks WHERE path NOT IN (SELECT 'f' || CAST(floor(doc_id / 10) AS BIGINT) || '.py' FROM v_files WHERE doc_id % 10 = 3)
-UNION ALL SELECT DISTINCT 'new', 'f' || CAST(floor(doc_id / 10) AS BIGINT) || '.py', 0 FROM v_files WHERE doc_id % 10 = 3 AND content <> ''""")
-def replace_files(spark, sf):
+UNION ALL SELECT DISTINCT 'new', 'f' || CAST(floor(doc_id / 10) AS BIGINT) || '.py', 0 FROM v_files WHERE doc_id % 10 = 3 AND content <> ''"""
+
+
+def _handlers(spark, sf):
     # The handlers' texts become the new content of the indexed file with the same number.
     source = view(spark, sf, "v_files").where("path like '%/api/%'")
     number = F.floor(F.col("doc_id") / 10).cast("string")
-    files = source.select("repo", F.concat(F.lit("f"), number, F.lit(".py")).alias("path"), F.lit("code").alias("kind"), "content")
-    out = vectors.replace_files(view(spark, sf, "v_chunks"), files)
+    return source.select("repo", F.concat(F.lit("f"), number, F.lit(".py")).alias("path"), F.lit("code").alias("kind"), "content")
+
+
+def _origins(chunks):
     origin = F.when(F.col("vec_id").isNull(), "new").otherwise("old")
-    return out.select(origin.alias("origin"), "path", "chunk_index").where("origin = 'old' or chunk_index = 0")
+    return chunks.select(origin.alias("origin"), "path", "chunk_index").where("origin = 'old' or chunk_index = 0")
+
+
+@query("e12_replace_files", _REPLACED)
+def replace_files(spark, sf):
+    return _origins(vectors.replace_files(view(spark, sf, "v_chunks"), _handlers(spark, sf)))
+
+
+@query("e12_replace_in_index", _REPLACED)
+def replace_in_index(spark, sf):
+    out = _stored_index(spark, sf)
+    index_store.replace_in_index(spark, out, _handlers(spark, sf))
+    return _origins(index_store.load_index(spark, out))
 
 
 @query("e13_overlay", """
