@@ -213,10 +213,10 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 140)}}
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e12])
-def test_top_k_matches_brute_force(spark, scale):
+@pytest.mark.parametrize(("scale", "shift"), [(1.0, 0), (1e12, 0), (1.0, -150), (1e12, -290), (1.0, -1000)])
+def test_top_k_matches_brute_force(spark, scale, shift):
     rng = np.random.default_rng(3)
-    vectors = [(i, [float(x) for x in np.round(rng.normal(size=6) * 4) * scale]) for i in range(300)]
+    vectors = [(i + shift, [float(x) for x in np.round(rng.normal(size=6) * 4) * scale]) for i in range(300)]
     vectors += [(300, None), (301, [1.0, None]), (302, [float("nan")]), (303, []), (None, [1.0]), (304, [2.0 * scale, 1.0])]
     rows = topk.usable(spark.createDataFrame(vectors, "id int, v array<double>"), "id", "v")
     got = topk.search(rows, rows.where("id % 20 = 0"), k=7, block_rows=16, chunk_blocks=3, slice_rows=5, query_step=2).collect()

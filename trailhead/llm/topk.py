@@ -69,19 +69,20 @@ def _small(scores: np.ndarray) -> bool:
 
 
 class _Running:
-    """The k best so far of every query of one slice; empty places hold id -1."""
+    """The k best so far of every query of one slice; ``held`` tells the places that are filled, as any number may be an id."""
 
     def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int):
         self.query_ids, self.q, self.k = query_ids, q, k
-        self.ids = np.full((len(q), k), -1, np.int64)
+        self.ids = np.zeros((len(q), k), np.int64)
+        self.held = np.zeros((len(q), k), bool)
         self.scores = np.full((len(q), k), LONG[0], np.int64)
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
         scores = _products(self.q[rows], m)
         own = self.query_ids[rows][:, None] == ids[None, :]
-        all_ids = np.concatenate([self.ids[rows], np.where(own, -1, ids[None, :])], 1)
+        all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, own.shape)], 1)
         all_scores = np.concatenate([self.scores[rows], np.where(own, LONG[0], scores)], 1)
-        empty = all_ids < 0
+        empty = np.concatenate([~self.held[rows], own], 1)
         # Empty places sort last: among the lowest scores, behind every id.
         key_ids = np.where(empty, LONG[1], all_ids)
         if _small(np.where(empty, 0, all_scores)):
@@ -92,6 +93,7 @@ class _Running:
             order = np.stack([np.array(sorted(range(all_ids.shape[1]), key=lambda j: (bool(e[j]), -int(s[j]), int(i[j])))[: self.k])
                               for e, s, i in zip(empty, all_scores, key_ids)])
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
+        self.held[rows] = ~np.take_along_axis(empty, order, 1)
         self.scores[rows] = np.take_along_axis(all_scores, order, 1)
 
     def search(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> int:
@@ -108,7 +110,7 @@ class _Running:
         order = np.argsort(-bound, axis=1, kind="stable")
         live, scored = np.arange(len(self.q)), 0
         for step in range(len(blocks)):
-            full = self.ids[live, -1] >= 0
+            full = self.held[live, -1]
             kth = np.where(full, self.scores[live, -1].astype(np.float64), -np.inf)
             live = live[bound[live, order[live, step]] >= kth]
             if not len(live):
@@ -121,7 +123,7 @@ class _Running:
         return scored
 
     def frame(self) -> pd.DataFrame:
-        kept = self.ids >= 0
+        kept = self.held
         return pd.DataFrame({"query_id": np.repeat(self.query_ids, kept.sum(1)), "vec_id": self.ids[kept], "score": self.scores[kept]})
 
 
