@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, globs, paths, text as T
 from . import glob_automaton
+from .contains import contains_join
 from .skew import numbered, salted_join, top_k, union_all
 
 _NO_STRINGS = "array<string>"
@@ -221,19 +222,14 @@ def glob_join(targets: DataFrame, rules: DataFrame, by: list[str] = ("repo",)) -
 def rank_authority(auth: DataFrame, tasks: DataFrame, k: int = 12) -> DataFrame:
     """Best ``k`` records per task: by level, then by how many task words occur in title, summary or tags, then by path.
 
-    A word is looked up by its first three characters among the character triples of the records, so only records that
-    hold them are compared. Records without any hit fill up from the first ``k`` of the repo.
+    A word is looked up by its rarest part (:func:`contains.contains_join`), so hardly more records than those that hold it are
+    compared. Records without any hit fill up from the first ``k`` of the repo.
     """
     haystack = F.lower(F.concat_ws(" ", "title", "summary", F.array_join("tags", " ")))
-    named = auth.withColumn("_hay", haystack)
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_hay") - 2, F.lit(1))), lambda i: F.substring(F.col("_hay"), i, F.lit(3))))
-    in_records = named.select("repo", "id", "_hay", F.explode(grams).alias("_gram"))
     task_words = tasks.select(
         "task_id", "repo",
         F.explode(F.array_distinct(F.transform(F.filter(T.words("task"), lambda w: F.length(w) > 2), F.lower))).alias("_word"))
-    vocabulary = task_words.select("repo", "_word").distinct().withColumn("_gram", F.left("_word", F.lit(3)))
-    held = salted_join(in_records, vocabulary, ["repo", "_gram"], ["id"]).where(F.contains("_hay", "_word")).select("repo", "_word", "id")
+    held = contains_join(auth.select("repo", "id", haystack.alias("_hay")), task_words, ["repo"], "_hay", "_word", ["id"]).select("repo", "_word", "id")
     hits = task_words.join(held, ["repo", "_word"]).groupBy("task_id", "repo", "id").agg(F.count("*").alias("overlap"))
     first = top_k(auth.select("repo", "id", "authority_level", "path"), ["repo"], ["authority_level", "path", "id"], k, "_n")
     padding = first.select("repo", "id").join(tasks.select("task_id", "repo"), "repo").select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, paths, text as T
 from ..session import settle
+from .contains import contains_join
 from .skew import top_k, union_all
 
 
@@ -242,9 +243,8 @@ def impact_summary(edges: DataFrame, changed: DataFrame) -> DataFrame:
 def related_tests(tests: DataFrame, seeds: DataFrame, edges: DataFrame, k: int = 6) -> DataFrame:
     """Tests that go with a task's seeds: same stem +5, imports the seed +6, seed's directory name in the test path +1.
 
-    ``seeds`` is (task_id, repo, path, rank). The directory rule is a substring test; it is joined on the leading
-    characters of the name, so only tests holding them are compared. A seed at the root names the empty directory, which
-    every test path contains.
+    ``seeds`` is (task_id, repo, path, rank). The directory rule is a substring test, joined on the rarest part of the
+    name (:func:`contains.contains_join`). A seed at the root names the empty directory, which every test path contains.
     """
     t = tests.select("repo", F.col("path").alias("test"))
     s = seeds.select("task_id", "repo", F.col("path").alias("seed"), F.col("rank").alias("seed_rank"))
@@ -261,13 +261,7 @@ def related_tests(tests: DataFrame, seeds: DataFrame, edges: DataFrame, k: int =
     )
     named = s.select("task_id", "repo", paths.parent_name("seed").alias("dir")).groupBy("task_id", "repo", "dir").agg(
         F.count("*").alias("times"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(3)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("test")), lambda i: F.substring(F.col("test"), i, n)),
-    )))
-    t_gram = t.select("repo", "test", F.explode(F.array_append(grams, F.lit(""))).alias("gram"))
-    dirs = named.select("repo", "dir").distinct().withColumn("gram", F.left("dir", F.lit(3)))
-    near = dirs.join(t_gram, ["repo", "gram"]).where(F.contains("test", "dir")).select("repo", "dir", "test")
+    near = contains_join(t, named, ["repo"], "test", "dir", ["test"]).select("repo", "dir", "test")
     beside = named.join(near, ["repo", "dir"]).select(
         "task_id", "repo", "test", F.col("times").cast("double").alias("score"),
         F.lit(None).cast("struct<seed_rank:int,part:int,text:string>").alias("why"),
