@@ -82,3 +82,65 @@ def test_related_tests_with_a_root_seed(spark):
     got = [(r.path, r.score, r.reason) for r in graph.related_tests(tests, seeds, edges).orderBy("rank").collect()]
     assert got == [("x/capital.test.ts", 8.0, "Imports `api/b.py`"),
                    ("tests/test_a.py", 6.0, "Stem matches `a.py`")]
+
+
+def test_line_facts_of_overlapping_spans_equal_a_search(spark):
+    import random
+
+    rng = random.Random(2)
+    n = 60
+    spans = sorted((a, min(n + 2, a + rng.randint(0, 25)), rng.choice(["a", "a.b", "c"]) + str(i % 4), i) for i, a in enumerate(rng.randint(1, n) for _ in range(40)))
+    given = [{"qualified_name": q, "kind": "function", "start_line": a, "end_line": b} for a, b, q, _ in spans]
+    body = "\n".join("" if i % 9 == 0 else f"x = {i}" for i in range(n))
+    df = spark.createDataFrame([("r", "a.py", "code", body, given), ("r", "b.md", "doc", "One.\n\ntwo", [])],
+                               f"repo string, path string, kind string, content string, symbols array<{symbols.SYMBOL}>")
+    got = {r.path: r for r in chunking.with_line_facts(df).collect()}
+    lines = body.split("\n")
+    for i in range(n):
+        around = [(a - b, a, q) for a, b, q, _ in spans if a <= i + 1 <= b]
+        assert got["a.py"].enclosing[i] == (max(around)[2] if around else None)
+        starts = [3 if "." in q else 5 for a, _, q, _ in spans if a == i + 1]
+        assert got["a.py"].priorities[i] == max([*starts, 2 if i and lines[i - 1] == "" else 1])
+    assert got["b.md"].priorities == [1, 2, 4] and got["b.md"].enclosing == [None] * 3
+
+
+def test_line_facts_of_a_long_file_cost_its_lines():
+    import time
+
+    def cost(n):
+        spans = [(10 * i + 1, 10 * i + 9, f"f{i}", 5) for i in range(n // 10)] + [(1, n, "All", 5)]
+        start = time.perf_counter()
+        before, innermost = chunking.lay_out(spans, n)
+        assert before.sum() == n + 4 * (n // 10) and innermost[9] == len(spans) - 1 and innermost[10] == 1
+        return time.perf_counter() - start
+
+    cost(1000)
+    small, large = min(cost(20_000) for _ in range(5)), min(cost(200_000) for _ in range(3))
+    assert large < 25 * small       # ten times the lines and symbols; all lines for each symbol would be a hundred
+
+
+def test_a_hub_is_spread_over_tasks_and_pieces(spark):
+    """One node with 200,000 callers among nodes with five: no partition of the joined or listed rows holds the hub."""
+    n = 200_000
+    hub = spark.range(n).select(F.lit("r").alias("repo"), F.concat(F.lit("caller"), "id").alias("src"), F.lit("hub").alias("dst"))
+    rest = spark.range(50_000).select(F.lit("r").alias("repo"), F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("t"), F.col("id") % 10_000).alias("dst"))
+    edges = hub.unionByName(rest).unionByName(spark.createDataFrame([("r", "hub", "leaf")], "repo string, src string, dst string"))
+    changed = spark.createDataFrame([("r", "hub"), ("r", "leaf"), ("r", "t5")], "repo string, path string")
+    pieces = graph.impact_lists(edges, changed, piece_rows=5000)
+    rows = pieces.select("changed", "list", "piece", F.size("values").alias("n"), F.get("values", F.lit(0)).alias("first")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        got.setdefault((r.changed, r.list), []).append(r)
+    assert {k: sum(r.n for r in v) for k, v in got.items()} == {
+        ("hub", "direct_callers"): n, ("hub", "imports"): 1, ("leaf", "direct_callers"): 1, ("leaf", "indirect_callers"): n, ("t5", "direct_callers"): 5}
+    assert max(r.n for r in rows) <= 5000
+    for v in got.values():
+        assert [r.piece for r in v] == list(range(1, len(v) + 1)) and [r.first for r in v] == sorted(r.first for r in v)
+    direct, second, _ = graph.impact_pairs(edges, changed)
+    spread = salted_parts(second)
+    assert max(spread) < 10 * sorted(spread)[len(spread) // 2]
+
+
+def salted_parts(df):
+    counts = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    return counts or [0]

@@ -8,12 +8,12 @@ import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as K, paths, text as T
 from ..session import settle
 from .contains import contains_join
-from .skew import top_k, union_all
+from .skew import salted_join, top_k, union_all
 
 
 def _dotted(path: Column) -> Column:
@@ -173,12 +173,13 @@ def expand_neighbors(edges: DataFrame, seeds: DataFrame, k: int = 8) -> DataFram
     ``seeds`` is (task_id, repo, path, rank). A path keeps its best score; of equal ones the first seed counts.
     """
     start = seeds.select("task_id", "repo", F.col("path").alias("seed"), F.col("rank").alias("seed_rank"))
-    imported = start.join(edges, (edges.repo == start.repo) & (edges.src == start.seed)).select(
-        "task_id", start.repo, F.col("dst").alias("path"), F.lit(4.0).alias("score"), "seed_rank",
+    # A hub has very many edges: those are dealt by their other end, and the few seeds go to each part.
+    imported = salted_join(edges.withColumnRenamed("src", "seed"), start, ["repo", "seed"], ["dst"]).select(
+        "task_id", "repo", F.col("dst").alias("path"), F.lit(4.0).alias("score"), "seed_rank",
         F.concat(F.lit("Imported by `"), "seed", F.lit("`")).alias("reason"),
     )
-    referencing = start.join(edges, (edges.repo == start.repo) & (edges.dst == start.seed)).select(
-        "task_id", start.repo, F.col("src").alias("path"), F.lit(4.5).alias("score"), "seed_rank",
+    referencing = salted_join(edges.withColumnRenamed("dst", "seed"), start, ["repo", "seed"], ["src"]).select(
+        "task_id", "repo", F.col("src").alias("path"), F.lit(4.5).alias("score"), "seed_rank",
         F.concat(F.lit("References `"), "seed", F.lit("`")).alias("reason"),
     )
     best = (
@@ -200,22 +201,43 @@ def impact_pairs(edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataF
     """Distinct direct callers, callers of those, and imports of each changed node."""
     e = settle(edges.select("repo", "src", "dst").distinct(), "edges")        # read for both hops and for imports
     start = changed.select("repo", F.col("path").alias("changed")).distinct()
-    direct = settle(start.join(e, (e.repo == start.repo) & (e.dst == start.changed)).select(
-        start.repo, "changed", F.col("src").alias("caller")), "callers")
+    callers_of = e.withColumnsRenamed({"src": "caller", "dst": "called"})
+    # A hub's edges are dealt by their other end, so no task holds all of them; changed nodes and first hops go to each part.
+    direct = settle(salted_join(callers_of, start.withColumnRenamed("changed", "called"), ["repo", "called"], ["caller"]).select(
+        "repo", F.col("called").alias("changed"), "caller"), "callers")
+    hop = direct.withColumnRenamed("caller", "called")
     second = (
-        direct.join(e.withColumnRenamed("dst", "caller"), ["repo", "caller"]).select("repo", "changed", F.col("src").alias("caller"))
+        salted_join(callers_of, hop, ["repo", "called"], ["caller"]).select("repo", "changed", "caller")
         .where("caller <> changed").distinct()
         .join(direct, ["repo", "changed", "caller"], "left_anti")
     )
-    imports = start.join(e, (e.repo == start.repo) & (e.src == start.changed)).select(
-        start.repo, "changed", F.col("dst").alias("import"))
+    imports = salted_join(e.withColumnRenamed("src", "changed"), start, ["repo", "changed"], ["dst"]).select("repo", "changed", F.col("dst").alias("import"))
     return direct, second, imports
 
 
+def in_pieces(pairs: DataFrame, keys: list[str], value: str, piece_rows: int = 10_000) -> DataFrame:
+    """(keys…, piece, values): the sorted values of each key in numbered pieces of at most ``piece_rows``.
+
+    Rows are sorted by range, so a key with very many values spreads over tasks; only its pieces are numbered in one place.
+    """
+    ordered = pairs.select(*keys, value).repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    runs = ordered.withColumn("_run", F.floor(F.monotonically_increasing_id() / piece_rows)).groupBy(*keys, "_run").agg(
+        F.array_sort(F.collect_list(value)).alias("values"))
+    return runs.withColumn("piece", F.row_number().over(W.partitionBy(*keys).orderBy("_run"))).select(*keys, "piece", "values")
+
+
+def impact_lists(edges: DataFrame, changed: DataFrame, piece_rows: int = 10_000) -> DataFrame:
+    """(repo, changed, list, piece, values): the lists of :func:`impact` whole, hubs included, in numbered pieces of bounded length."""
+    direct, second, imports = impact_pairs(edges, changed)
+    named = [(direct, "caller", "direct_callers"), (second, "caller", "indirect_callers"), (imports, "import", "imports")]
+    rows = union_all([p.select("repo", "changed", F.lit(n).alias("list"), F.col(v).alias("value")) for p, v, n in named])
+    return in_pieces(rows, ["repo", "changed", "list"], "value", piece_rows)
+
+
 def impact(edges: DataFrame, changed: DataFrame, files: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Per changed node: direct and indirect callers and imports, each sorted and, with ``cap``, cut there.
 
-    Where hubs make whole lists too long for a row, read :func:`impact_pairs`, which has a row for each pair.
+    Where hubs make whole lists too long for a row, read :func:`impact_lists`, which has them in pieces.
     """
     direct, second, imports = impact_pairs(edges, changed)
     out = changed.select("repo", F.col("path").alias("changed")).distinct()

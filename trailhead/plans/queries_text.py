@@ -420,6 +420,21 @@ def impact_all(spark, sf):
     return out.select("changed", *[F.array_join(c, ",").alias(c) for c in ("direct_callers", "indirect_callers")])
 
 
+@query("c6_impact_lists", """
+WITH e AS (SELECT DISTINCT src, dst FROM v_edges), s AS (SELECT DISTINCT dst AS changed FROM e WHERE dst NOT LIKE 'c%'),
+d AS (SELECT changed, src FROM s JOIN e ON dst = changed),
+i AS (SELECT DISTINCT d.changed, e.src FROM d JOIN e ON e.dst = d.src WHERE e.src <> d.changed AND (d.changed, e.src) NOT IN (SELECT changed, src FROM d)),
+m AS (SELECT changed, dst AS src FROM s JOIN e ON src = changed)
+SELECT changed, list, count(*) AS n, array_to_string(list(src ORDER BY src), ',') AS held FROM (
+  SELECT 'direct_callers' AS list, * FROM d UNION ALL SELECT 'indirect_callers', * FROM i UNION ALL SELECT 'imports', * FROM m) GROUP BY ALL""")
+def impact_lists(spark, sf):
+    pieces = graph.impact_lists(view(spark, sf, "v_edges"), _changed_nodes(spark, sf), piece_rows=100)
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "values")))
+    held = F.flatten(F.transform("l", lambda p: p["values"]))
+    return pieces.groupBy("changed", "list").agg(ordered.alias("l")).select(
+        "changed", "list", F.size(held).cast("long").alias("n"), F.array_join(held, ",").alias("held"))
+
+
 @query("c6_impact_summary", """
 WITH e AS (SELECT DISTINCT src, dst FROM v_edges), s AS (SELECT DISTINCT dst AS changed FROM e WHERE dst NOT LIKE 'c%'),
 d AS (SELECT src FROM s JOIN e ON dst = changed), i AS (SELECT e.src FROM d JOIN e ON e.dst = d.src)
