@@ -84,3 +84,92 @@ def test_blend_and_reason(spark):
     why = spark.createDataFrame([(["a", "b", "c", "d"], 0.5), ([], 0.5), (["a"], None), ([], 0.1)], "o array<string>, e double")
     assert [r.r for r in why.select(T.reason("o", "e", F.lit(0.3), "dflt").alias("r")).collect()] == [
         "Semantic similarity 0.50; tokens: a, b, c", "Semantic similarity 0.50", "Matches task tokens: a", "dflt"]
+
+
+# ---- scans of long texts ---------------------------------------------------------------------------------------------
+
+
+def expected_bullets(text):
+    import re
+
+    from trailhead.functions import constants as K
+
+    out, current = [], None
+    for line in text.splitlines():
+        heading = re.match(r"^#{2,4}\s+(.+?)\s*$", line)
+        if heading:
+            title = heading[1].strip().lower().rstrip(":")
+            current = (title, []) if title in K.CONSTRAINT_HEADINGS else None
+            out += [current] if current else []
+            continue
+        bullet = re.match(r"^\s*(?:[-*+]|\d+\.)\s+(.+?)\s*$", line)
+        if current is None:
+            continue
+        if bullet:
+            current[1].append(bullet[1].strip())
+        elif line[:1] in (" ", "\t") and line.strip() and current[1]:
+            current[1][-1] += " " + line.strip()
+    return out
+
+
+def expected_imports(text):
+    import re
+
+    from trailhead.functions import constants as K
+
+    out, depth, slash, left = [], 0, False, 0
+    for line in text.split("\n")[:-1] if text.endswith("\n") else text.split("\n") if text else []:
+        delta, ends = line.count("(") - line.count(")"), line.rstrip().endswith("\\")
+        if (depth > 0 or slash) and left > 0:
+            out.append(line)
+            depth, slash, left = depth + delta, ends, left - 1
+        elif re.match(r"[ \t]*(?:import|from)[ \t]", line):
+            out.append(line.lstrip())
+            depth, slash, left = delta, ends, K.MAX_CONTINUATION_LINES
+        else:
+            depth, slash, left = 0, False, 0
+    return "\n".join(out)
+
+
+def test_bullets_and_imports_equal_a_line_by_line_reading(spark):
+    import random
+
+    from trailhead.functions import constants as K
+    from trailhead.operators.authority import heading_bullets
+    from trailhead.sources.files import import_lines
+
+    rng = random.Random(1)
+    title = sorted(K.CONSTRAINT_HEADINGS)[0]
+    prose = [f"## {title.title()}:", f"### {title}", "## Other", "# Top", "- one", "* two  ", "  more", "\tmore", "   - nested", "3. third", "", "plain", "#### " + title.upper()]
+    code = ["import a", "from b import (", "  x,", ")", "from c import d, \\", "    e", "y = 1", "    import f", "", "(", "importer = 2", "from g import h"]
+    texts = ["\n".join(rng.choice(prose) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    sources = ["\n".join(rng.choice(code) for _ in range(rng.randint(0, 700))) for _ in range(60)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", heading_bullets("t").alias("b")).collect()
+    assert {r.i: [(s.title, s["items"]) for s in r.b] for r in got} == {i: expected_bullets(t) for i, t in enumerate(texts)}
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(sources)], "i int, t string").select("i", import_lines("t").alias("b")).collect()
+    assert {r.i: r.b for r in got} == {i: expected_imports(t) for i, t in enumerate(sources)}
+
+
+def test_long_texts_cost_their_lines(spark):
+    import time
+
+    from trailhead.functions import constants as K
+    from trailhead.operators.authority import heading_bullets
+    from trailhead.sources.files import import_lines
+
+    title = sorted(K.CONSTRAINT_HEADINGS)[0]
+
+    def cost(n, column, text):
+        df = spark.createDataFrame([(text(n),)], "t string").select(column("t").alias("c"))
+        start = time.perf_counter()
+        size = df.first().c
+        return time.perf_counter() - start, size
+
+    for column, text, count in (
+        (heading_bullets, lambda n: f"## {title}\n" + "- item\n  more\n" * (n // 2), lambda c: 2 * len(c[0]["items"])),
+        (import_lines, lambda n: "import a\n" * n, lambda c: len(c.split("\n"))),
+    ):
+        cost(2000, column, text)
+        (small, a), (large, b) = cost(20_000, column, text), cost(100_000, column, text)
+        assert (count(a), count(b)) == (20_000, 100_000)
+        assert large < 12 * small + 2       # five times the lines

@@ -15,6 +15,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column | str) -> Column:
     """Lines without their ends; a final line end opens no further line, empty text has no lines."""
     text = as_col(text)

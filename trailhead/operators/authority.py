@@ -78,37 +78,40 @@ def _listed(front: Column, key: str) -> Column:
 
 
 def heading_bullets(text: Column | str) -> Column:
-    """array<struct<title, items>>: the bullets under constraint headings; an indented line continues its bullet."""
-    section = "struct<title:string,items:array<string>>"
-    start = F.struct(F.array().cast(f"array<{section}>").alias("done"), F.lit(False).alias("open"))
+    """array<struct<title, items>>: the bullets under constraint headings; an indented line continues its bullet.
 
-    def with_items(acc, items):
-        last = F.element_at(acc["done"], -1)
-        head = F.slice(acc["done"], 1, F.size(acc["done"]) - 1)
-        return F.struct(
-            F.array_append(head, F.struct(last["title"].alias("title"), items.alias("items"))).alias("done"),
-            acc["open"].alias("open"),
-        )
-
-    def step(acc, line):
+    Lines are classified once. Headings cut the text into sections and bullets cut those into items, as slices between their positions,
+    so every line is read a fixed number of times.
+    """
+    def classified(line: Column, i: Column) -> Column:
         heading = F.regexp_extract(line, r"(?U)^#{2,4}\s+(.+?)\s*$", 1)
-        title = F.regexp_replace(F.lower(T.strip(heading)), ":+$", "")
-        wanted = title.isin(K.CONSTRAINT_HEADINGS)
         bullet = F.regexp_extract(line, r"(?U)^\s*(?:[-*+]|\d+\.)\s+(.+?)\s*$", 1)
-        items = F.try_element_at(acc["done"], F.lit(-1))["items"]
-        more = line.rlike("^[ \t]") & (T.strip(line) != "") & (F.size(items) > 0)
-        joined = F.array_append(
-            F.slice(items, 1, F.size(items) - 1), F.concat(F.try_element_at(items, F.lit(-1)), F.lit(" "), T.strip(line)))
-        opened = F.array_append(acc["done"], F.struct(title.alias("title"), _strings().alias("items")))
-        return (
-            F.when(heading != "", F.struct(F.when(wanted, opened).otherwise(acc["done"]).alias("done"), wanted.alias("open")))
-            .when(~acc["open"], acc)
-            .when(bullet != "", with_items(acc, F.array_append(items, T.strip(bullet))))
-            .when(more, with_items(acc, joined))
-            .otherwise(acc)
-        )
+        return F.struct(
+            i.alias("at"), (heading != "").alias("heads"), F.regexp_replace(F.lower(T.strip(heading)), ":+$", "").alias("title"),
+            (bullet != "").alias("begins"), (line.rlike("^[ \t]") & (T.strip(line) != "")).alias("continues"),
+            F.when(bullet != "", T.strip(bullet)).otherwise(T.strip(line)).alias("text"))
+
+    def between(marks: Column, k: Column, end: Column) -> Column:
+        """The position behind the k-th mark's stretch: the next mark, or the end."""
+        return F.coalesce(F.get(marks, k + 1)["at"], end)
+
+    def items(rows: Column, first: Column, end: Column) -> Column:
+        def item(marks: Column, mark: Column, k: Column) -> Column:
+            more = F.slice(rows, mark["at"] - first + 2, between(marks, k, end) - mark["at"] - 1)
+            return F.array_join(F.transform(F.concat(F.array(mark), F.filter(more, lambda r: r["continues"])), lambda r: r["text"]), " ")
+
+        return T.let(F.filter(rows, lambda r: r["begins"]), lambda marks: F.transform(marks, lambda mark, k: item(marks, mark, k)))
+
+    def section(rows: Column, heads: Column, head: Column, k: Column) -> Column:
+        first, end = head["at"] + 1, between(heads, k, F.size(rows))
+        return F.struct(head["title"].alias("title"), F.slice(rows, first + 1, end - first).alias("rows"), first.alias("first"), end.alias("end"))
+
+    def sections(rows: Column) -> Column:
+        return T.let(F.filter(rows, lambda r: r["heads"]), lambda heads: F.filter(
+            F.transform(heads, lambda head, k: section(rows, heads, head, k)), lambda s: s["title"].isin(K.CONSTRAINT_HEADINGS)))
 
-    return F.aggregate(T.lines(text), start, step, lambda acc: acc["done"])
+    found = T.let(F.transform(T.lines(text), classified), sections)
+    return F.transform(found, lambda s: F.struct(s["title"].alias("title"), items(s["rows"], s["first"], s["end"]).alias("items")))
 
 
 def marker_lines(df: DataFrame, pattern: str = K.MARKER_LINE, text: str = "content") -> DataFrame:

@@ -12,18 +12,18 @@ def _count(c: Column, char: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
 
 
+BLOCK_LINES = 256
+
+
 def import_lines(text: Column | str) -> Column:
     """Import statements of a Python file, bracketed and backslash continuations included.
 
-    A fold over the line array: the state holds the kept lines, the open bracket depth, whether a backslash is pending
-    and how many more lines the running statement may take.
+    A fold over the lines holds the open bracket depth, whether a backslash is pending and how many more lines the running statement
+    may take. It goes through blocks of lines: kept lines are gathered in the block and joined at its end, so what a step copies
+    stays small in long files.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("out"),
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("slash"),
-        F.lit(0).alias("left"),
-    )
+    def state(depth, slash, left) -> list[Column]:
+        return [depth.cast("int").alias("depth"), slash.alias("slash"), left.cast("int").alias("left")]
 
     def step(acc: Column, line: Column) -> Column:
         running = ((acc["depth"] > 0) | acc["slash"]) & (acc["left"] > 0)
@@ -33,13 +33,22 @@ def import_lines(text: Column | str) -> Column:
         kept = F.when(running, line).when(opens, T.lstrip(line))
         return F.struct(
             F.when(kept.isNotNull(), F.array_append(acc["out"], kept)).otherwise(acc["out"]).alias("out"),
-            F.when(running, acc["depth"] + delta).when(opens, delta).otherwise(F.lit(0)).cast("int").alias("depth"),
-            F.when(running | opens, slash).otherwise(F.lit(False)).alias("slash"),
-            F.when(running, acc["left"] - 1)
-            .when(opens, F.lit(K.MAX_CONTINUATION_LINES)).otherwise(F.lit(0)).cast("int").alias("left"),
-        )
-
-    return F.aggregate(T.lines(text), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+            *state(F.when(running, acc["depth"] + delta).when(opens, delta).otherwise(F.lit(0)), F.when(running | opens, slash).otherwise(F.lit(False)),
+                   F.when(running, acc["left"] - 1).when(opens, F.lit(K.MAX_CONTINUATION_LINES)).otherwise(F.lit(0))))
+
+    none = F.array().cast("array<string>")
+
+    def block(acc: Column, lines: Column) -> Column:
+        begun = F.struct(none.alias("out"), *state(acc["depth"], acc["slash"], acc["left"]))
+        return T.let(F.aggregate(lines, begun, step), lambda done: F.struct(
+            F.when(F.size(done["out"]) > 0, F.array_append(acc["out"], F.array_join(done["out"], "\n"))).otherwise(acc["out"]).alias("out"),
+            *state(done["depth"], done["slash"], done["left"])))
+
+    start = F.struct(none.alias("out"), *state(F.lit(0), F.lit(False), F.lit(0)))
+    whole = T.let(T.lines(text), lambda ls: F.transform(
+        F.when(F.size(ls) > 0, F.sequence(F.lit(1), F.size(ls), F.lit(BLOCK_LINES))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.slice(ls, i, F.lit(BLOCK_LINES))))
+    return F.aggregate(whole, start, block, lambda acc: F.array_join(acc["out"], "\n"))
 
 
 def cut_content(files: DataFrame, max_chars: int | None = None) -> DataFrame:
