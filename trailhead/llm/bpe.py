@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import scratch_root, settle
-from .common import packed
+from .common import bound_batches, packed
 from .lexicon import Lexicon, build
 
 # The pattern of the vocabulary's pre-tokenizer, with white space spelled out as Unicode has it.
@@ -199,6 +199,7 @@ def encode(
     name, decoded in the same task.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     vocabulary = Vocabulary(vocab_path)
     name = ship_lexicon(spark, make_lexicon(docs, vocabulary, text, lexicon_words))
     sent = spark.sparkContext.broadcast(vocabulary)     # bounded by the vocabulary file

@@ -15,13 +15,11 @@ are not used. Rows are judged one by one, so repeats all stay or all go.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed
+from .common import bound_batches, packed
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = (
@@ -216,13 +214,12 @@ def assess(docs: DataFrame, field: LineField, text: str = "text", keep: list[str
         share = content / n if n else 0.0
         return n, len(raw.decode("utf-8", "replace")), symbols, repeats, again, failed, "".join(marks), share, not failed and share >= min_share
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in STATS.split(", ")]
-        types = [{"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in STATS.split(", ")]
-        for batch in batches:
-            rows = [judge(value.as_py()) for value in batch.column("value")]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, t) for c, t in zip(columns, types)]], ["row", *names])
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf(STATS)
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([judge(value) for value in texts], columns=[c.split()[0] for c in STATS.split(", ")])
 
-    given = packed(docs, keep, value=F.col(text))
-    return given.mapInArrow(task, f"row {given.schema['row'].dataType.simpleString()}, {STATS}")
+    # Only the text goes to Python; the row stays in the JVM.
+    done = packed(docs, keep, value=F.col(text)).withColumn("stats", judged("value"))
+    return done.select("row", "stats.*")

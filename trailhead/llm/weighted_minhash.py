@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import BITMAP, packed, unpacked
+from .common import BITMAP, bound_batches, packed, unpacked
 from .components import components
 
 SLICES = 64
@@ -319,6 +319,7 @@ def classes(
     ``n_links`` counts verified links of the document's text to other texts (found links suffice to connect a class; not every pair of a class is
     compared). ``first`` marks the one document of each class to keep. ``sig`` is the 64-bit hash of the text.
     """
+    bound_batches(docs.sparkSession)
     samples = bands * rows
     named = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("sig"), F.col(text).alias("text"))
     n_docs, seen = frequencies(named, "text", bits, width)
