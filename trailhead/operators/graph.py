@@ -268,8 +268,8 @@ def related_tests(tests: DataFrame, seeds: DataFrame, edges: DataFrame, k: int =
     ``seeds`` is (task_id, repo, path, rank). The directory rule is a substring test, joined on the rarest part of the
     name (:func:`contains.contains_join`). A seed at the root names the empty directory, which every test path contains.
     """
-    t = tests.select("repo", F.col("path").alias("test"))
-    s = seeds.select("task_id", "repo", F.col("path").alias("seed"), F.col("rank").alias("seed_rank"))
+    t = settle(tests.select("repo", F.col("path").alias("test")), "tests")       # both are read several times
+    s = settle(seeds.select("task_id", "repo", F.col("path").alias("seed"), F.col("rank").alias("seed_rank")), "seeds")
     t_stem = t.withColumn("stem", paths.test_stem("test")).where("stem <> ''")
     s_stem = s.withColumn("stem", paths.test_stem("seed"))
     same = s_stem.join(t_stem, ["repo", "stem"]).select(

@@ -235,11 +235,22 @@ k AS (SELECT count(*) <= 300 AS ok FROM (SELECT path FROM c UNION SELECT path FR
 SELECT path, chunk_index, content_hash FROM v_chunks, k WHERE NOT ok OR path NOT IN (SELECT path FROM c UNION SELECT path FROM d)
 UNION ALL SELECT path, chunk_index, content_hash || 'o' FROM v_chunks, k WHERE ok AND path IN (SELECT path FROM c)""")
 def overlay(spark, sf):
+    return _overlay(spark, sf, 300)
+
+
+@query("e13_overlay_whole", """
+SELECT path, chunk_index, CASE WHEN path IN (SELECT path FROM v_chunks WHERE label = 3) THEN content_hash || 'o' ELSE content_hash END AS content_hash
+FROM v_chunks WHERE path IN (SELECT path FROM v_chunks WHERE label = 3) OR path NOT IN (SELECT path FROM v_chunks WHERE label = 7)""")
+def overlay_whole(spark, sf):
+    return _overlay(spark, sf, None)
+
+
+def _overlay(spark, sf, cap):
     base = view(spark, sf, "v_chunks")
     changed = base.where("label = 3").select("repo", "path").distinct()
     deleted = _gone(spark, sf).join(changed, ["repo", "path"], "left_anti")
     fresh = base.join(changed, ["repo", "path"], "left_semi").withColumn("content_hash", F.concat("content_hash", F.lit("o")))
-    return vectors.overlay(base, fresh, changed, deleted, cap=300).select("path", "chunk_index", "content_hash")
+    return vectors.overlay(base, fresh, changed, deleted, cap=cap).select("path", "chunk_index", "content_hash")
 
 
 @query("e14_classify_delta", """
@@ -266,12 +277,12 @@ def advisory_branches(spark, sf):
     return vectors.advisory_branches(view(spark, sf, "v_branches"), k=25).select("repo", "branch", "sha", "rank")
 
 
-def _advisory(spark, sf):
+def _advisory(spark, sf, k=25, max_files=60):
     """Ten neighbouring chunks, two files, are open on the branch with that number."""
     branches = view(spark, sf, "v_branches")
     numbered = chunks_of(spark, sf).drop("repo").withColumn("seq", F.floor(F.col("vec_id") / 10).cast("long"))
     chunks = numbered.join(branches.select("seq", "repo", "branch"), "seq").drop("seq")
-    return vectors.advisory_chunks(chunks, vectors.advisory_branches(branches, k=25), max_files=60)
+    return vectors.advisory_chunks(chunks, vectors.advisory_branches(branches, k=k), max_files=max_files)
 
 
 _ADVISORY = _BRANCHES + """,
@@ -286,6 +297,13 @@ def advisory_chunks(spark, sf):
                                        F.element_at("metadata", F.lit("commits_ahead")).alias("commits_ahead"))
 
 
+@query("e16_advisory_chunks_whole", _ADVISORY.replace(" WHERE rank <= 25", "") + """
+SELECT repo, branch, path, chunk_index, 'advisory' AS namespace, CAST(commits_ahead AS VARCHAR) AS commits_ahead FROM k""")
+def advisory_chunks_whole(spark, sf):
+    return _advisory(spark, sf, None, None).select("repo", "branch", "path", "chunk_index", "namespace",
+                                                   F.element_at("metadata", F.lit("commits_ahead")).alias("commits_ahead"))
+
+
 @query("e16_advisory_search", _ADVISORY + f""",
 {QUERIES_SQL},
 h AS (SELECT DISTINCT query_id, s.path, s.chunk_index, s.score FROM s JOIN k USING (vec_id) WHERE n <= 60),
