@@ -92,6 +92,27 @@ def test_lexicon_round_trip(tmp_path):
         read = lexicon.Lexicon(str(path))
         assert all(read.get(w) == list(ids) for w, ids in entries.items())
         assert read.get(b"zz") is None and read.get(b"") is None
+        asked = words + [b"zz", b"", b"a" * 9, b"abcabcabcabc", b"a"]
+        side_by_side = [None if ids is None else memoryview(ids).cast("i").tolist() for ids in read.get_all(asked, longest=8)]
+        assert side_by_side == [read.get(w) for w in asked]
+
+
+def test_words_merged_side_by_side_equal_single_ones():
+    vocabulary = bpe.Vocabulary(queries.byte_bpe_50k())
+    random.seed(11)
+    words = ["".join(random.choice("etaoin shrdlu'é世") for _ in range(random.randint(1, 30))).encode() for _ in range(2000)]
+    words += [b"a", b"\xff", b"the" * 40, b" " * 48]
+    assert [memoryview(ids).cast("i").tolist() for ids in vocabulary.merge_all(words)] == [vocabulary.merge(w) for w in words]
+    assert vocabulary.merge_all([]) == []
+
+
+def test_texts_are_cut_like_the_pattern():
+    random.seed(12)
+    for text in ["a\n \nb", "a \nb", "a ", "a\n ", " a", "\n a", "\t \t ", "\u3000 x", *(
+            "".join(random.choice([" ", "\n", "\t", "a", "'s", "1", "é", ".", "\0"]) for _ in range(random.randint(0, 12))) for _ in range(3000))]:
+        cut = bpe.pieces(text)
+        assert "".join(cut) == text
+        assert [w for piece in cut for w in bpe.words_of(piece)] == bpe._cutter()[0].findall(text)
 
 
 def test_bpe_equals_the_library(spark, sf):
@@ -109,6 +130,28 @@ def test_bpe_equals_the_library(spark, sf):
         assert r.ids == ids
         assert r.decoded == r.same == theirs.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert bpe.encode(docs.limit(0), path).count() == 0
+    small = bpe.encode(docs, path, memo_bytes=1, decoded="same").select("row.text", "ids", "same").collect()    # nothing is kept at hand
+    assert all(list(r.ids) == theirs.encode(r.text or "", add_special_tokens=False).ids and r.same == (r.text or "") for r in small)
+
+
+def test_bpe_query_on_repeats_and_clashing_names(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(queries.byte_bpe_50k())
+    rows = [(1, "one  two <|endoftext|> three", 1, "x"), (1, "one  two <|endoftext|> three", 1, "x"), (2, None, 2, None), (None, "", 3, "y"), (3, "z" * 70_000, 4, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, ids int, row string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.ids, r.row or "") for r in bpe.encode(docs, queries.byte_bpe_50k()).select("row.ids", "row.row").collect()) == [
+        (1, "x"), (1, "x"), (2, ""), (3, "y"), (4, "")]
+
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        want.append((doc_id, len(ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False))))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op4_bpe"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def brute_lines(docs):

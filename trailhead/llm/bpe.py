@@ -2,11 +2,13 @@
 
 A first pass counts words over all documents (cut at single spaces). The most frequent ones are merged once and compiled, with their ids as outputs,
 into a minimal acyclic transducer (``lexicon``) that Spark ships as a file and workers map into memory. A second pass cuts texts
-into words, looks each batch's distinct words up in the transducer and merges those it doesn't hold by the exact rules. So the
-lexicon decides only the speed; the ids are always those of the vocabulary's merges.
+into words, walks each batch's distinct words through the transducer side by side and merges those it doesn't hold by the exact rules,
+also side by side. So the lexicon decides only the speed; the ids are always those of the vocabulary's merges. Each distinct piece is
+decoded once from its ids.
 
-Cutting: a single space between two other characters always begins a new word, so texts are split there at C speed and the
-pattern sees each distinct piece once. Texts with white space runs of two or more spaces are cut by the pattern as a whole.
+Cutting: a single space that no white space precedes always begins a new word, so texts are split at single spaces at C speed and the
+pattern sees each distinct piece once. Texts in which a space belongs to a longer run that the pattern may cut elsewhere (one with two
+spaces, or a space between other white space or behind it at the end) are cut by the pattern as a whole.
 
 Defined cases: a null text is empty: no ids, decoded to an empty text. Strings of added tokens inside a text become their ids, as
 the tokenizers library does by default. Ids are decoded to bytes and these as UTF-8; invalid sequences become U+FFFD. A null id
@@ -38,12 +40,15 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 NONE = 1 << 60      # rank of pairs that are never merged
 LONG_WORD = 48      # bytes; longer words are merged with a queue
+SIDE_BY_SIDE = 20_000   # words that are looked up or merged at a time
+CUT_CHARS = 2 << 20     # code points of texts that are cut before their new pieces are encoded; one text may be longer
+ENTRY = 300         # bytes that a known piece takes beside its own characters and ids, about
 FLUSH = 400_000     # distinct pieces that a task counts before it hands them on
 
 
 @functools.cache
 def _cutter():
-    return regex.compile(PATTERN), regex.compile(rf" [{SPACE}]* ")
+    return regex.compile(PATTERN), regex.compile(rf" (?:[{SPACE}]* |(?<=[{SPACE}] )(?:[{SPACE}]|\Z))")
 
 
 def byte_names() -> dict[str, int]:
@@ -58,14 +63,31 @@ def _text(token, ids: list[int]) -> str:
     return b"".join(map(token, ids)).decode("utf-8", "replace")
 
 
-_MEMO: dict[str, dict[str, bytes]] = {}
+class _Known:
+    """Pieces and words that a worker has encoded: their ids as packed 32-bit numbers and the bytes these stand for, up to ``limit`` bytes."""
 
+    def __init__(self, limit: int):
+        self.ids: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
+        self.limit, self.held = limit, 0
 
-def _known(lexicon: str) -> dict[str, bytes]:
+    def add(self, piece: str, ids: bytes, raw: bytes) -> None:
+        self.ids[piece], self.raw[piece] = ids, raw
+        self.held += ENTRY + 2 * len(raw) + len(ids)
+
+    def trim(self) -> None:
+        if self.held > self.limit:
+            self.ids, self.raw, self.held = {}, {}, 0
+
+
+_MEMO: dict[str, _Known] = {}
+
+
+def _known(lexicon: str, limit: int) -> _Known:
     """What this worker has looked up in a lexicon; a worker serves many tasks. Other lexicons' go."""
     if lexicon not in _MEMO:
         _MEMO.clear()
-    return _MEMO.setdefault(lexicon, {})
+    return _MEMO.setdefault(lexicon, _Known(limit))
 
 
 class Vocabulary:
@@ -106,6 +128,77 @@ class Vocabulary:
                 ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
         return ids
 
+    @functools.cached_property
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """For :meth:`merge_all`: id of each byte, rank of each pair of bytes, sorted pairs and their ranks, merged id by rank."""
+        keys = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        ranks = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        order = np.argsort(keys)
+        single = np.array(self.bytes, np.int64)
+        first = np.full((256, 256), NONE, np.int64)
+        at = {i: b for b, i in enumerate(self.bytes)}
+        for (a, b), rank in self.ranks.items():
+            if a in at and b in at:
+                first[at[a], at[b]] = rank
+        return single, first, keys[order], ranks[order], np.array(self.made, np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        _, _, keys, ranks, _ = self._tables
+        wanted = a << 32 | b
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((keys[at] == wanted) & (a >= 0) & (b >= 0), ranks[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """:meth:`merge` of many words side by side; packed 32-bit ids."""
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for i, word in enumerate(words):
+            if len(word) > LONG_WORD:
+                out[i] = array("i", self.merge(word)).tobytes()
+            else:
+                short.append(i)
+        short.sort(key=lambda i: len(words[i]))     # alike lengths: little padding
+        for lo in range(0, len(short), SIDE_BY_SIDE // 4):
+            some = short[lo:lo + SIDE_BY_SIDE // 4]
+            for i, ids in zip(some, self._merge_side_by_side([words[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _merge_side_by_side(self, words: list[bytes]) -> list[bytes]:
+        if not self.ranks:
+            return [array("i", self.merge(w)).tobytes() for w in words]
+        single, first, _, _, made = self._tables
+        n, width = len(words), max(map(len, words))
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        inside = np.arange(width) < lengths[:, None]
+        # One place more than letters: what lies beyond a word's ends, never part of a pair.
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width][inside] = single[letters[inside]]
+        ranks = np.full((n, width + 1), NONE, np.int64)
+        ranks[:, :width - 1] = np.where(inside[:, 1:], first[letters[:, :-1], letters[:, 1:]], NONE)
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        after[:, width] = width
+        ahead = np.tile(np.arange(-1, width), (n, 1))
+        ahead[:, 0] = width
+        after = np.where(after < lengths[:, None], after, width)
+        rows = np.arange(n)
+        while len(rows):
+            i = ranks[rows].argmin(1)       # of equal ranks the first
+            best = ranks[rows, i]
+            going = best != NONE
+            rows, i, best = rows[going], i[going], best[going]
+            j = after[rows, i]
+            k, h = after[rows, j], ahead[rows, i]
+            ids[rows, i], ids[rows, j], ranks[rows, j] = made[best], -1, NONE
+            after[rows, i], ahead[rows, k] = k, i
+            ranks[rows, i] = self._rank(ids[rows, i], ids[rows, k])
+            ranks[rows, h] = self._rank(ids[rows, h], ids[rows, i])
+        left = ids >= 0
+        ends = 4 * np.cumsum(left.sum(1))
+        flat = ids[left].astype(np.int32).tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -186,17 +279,43 @@ def make_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", si
     top = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("piece").toPandas()
     pattern, _ = _cutter()
     words = sorted({w.encode() for piece in top["piece"] for w in pattern.findall(piece)})
-    return build((w, tuple(vocabulary.merge(w))) for w in words)
+    return build((w, tuple(memoryview(ids).cast("i"))) for w, ids in zip(words, vocabulary.merge_all(words)))
+
+
+def words_of(piece: str) -> list[str]:
+    """A piece's words by the pattern, nearly always one."""
+    if piece.isascii() and (piece.isalpha() or piece[0] == " " and piece[1:].isalpha()):
+        return [piece]
+    return _cutter()[0].findall(piece)
+
+
+def encode_pieces(new: set[str], known: _Known, vocab: Vocabulary, lexicon: Lexicon) -> None:
+    """Make the pieces ``new`` known: their words through the lexicon, those it doesn't hold by the merges."""
+    made = {piece: words_of(piece) for piece in new}
+    words = list({w for ws in made.values() for w in ws}.difference(known.ids))
+    token = vocab.tokens.__getitem__
+    for lo in range(0, len(words), SIDE_BY_SIDE):
+        some = words[lo:lo + SIDE_BY_SIDE]
+        raw = [w.encode() for w in some]
+        found = lexicon.get_all(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, vocab.merge_all([raw[i] for i in unseen])):
+            found[i] = ids
+        for word, ids in zip(some, found):
+            known.add(word, ids, b"".join(map(token, memoryview(ids).cast("i"))))
+    for piece, ws in made.items():
+        if piece not in known.ids:
+            known.add(piece, b"".join([known.ids[w] for w in ws]), b"".join([known.raw[w] for w in ws]))
 
 
 def encode(
     docs: DataFrame, vocab_path: str, text: str = "text", keep: list[str] | None = None, lexicon_words: int = 100_000,
-    memo: int = 900_000, decoded: str | None = None,
+    memo_bytes: int = 192 << 20, decoded: str | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` (of its columns ``keep``, or all) as struct ``row`` with its text's ``ids``.
 
-    ``memo`` is the number of pieces whose ids a worker keeps at hand. With ``decoded`` the ids' text comes along in a column of that
-    name, decoded in the same task.
+    ``memo_bytes`` is about what a worker keeps at hand of pieces it has encoded. With ``decoded`` the ids' text comes along in a column of
+    that name, decoded in the same task.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -205,45 +324,48 @@ def encode(
     sent = spark.sparkContext.broadcast(vocabulary)     # bounded by the vocabulary file
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, lexicon, (pattern, _) = sent.value, Lexicon(SparkFiles.get(name)), _cutter()
+        vocab, lexicon = sent.value, Lexicon(SparkFiles.get(name))
         added = regex.compile("|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True)))) if vocab.added else None
-        known = _known(name)      # ids of a piece as packed 32-bit numbers
-        token = vocab.tokens.__getitem__
-
-        def ids_of(piece: str) -> bytes:
-            ids: list[int] = []
-            for word in pattern.findall(piece):
-                raw = word.encode()
-                found = lexicon.get(raw)
-                ids += vocab.merge(raw) if found is None else found
-            return array("i", ids).tobytes()
-
-        def text_ids(value: str) -> bytes:
-            cut = pieces(value)
-            for piece in set(cut).difference(known):
-                known[piece] = ids_of(piece)
-            return b"".join(map(known.__getitem__, cut))
+        known = _known(name, memo_bytes)
+
+        def cut(value: str) -> list[str | int]:
+            """Pieces, and the ids of added tokens between them."""
+            if not (added and added.search(value)):
+                return pieces(value)
+            at, parts = 0, []
+            for m in added.finditer(value):
+                parts += [*pieces(value[at:m.start()]), vocab.added[m[0]]]
+                at = m.end()
+            return parts + pieces(value[at:])
+
+        def several(texts: list[str]) -> Iterator[tuple[bytes, str | None]]:
+            parts = [cut(value) for value in texts]
+            known.trim()
+            new = set().union(*parts).difference(known.ids)
+            for token in [x for x in new if isinstance(x, int)]:
+                known.add(token, array("i", [token]).tobytes(), vocab.tokens[token])
+            encode_pieces({x for x in new if isinstance(x, str)}, known, vocab, lexicon)
+            for some in parts:
+                yield (b"".join(map(known.ids.__getitem__, some)),
+                       b"".join(map(known.raw.__getitem__, some)).decode("utf-8", "replace") if decoded else None)
 
         for batch in batches:
-            flat, ends = [], [0]
-            for value in batch.column("value"):
-                s = value.as_py() or ""
-                if added and added.search(s):
-                    at, parts = 0, []
-                    for m in added.finditer(s):
-                        parts += [text_ids(s[at:m.start()]), array("i", [vocab.added[m[0]]]).tobytes()]
-                        at = m.end()
-                    ids = b"".join([*parts, text_ids(s[at:])])
-                else:
-                    ids = text_ids(s)
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids) // 4)
-                if len(known) > memo:
-                    known.clear()
-            values = pa.array(np.frombuffer(b"".join(flat), np.int32))
-            columns = {"row": batch.column("row"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            flat, ends, texts = [], [0], []
+            pending, chars = [], 0
+            values = batch.column("value")
+            for at, value in enumerate(values, 1):
+                pending.append(value.as_py() or "")
+                chars += len(pending[-1])
+                if chars >= CUT_CHARS or at == len(values):
+                    for ids, back in several(pending):
+                        flat.append(ids)
+                        ends.append(ends[-1] + len(ids) // 4)
+                        texts.append(back)
+                    pending, chars = [], 0
+            numbers = pa.array(np.frombuffer(b"".join(flat), np.int32))
+            columns = {"row": batch.column("row"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers)}
             if decoded:
-                columns[decoded] = pa.array([_text(token, np.frombuffer(ids, np.int32).tolist()) for ids in flat], pa.string())
+                columns[decoded] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     given = packed(docs, keep, value=F.col(text))

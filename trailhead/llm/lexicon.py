@@ -110,6 +110,15 @@ class Lexicon:
         self.first, self.final, self.target = numbers(states + 1), numbers(states), numbers(arcs)
         self.out_at, self.outs, self.tails_at, self.tails = numbers(arcs + 1), numbers(outs), numbers(states + 1), numbers(tails)
         self.labels_at = at
+        # For many words at a time: arcs lie in order of (state, label); a final state's tail counts as one more arc, behind the real ones.
+        first = np.frombuffer(self.first, np.int32)
+        labels = np.frombuffer(self.memory, np.uint8, arcs, at)
+        self._arcs = np.repeat(np.arange(states, dtype=np.int64), np.diff(first)) << 8 | labels
+        out_at, tails_at = np.frombuffer(self.out_at, np.int32).astype(np.int64), np.frombuffer(self.tails_at, np.int32).astype(np.int64)
+        self._begin = np.concatenate([out_at[:-1], tails_at[:-1] + outs])
+        self._count = np.concatenate([np.diff(out_at), np.diff(tails_at)])
+        self._out = np.concatenate([np.frombuffer(self.outs, np.int32), np.frombuffer(self.tails, np.int32)])
+        self._target, self._final = np.frombuffer(self.target, np.int32), np.frombuffer(self.final, np.int32) > 0
 
     def get(self, word: bytes) -> list[int] | None:
         """The word's ids, or None where it isn't in the lexicon."""
@@ -130,3 +139,47 @@ class Lexicon:
                 ids += self.outs[a:b]
         ids += self.tails[self.tails_at[state]:self.tails_at[state + 1]]
         return ids
+
+    def get_all(self, words: list[bytes], longest: int = 64) -> list[bytes | None]:
+        """The ids of many words, walked side by side, as packed 32-bit numbers; longer words than ``longest`` are walked alone."""
+        out: list[bytes | None] = [None] * len(words)
+        short = []
+        for i, word in enumerate(words):
+            if len(word) > longest or not len(self._arcs):
+                ids = self.get(word)
+                out[i] = None if ids is None else np.array(ids, np.int32).tobytes()
+            else:
+                short.append(i)
+        if not short:
+            return out
+        lengths = np.array([len(words[i]) for i in short], np.int64)
+        width = int(lengths.max())
+        letters = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in short), np.uint8).reshape(len(short), width)
+        taken = np.full((len(short), width + 1), -1, np.int64)
+        state = np.full(len(short), self.start, np.int64)
+        rows = np.arange(len(short))        # words that are still on a path
+        for depth in range(width + 1):
+            done = lengths[rows] == depth
+            ended = rows[done]
+            ended = ended[self._final[state[ended]]]
+            taken[ended, depth] = len(self._arcs) + state[ended]
+            rows = rows[~done]
+            if not len(rows):
+                break
+            wanted = state[rows] << 8 | letters[rows, depth]
+            arc = np.minimum(np.searchsorted(self._arcs, wanted), len(self._arcs) - 1)
+            on = self._arcs[arc] == wanted
+            rows, arc = rows[on], arc[on]
+            taken[rows, depth], state[rows] = arc, self._target[arc]
+        whole = np.nonzero(taken[np.arange(len(short)), lengths] >= 0)[0]
+        taken = taken[whole]
+        arcs = taken[taken >= 0]        # word by word, from start to end
+        counts = self._count[arcs]
+        ends = np.cumsum(counts)
+        at = np.repeat(self._begin[arcs] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+        flat = self._out[at].tobytes()
+        word_ends = 4 * np.concatenate([[0], ends])[np.cumsum((taken >= 0).sum(1))]
+        low = 0
+        for i, high in zip(whole.tolist(), word_ends.tolist()):
+            out[short[i]], low = flat[low:high], high
+        return out
