@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
@@ -34,30 +33,61 @@ from .components import components
 
 SLICES = 64
 CHUNK = 16_384          # shingles that are sampled at a time: they stay in the processor's cache
-MEMO = 500_000          # words whose hashes a task keeps
+STEP = 1 << 15          # bytes of a text that are hashed at a time
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
 class Shingler:
-    """Distinct shingle hashes of a text and their counts."""
+    """Distinct shingle hashes of a text and their counts.
+
+    A word's hash is the sum of a random number for each byte times a power of an odd base by its place, from running sums over the whole text.
+    """
 
     def __init__(self, width: int = 5):
-        self.width, self.known = width, {}
+        self.width = width
+        self.letter = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.inverse = pow(int(MIX), -1, 1 << 64)
+        self.up, self.down = _powers(int(MIX), STEP), _powers(self.inverse, STEP)
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash for each word."""
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        gap = np.ones(len(data) + 2, bool)
+        gap[1:-1] = self.space[data]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])        # where words begin and end, in turn
+        sums, carry = np.zeros(len(edges), np.uint64), np.zeros(1, np.uint64)
+        for lo in range(0, len(data), STEP):
+            part = self.letter[data[lo:lo + STEP]] * self.up[:len(data) - lo]
+            if lo:
+                part *= np.uint64(pow(int(MIX), lo, 1 << 64))
+            np.cumsum(part, out=part)
+            part += carry
+            i, j = np.searchsorted(edges, (lo + 1, lo + len(part) + 1))
+            sums[i:j] = part[edges[i:j] - lo - 1]
+            carry = part[-1:].copy()
+        starts = edges[::2]
+        out = (sums[1::2] - sums[::2]) * self.down[starts % STEP]
+        if len(data) > STEP:
+            out *= _powers(pow(self.inverse, STEP, 1 << 64), len(data) // STEP + 1)[starts // STEP]
+        return (out ^ (out >> np.uint64(32))) * MIX
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = (text or "").encode("utf-8", "replace").split()
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words(text or "")
         n = max(len(h) - self.width + 1, min(len(h), 1))
         out = np.zeros(n, np.uint64)
         for k in range(min(self.width, len(h))):
             out = (out ^ (out >> np.uint64(31))) * MIX + h[k:k + n]
         out = (out ^ (out >> np.uint64(29))) * MIX
-        return np.unique(out ^ (out >> np.uint64(32)), return_counts=True)
+        out ^= out >> np.uint64(32)
+        out.sort()
+        at = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]])[:n])
+        return out[at], np.diff(at, append=n)
 
 
 def frequencies(docs: DataFrame, text: str = "text", bits: int = 20, width: int = 5) -> tuple[int, np.ndarray]:
@@ -70,7 +100,8 @@ def frequencies(docs: DataFrame, text: str = "text", bits: int = 20, width: int
             for value in batch.column(0):
                 found, _ = shingle(value.as_py())
                 n += len(found) > 0
-                seen[np.unique((found >> np.uint64(64 - bits)).astype(np.int64))] += 1
+                places = (found >> np.uint64(64 - bits)).astype(np.int64)      # ascending, like the hashes
+                seen[places[np.diff(places, prepend=-1) > 0]] += 1
         if n:
             rows = [seen[i * part:(i + 1) * part].tobytes() for i in range(SLICES)]
             yield pa.record_batch({"slice": pa.array([*range(SLICES), -1], pa.int32()), "counts": pa.array([*rows, np.int64(n).tobytes()], pa.binary())})
