@@ -303,3 +303,33 @@ def test_pipeline_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_contexts_are_whole_words_of_the_text(spark):
+    long = "w" * 300
+    texts = ["call 030 1234567 now", f"{long} a1b2c3 {long}", "x 1111 2222 3333 4444 y", f"one {long} 5555", "6666", f"{'pad ' * 40}left 7777 right {'pad ' * 40}"]
+    found = pii._find(spark.createDataFrame(list(enumerate(texts)), "i int, value string"), {"mention": pii.MENTION})
+    seen = 0
+    for r in found.collect():
+        words = texts[r.i].split()
+        for s in r.s_mention:
+            assert texts[r.i][s.start:s.end] == s.text
+            at = len(texts[r.i][:s.start].split())
+            assert s.before.split()[-2:] == words[max(at - 2, 0):at] and s.after.split()[:1] == words[at + 1:at + 2]
+            seen += 1
+    assert seen == 10
+
+
+def test_pii_finds_numbers_behind_long_words_and_other_mentions(spark):
+    """Identifiers that no rule finds stand behind a long word, or behind a mention; the words there decide, however long."""
+    random.seed(4)
+    label, number = "kontonummer" * 8, lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    seeds = [f"{label} +49 {number(9)} ende" for _ in range(60)]
+    unseen = [f"{label} {number(7)} ende" for _ in range(20)]
+    other = [f"aktenzeichen {number(7)} ablage" for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(seeds + unseen + other)], "doc_id int, text string, spans string, uid int")
+    got = {r.doc_id: [s.kind for s in r["spans"]] for r in pii.extract(docs).select("row.doc_id", "spans").collect()}
+    assert all(got[i] == ["phone"] for i in range(60))
+    assert sum(got[i] == ["phone"] for i in range(60, 80)) >= 18
+    assert all(got[i] == [] for i in range(80, 100))
+    assert pii.extract(docs.limit(0)).count() == 0

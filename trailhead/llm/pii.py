@@ -5,12 +5,12 @@ a match that fails its kind's condition is dropped. These are the seeds.
 
 Contexts do the rest. A mention is a seed, or an identifier-like word (a digit or ``@`` in it, and four or more
 characters) that no seed touches. Its patterns are the word before it and the word behind it, each with the mention's
-shape (runs of digits, letters and signs), and, whatever the shape, the words on both sides and the two words before it. Patterns and instances (the mentions' texts) form a graph. Starting from seeds with confidence
+shape (runs of digits, letters and signs), both whole, however long, and also where they are mentions themselves; and, whatever the shape, the words on both sides and the two words before it. Patterns and instances (the mentions' texts) form a graph. Starting from seeds with confidence
 1, rounds of two aggregations spread it: a pattern's confidence for a kind is the mean confidence of its distinct instances,
 shrunk by ``prior`` doubtful ones; an instance that isn't a seed is as sure as its best pattern. Patterns at or above ``threshold`` with at least ``support``
 distinct instances then mark the mentions that they meet as spans of their kind. Seeds stay whatever the graph says.
 
-Only DataFrame functions are used. Offsets are code points; ends are exclusive. Defined cases: a null or empty text has no spans.
+Only DataFrame functions are used. Offsets are code points; ends are exclusive. Defined cases: a null or empty text has no spans, an empty table no rows.
 Rows are judged one by one and repeats count once as an instance. A mention that several kinds claim takes the surest, then the
 first in the order email, ip, card, phone.
 """
@@ -38,7 +38,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 MENTION = r"(?:(?<![^\x20\x09-\x0D])|\G)(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
 SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
-NEAR = 64           # code points on either side in which a context word is looked for
+NEAR = 64           # code points on either side that nearly always hold the context words; where they don't, all between two matches is kept
 BLOCK = 256
 
 
@@ -57,10 +57,27 @@ def _running(lengths: Column) -> Column:
             z["block"].isNull(), F.array().cast("array<int>")).otherwise(fold(z["block"], z["base"])))))
 
 
+def _tail(piece: Column) -> Column:
+    """An end of ``piece`` that holds its last two words whole."""
+    end = F.substring(piece, -NEAR, NEAR)
+    return F.when(end.rlike(r"[\x20\x09-\x0D][^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"), end).otherwise(piece)
+
+
+def _head(piece: Column) -> Column:
+    """A beginning of ``piece`` that holds its first word whole."""
+    start = F.substring(piece, 1, NEAR)
+    return F.when(start.rlike(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]"), start).otherwise(piece)
+
+
+def _joined(*parts: Column) -> Column:
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+
+
 def _find(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """``df(…, value)`` with, for each name, the spans of its expression's matches in column ``s_<name>``; ``value`` goes.
 
-    What lies between matches gives their offsets. Each step is a projection of its own, so that nothing is worked out twice.
+    What lies between matches gives their offsets. A span's ``before`` and ``after`` are text around it that holds two words before and one
+    behind it whole, be they long or matches themselves. Each step is a projection of its own, so that nothing is worked out twice.
     """
     rest = [c for c in df.columns if c != "value"]
 
@@ -74,15 +91,28 @@ def _find(df: DataFrame, names: dict[str, str]) -> DataFrame:
     empty = F.array().cast(SPAN)
     out = cut.select(*rest, *[f"h_{k}" for k in names], *[c for k in names for c in (
         F.transform(f"g_{k}", lambda g: F.length(g)).alias(f"l_{k}"),
-        F.transform(f"g_{k}", lambda g: F.struct(F.substring(g, -NEAR, NEAR).alias("before"), F.substring(g, 1, NEAR).alias("after"))).alias(f"c_{k}"))])
+        F.transform(f"g_{k}", lambda g: F.struct(_tail(g).alias("before"), _head(g).alias("after"))).alias(f"c_{k}"))])
     n = {k: F.size(f"h_{k}") for k in names}
     out = out.select(*rest, *[c for k in names for c in (f"h_{k}", f"c_{k}", F.zip_with(
         F.slice(f"l_{k}", F.lit(1), n[k]), f"h_{k}", lambda g, h: g + F.length(h)).alias(f"l_{k}"))])
     out = out.select(*rest, *[c for k in names for c in (f"h_{k}", f"c_{k}", F.when(n[k] > 0, _running(F.col(f"l_{k}"))).alias(f"e_{k}"))])
     return out.select(*rest, *[F.when(n[k] > 0, F.transform(
-        F.arrays_zip(F.col(f"h_{k}").alias("h"), F.col(f"e_{k}").alias("e"), F.slice(f"c_{k}", F.lit(1), n[k]).alias("b"), F.slice(f"c_{k}", F.lit(2), n[k]).alias("a")),
-        lambda z: F.struct((z["e"] - F.length(z["h"])).alias("start"), z["e"].alias("end"), z["h"].alias("text"),
-                           z["b"]["before"].alias("before"), z["a"]["after"].alias("after")))).otherwise(empty).alias(f"s_{k}") for k in names])
+        F.arrays_zip(F.col(f"h_{k}").alias("h"), F.col(f"e_{k}").alias("e")), _placed(k))).otherwise(empty).alias(f"s_{k}") for k in names])
+
+
+def _placed(name: str) -> Callable[[Column, Column], Column]:
+    """A match with its offsets and the text around it: the pieces next to it and, as these may hold too few words, the matches beyond them."""
+
+    def piece(i: Column, side: str) -> Column:
+        return F.get(F.col(f"c_{name}"), i)[side]
+
+    def match(i: Column) -> Column:
+        return F.get(F.col(f"h_{name}"), i)
+
+    return lambda z, i: F.struct(
+        (z["e"] - F.length(z["h"])).alias("start"), z["e"].alias("end"), z["h"].alias("text"),
+        _joined(match(i - 2), piece(i - 1, "before"), match(i - 1), piece(i, "before")).alias("before"),
+        _joined(piece(i + 1, "after"), match(i + 1), piece(i + 2, "after")).alias("after"))
 
 
 def _luhn(digits: Column) -> Column:
