@@ -333,3 +333,21 @@ def test_pii_finds_numbers_behind_long_words_and_other_mentions(spark):
     assert sum(got[i] == ["phone"] for i in range(60, 80)) >= 18
     assert all(got[i] == [] for i in range(80, 100))
     assert pii.extract(docs.limit(0)).count() == 0
+
+
+def test_shingles_are_those_of_the_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand, also in texts that are hashed in many steps; counts are those of word windows."""
+    random.seed(6)
+    monkeypatch.setattr(weighted_minhash, "STEP", 16)
+    shingle, known = weighted_minhash.Shingler(5), {}
+    for _ in range(400):
+        text = "".join(random.choice(["a", "b", "ab", " ", "\n", "é", "  ", "\x1c", "x" * 40]) for _ in range(random.randint(0, 40)))
+        words = text.encode().split()
+        hashes = shingle.words(text).tolist()
+        assert len(hashes) == len(words) and all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+        windows = {}
+        for i in range(max(len(words) - 4, min(len(words), 1))):
+            windows[tuple(words[i:i + 5])] = windows.get(tuple(words[i:i + 5]), 0) + 1
+        found, counts = shingle(text)
+        assert sorted(counts.tolist()) == sorted(windows.values()) and (found[1:] > found[:-1]).all()
+    assert len(set(known.values())) == len(known) and len(shingle(None)[0]) == 0
