@@ -144,3 +144,17 @@ def test_a_hub_is_spread_over_tasks_and_pieces(spark):
 def salted_parts(df):
     counts = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     return counts or [0]
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_repeated_sides_of_salted_joins_and_node_lists_are_not_sent_through_the_driver(spark):
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "d", "b")], "repo string, src string, dst string")
+    seeds = spark.createDataFrame([(1, "r", "b", 1)], "task_id long, repo string, path string, rank int")
+    near = graph.expand_neighbors(edges, seeds)
+    assert sorted((r.path, r.score) for r in near.collect()) == [("a", 4.5), ("c", 4.0), ("d", 4.5)]
+    held = graph.impact(edges, seeds.select("repo", "path"))
+    assert [(r.direct_callers, r.indirect_callers, r.imports) for r in held.collect()] == [(["a", "d"], [], ["c"])]
+    assert broadcasts(near) == 0 and broadcasts(held) == 0
