@@ -130,3 +130,19 @@ def test_uploads_split_over_files_are_judged_whole(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want[name].collect()), key=str), name
     errors = {r.batch_id: r.error for r in spark.read.parquet(f"{out}/results").collect()}
     assert errors == {"a": "too_many_events", "b": None, "c": "empty_body", "d": "payload_too_large", "e": None}
+
+
+def test_attribution_keeps_one_state_a_block_of_the_log_whatever_the_paths(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [("r", f"p{i % 10}", i, T0 + dt.timedelta(seconds=i), None if i < 10 else "Edit", f"b{i}" if i < 10 else None) for i in range(20)]
+    tick = [(None, None, None, T0 + dt.timedelta(days=9), None, None)]
+    spark.createDataFrame(rows + tick, LOG).coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema(LOG).parquet(str(src))
+    found = attribution.attribute_stream(stream.where("bundle_id is null"), stream.where("bundle_id is not null"), 1800, 20)
+    out = str(tmp_path / "out")
+    query = sinks.write_batches(found, out, str(tmp_path / "cp"), trigger={"processingTime": "0 seconds"})
+    query.processAllAvailable()
+    kept = max(p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in query.recentProgress)
+    query.stop()
+    assert {(r.path, r.bundle_id) for r in spark.read.parquet(out).collect()} == {(f"p{i}", f"b{i}") for i in range(10)}
+    assert 0 < kept <= 3
