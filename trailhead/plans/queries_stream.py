@@ -43,7 +43,7 @@ def ingest_stream(spark, sf):
     rows = view(spark, sf, "v_payload").select("batch_id", "seq", "raw", F.timestamp_seconds(F.lit(86_400)).alias("received_at"))
     _streaming_settings(spark)
     source = fresh_dir(spark, "uploads")
-    rows.repartition(3, "seq").write.parquet(source)
+    rows.repartition(max(3, spark.sparkContext.defaultParallelism), "seq").write.parquet(source)
     tick = rows.limit(1).select(F.lit(None).cast(rows.schema["batch_id"].dataType).alias("batch_id"), "seq", "raw", F.timestamp_seconds(F.lit(90_000)).alias("received_at"))
     tick.write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
