@@ -13,6 +13,16 @@ WORD = "repo string, word string"
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_contains_join_equals_all_pairs(spark, monkeypatch, limit):
     monkeypatch.setattr(contains, "MAX_BROADCAST_NEEDLES", limit)
+    _equals_all_pairs(spark)
+
+
+@pytest.mark.parametrize("tried", [0, 5, 10_000])
+def test_few_runs_are_looked_for_and_many_are_cut_out_alike(spark, monkeypatch, tried):
+    monkeypatch.setattr(contains, "MAX_TRIED_GRAMS", tried)
+    _equals_all_pairs(spark)
+
+
+def _equals_all_pairs(spark):
     rng = random.Random(8)
     draw = lambda n: "".join(rng.choice("abcé") for _ in range(n))
     texts = [(rng.choice("xy"), i, draw(rng.randint(0, 14))) for i in range(150)] + [("x", 900, None)]

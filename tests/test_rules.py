@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from trailhead.functions import paths
 from trailhead.operators import authority as A
 from trailhead.plans import context
+from trailhead.session import settle
 
 FILES = "repo string, path string, content string"
 CONTRACT = ("---\napplies_to:\n  - 'src/*.py'\n- web/**\nseverity: Advisory\nvalidated_by: tests/test_c.py\n---\n# Pay\n\nRules of pay.\n\n"
@@ -84,6 +85,31 @@ def test_rank_authority_equals_brute_force(spark):
         assert [got[task_id, i + 1] for i in range(9)] == [r.id for r in order[:9]]
 
 
+def test_few_of_the_records_that_hold_the_same_words_meet_the_tasks(spark, monkeypatch):
+    """Every record holds `rule`, and one of three further words: no task meets more than the first of each kind."""
+    seen = {}
+    monkeypatch.setattr(A, "settle", lambda df, label="settled": seen.setdefault(label, settle(df, label)))
+    files = corpus(spark, **{f"src/m{i:03}.py": f"# {'INVARIANT' if i % 2 else 'IMPORTANT'}: rule {'alpha beta gamma'.split()[i % 3]}\n" for i in range(200)})
+    tasks = spark.createDataFrame([(t, "r", f"rule {'alpha beta gamma delta'.split()[t % 4]}") for t in range(8)], "task_id int, repo string, task string")
+    auth = A.authority_records(files.unionByName(files.where("path = 'src/m001.py'")))
+    got = A.rank_authority(auth, tasks, 4).collect()
+    assert seen["candidates"].count() <= 8 * 4 * 4, seen["candidates"].count()
+    rows = {r.id: r for r in auth.collect()}
+    held = lambda r, task: sum(w in f"{r.title} {r.summary} {' '.join(r.tags)}".lower() for w in task.split()) * (1 + r.path.startswith("src/m001.py"))
+    for t in tasks.collect():
+        order = sorted(rows.values(), key=lambda r: (r.authority_level, -held(r, t.task), r.path))
+        want = [r.id for r in order[:1] if "m001" in r.path] + [r.id for r in order]     # an id that two records bear takes two ranks
+        assert {(r["rank"], r.id) for r in got if r.task_id == t.task_id} == {(i + 1, x) for i, x in enumerate(want[:4])}
+
+
+def test_marker_words_leave_out_no_line(spark):
+    lines = ["# Invariant : a", "-- do not: b", "contract: c", "x contract: d", "see CONTRACT: e -->", "important:", "nothing"]
+    df = spark.createDataFrame([("\n".join(lines),)], "content string")
+    rows = lambda **o: [(r.line, r.word, r.body) for r in A.marker_lines(df, **o).orderBy("line").collect()]
+    assert rows() == rows(words=["invariant", "contract", "do not", "important"]) == [
+        (1, "Invariant", "a"), (2, "do not", "b"), (3, "contract", "c"), (5, "see CONTRACT", "e")]
+
+
 def test_bundle_excerpts_and_examples(spark):
     files = corpus(spark, **{"contracts/long.md": "x" * 900, "examples/pay.md": "pay totals example", "src/a.py": "pay totals"})
     tasks = spark.createDataFrame([(1, "r", "pay totals")], "task_id int, repo string, task string")

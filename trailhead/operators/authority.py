@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K, globs, paths, text as T
+from ..session import settle
 from . import glob_automaton
 from .contains import contains_join
 from .skew import numbered, salted_join, top_k, union_all
@@ -114,21 +117,26 @@ def heading_bullets(text: Column | str) -> Column:
     return F.transform(found, lambda s: F.struct(s["title"].alias("title"), items(s["rows"], s["first"], s["end"]).alias("items")))
 
 
-def marker_lines(df: DataFrame, pattern: str = K.MARKER_LINE, text: str = "content") -> DataFrame:
-    """Lines that, without their comment prefix, match ``pattern``: adds line, word (group 1) and body (group 2)."""
+def marker_lines(df: DataFrame, pattern: str = K.MARKER_LINE, text: str = "content", words: list[str] | None = None) -> DataFrame:
+    """Lines that, without their comment prefix, match ``pattern``: adds line, word (group 1) and body (group 2).
+
+    Where every match holds one of some lower-case ``words``, in any case, lines without them need no patterns.
+    """
     numbered = df.select("*", F.posexplode(T.lines(text)).alias("_pos", "_raw"))
-    bare = T.strip(F.regexp_replace("_raw", "(?U)" + K.COMMENT_PREFIX, ""))
-    hits = numbered.withColumn("_bare", bare).where(F.col("_bare").rlike(pattern))
-    return hits.select(
-        *df.columns, (F.col("_pos") + 1).alias("line"), F.regexp_extract("_bare", pattern, 1).alias("word"),
-        T.strip(F.regexp_extract("_bare", pattern, 2)).alias("body"),
-    )
+    if words:
+        low = F.lower("_raw")
+        numbered = numbered.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]))
+    # As generated columns the bare line and its groups are computed once, however many steps read them.
+    bare = numbered.withColumn("_bare", F.explode(F.array(T.strip(F.regexp_replace("_raw", "(?U)" + K.COMMENT_PREFIX, "")))))
+    groups = F.struct(F.regexp_extract("_bare", pattern, 1).alias("word"), T.strip(F.regexp_extract("_bare", pattern, 2)).alias("body"))
+    hits = bare.where(F.col("_bare").rlike(pattern)).withColumn("_groups", F.explode(F.array(groups)))
+    return hits.select(*df.columns, (F.col("_pos") + 1).alias("line"), "_groups.word", "_groups.body")
 
 
 def markers(files: DataFrame) -> DataFrame:
     """(repo, path, line, kind, body) of inline authority markers."""
     kinds = F.create_map(*[F.lit(x) for word, facts in K.MARKERS.items() for x in (word, facts[0])])
-    found = marker_lines(files.select("repo", "path", "content"))
+    found = marker_lines(files.select("repo", "path", "content"), words=list(K.MARKERS))
     return found.select("repo", "path", "line", F.element_at(kinds, F.lower("word")).alias("kind"), "body").where("body <> ''")
 
 
@@ -226,22 +234,40 @@ def rank_authority(auth: DataFrame, tasks: DataFrame, k: int = 12) -> DataFrame:
     """Best ``k`` records per task: by level, then by how many task words occur in title, summary or tags, then by path.
 
     A word is looked up by its rarest part (:func:`contains.contains_join`), so hardly more records than those that hold it are
-    compared. Records without any hit fill up from the first ``k`` of the repo.
+    compared. Records that hold the same words score alike for every task, so of those only the first ``k`` of the repo meet the tasks.
+    Records without any hit fill up from the first ``k`` of the repo.
     """
     haystack = F.lower(F.concat_ws(" ", "title", "summary", F.array_join("tags", " ")))
     task_words = tasks.select(
         "task_id", "repo",
         F.explode(F.array_distinct(F.transform(F.filter(T.words("task"), lambda w: F.length(w) > 2), F.lower))).alias("_word"))
-    held = contains_join(auth.select("repo", "id", haystack.alias("_hay")), task_words, ["repo"], "_hay", "_word", ["id"]).select("repo", "_word", "id")
-    hits = task_words.join(held, ["repo", "_word"]).groupBy("task_id", "repo", "id").agg(F.count("*").alias("overlap"))
-    first = top_k(auth.select("repo", "id", "authority_level", "path"), ["repo"], ["authority_level", "path", "id"], k, "_n")
+    held = settle(contains_join(
+        auth.select("repo", "id", haystack.alias("_hay")), task_words, ["repo"], "_hay", "_word", ["id"]).select("repo", "_word", "id"), "held")
+    keys = auth.select("repo", "id", "authority_level", "path")
+    alike = _first_alike(held, keys, k)
+    hits = task_words.join(held.join(alike, ["repo", "id"], "left_semi"), ["repo", "_word"]).groupBy("task_id", "repo", "id").agg(
+        F.count("*").alias("overlap"))
+    first = top_k(keys, ["repo"], ["authority_level", "path", "id"], k, "_n")
     padding = first.select("repo", "id").join(tasks.select("task_id", "repo"), "repo").select(
         "task_id", "repo", "id", F.lit(0).cast("long").alias("overlap"))
-    candidates = hits.unionByName(padding).groupBy("task_id", "repo", "id").agg(F.max("overlap").alias("overlap"))
-    keys = auth.select("repo", "id", "authority_level", "path")
+    candidates = settle(hits.unionByName(padding).groupBy("task_id", "repo", "id").agg(F.max("overlap").alias("overlap")), "candidates")
     best = top_k(candidates.join(keys, ["repo", "id"]), ["task_id"],
                  ["authority_level", F.col("overlap").desc(), "path", "id"], k)
-    return best.select("task_id", "repo", "id", "overlap", "rank").join(auth, ["repo", "id"])
+    return settle(best.select("task_id", "repo", "id", "overlap", "rank"), "best").join(auth, ["repo", "id"])
+
+
+def _first_alike(held: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(repo, id) of the first ``k`` records, by level, path and id, of those that hold the same words. An id that several records bear goes
+    by its first one, and holds the words of all.
+
+    Settled, so that Spark knows how few they are.
+    """
+    place = F.struct("authority_level", "path")
+    rows = held.select("repo", "id", "_word", F.lit(None).cast(keys.select(place.alias("_at")).schema["_at"].dataType).alias("_at")).unionByName(
+        keys.select("repo", "id", F.lit(None).cast("string").alias("_word"), place.alias("_at")))
+    records = rows.groupBy("repo", "id").agg(F.array_sort(F.collect_list("_word")).alias("_words"), F.min("_at").alias("_at"))
+    first = top_k(records.where(F.size("_words") > 0), ["repo", "_words"], ["_at", "id"], k, "_n")
+    return settle(first.select("repo", "id"), "alike")
 
 
 def authority_edges(auth: DataFrame, files: DataFrame, tests: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from .skew import fits, salted_join, top_k
 
 MAX_BROADCAST_NEEDLES = 100_000     # (needle, part) rows sent to the texts; about 10 MB
 GRAM = 3
+MAX_TRIED_GRAMS = 256               # distinct runs up to which each text is searched for them; it is cut into all its runs beyond
 
 
 def _parts(text: Column, size: int) -> Column:
@@ -37,15 +38,24 @@ def candidates(texts: DataFrame, needles: DataFrame, by: list[str], text: str, n
     sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())        # 0 to 3
     if not sizes:
         return texts.join(needles, by).limit(0)
-    parts = F.concat(*[_parts(F.col(text), n) if n else F.array(F.lit("")) for n in sizes])
-    spread = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(parts))
+    texts = texts.where(F.col(text).isNotNull())
+
+    def spread(grams: DataFrame) -> DataFrame:
+        """A row per text and run of it; of few ``grams`` only those are looked for."""
+        tried = [r[0] for r in grams.select("_gram").distinct().limit(MAX_TRIED_GRAMS + 1).collect()]
+        if 0 < len(tried) <= MAX_TRIED_GRAMS:
+            parts = F.filter(F.array(*map(F.lit, sorted(tried))), lambda g: F.contains(F.col(text), g))
+        else:
+            parts = F.concat(*[_parts(F.col(text), n) if n else F.array(F.lit("")) for n in sizes])
+        return texts.withColumn("_gram", F.explode(parts))
+
     on = [*by, "_gram"]
-    held = _met(spread.select(*on, *[c for c in spread_by if c not in on]), asked.select(*on).distinct(), on, "left_semi", spread_by)
+    held = _met(spread(asked).select(*on, *[c for c in spread_by if c not in on]), asked.select(*on).distinct(), on, "left_semi", spread_by)
     counts = settle(held.groupBy(*on).agg(F.count("*").alias("_texts")), "counts")
     # A gram that no text holds counts 0 and is chosen, which drops its needle in the join.
     priced = asked.join(counts, on, "left").fillna(0, ["_texts"])
     chosen = settle(top_k(priced, [*by, needle], ["_texts", "_gram"], 1, "_n").where("_texts > 0").select(*on, needle), "chosen")
-    return _met(spread, chosen, on, "inner", spread_by).drop("_gram")
+    return _met(spread(chosen), chosen, on, "inner", spread_by).drop("_gram")
 
 
 def contains_join(texts: DataFrame, needles: DataFrame, by: list[str], text: str, needle: str, spread_by: list[str]) -> DataFrame:
