@@ -1,4 +1,5 @@
 import fnmatch
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,26 @@ def test_lines_break_like_the_source_language(spark):
     assert one(spark, "\n", T.lines("v")) == [""]
 
 
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
+
+
+def test_snippet_cuts_only_texts_that_hold_a_token(spark):
+    """As line by line, on texts of all kinds of line ends and blanks; a text without a token is not cut into lines."""
+    texts = ["", " ", None, "a", "\u00a0\n\u2003x \u3000\r\nRetry", "one\u2028two retry\x85", "\x1c\x1cfirst\x0bretrying\t", "no\r\rRETRY \u00e9 ", "x" * 400 + "\nretry" * 2,
+             " \u200a\n", "\u00c9tat\nK\u212aey retr\ny"]
+    words = [["retry"], ["none", "two"], [], None, ["x", "key"]]
+    df = spark.createDataFrame([(t, w) for t in texts for w in words], "v string, w array<string>")
+
+    def plain(text, tokens):
+        if text is None:
+            return None
+        bare = [b for b in (x.strip(BLANKS) for x in re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", text)) if b]
+        hit = [b for b in bare if any(t in b.lower() for t in tokens or [])]
+        return (hit or bare or [None])[0] and (hit or bare)[0][:160]
+
+    assert [r.s for r in df.select(T.snippet("v", "w").alias("s")).collect()] == [plain(t, w) for t in texts for w in words]
+
+
 def test_snippet_prefers_a_hit_then_the_first_line(spark):
     text = "\n  First line \n second RETRY here\n"
     assert one(spark, text, T.snippet("v", F.array(F.lit("retry")))) == "second RETRY here"

@@ -8,6 +8,8 @@ from . import constants as K
 
 # Line ends and white space as the data's producers define them, spelled out so that no engine default matters.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+ANY_IN_LINE = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+NO_SPACE = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -103,20 +105,16 @@ def enriched_chunk_text(path, kind, text, symbol, start_line, end_line) -> Colum
 
 def snippet(content, overlap, max_chars: int = 160) -> Column:
     """First non-blank line holding one of the overlap tokens, else the first non-blank line; null for blank text."""
-    overlap = as_col(overlap)
-    none = F.lit(None).cast("string")
-    start = F.struct(none.alias("first"), none.alias("hit"))
-
-    def look(acc: Column, bare: Column) -> Column:
-        found = F.exists(overlap, lambda t: F.contains(F.lower(bare), t))
-        return F.when(bare == "", acc).otherwise(F.struct(
-            F.coalesce(acc["first"], bare).alias("first"), F.when(found, bare).alias("hit")))
+    text, overlap = as_col(content), as_col(overlap)
 
-    def step(acc: Column, line: Column) -> Column:   # lines after the first hit are not looked at
-        return F.when(acc["hit"].isNotNull(), acc).otherwise(look(acc, strip(line)))
+    def holds(where: Column) -> Column:
+        return let(F.lower(where), lambda low: F.coalesce(F.exists(overlap, lambda t: F.contains(low, t)), F.lit(False)))
 
-    best = F.aggregate(lines(content), start, step, lambda acc: F.coalesce(acc["hit"], acc["first"]))
-    return F.left(best, F.lit(max_chars))
+    # All line ends are white space, so the first non-blank line begins at the first other character. Only texts that hold a token are cut.
+    first = F.nullif(rstrip(F.regexp_extract(text, rf"\A{SPACE}*+({ANY_IN_LINE}+)", 1)), F.lit(""))
+    none = F.lit(None).cast("string")
+    hit = F.aggregate(lines(text), none, lambda acc, line: F.when(acc.isNotNull(), acc).when(holds(line) & line.rlike(NO_SPACE), line))
+    return F.left(F.when(holds(text), F.coalesce(strip(hit), first)).otherwise(first), F.lit(max_chars))
 
 
 def is_substantive(prompt: Column | str) -> Column:
