@@ -210,6 +210,25 @@ def test_exploration_is_reproducible(spark):
     assert a == {r.task_id for r in ranking.explored_tasks(tasks.repartition(7), 0.05, 3).collect()} and 50 < len(a) < 160
 
 
+def test_exploration_probes_form_no_pair_without_a_similarity(spark, monkeypatch):
+    words = "login token invoice totals retry queue".split()
+    files = paths.classify(spark.createDataFrame(
+        [("r", f"src/{words[i % 6]}/f{i}.py", f"{words[(i + 1) % 6]} {words[(i * 5) % 6]} code") for i in range(40)] + [("r", "docs/a.md", "login")],
+        "repo string, path string, content string"))
+    tasks = spark.createDataFrame([(t, "r", f"fix {words[t % 6]} and {words[(t + 2) % 6]}") for t in range(6)], "task_id int, repo string, task string")
+    scores = [(t, "r", f"src/{words[i % 6]}/f{i}.py", (i * 7 + t) % 50 / 100 - 0.05) for t in range(6) for i in range(0, 40, 2)]
+    emb = spark.createDataFrame(scores + scores[:3] + [(1, "r", "docs/a.md", 0.2), (1, "r", "gone.py", 0.2), (2, "r", "src/token/f1.py", None)],
+                                "task_id int, repo string, path string, score double")
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    want = rows(ranking.explore(ranking._best_files(tasks, files, emb, 1, None)[1], tasks, files, 1.0))
+
+    def fail(*_, **__):
+        raise AssertionError("pairs without a similarity were formed")
+
+    monkeypatch.setattr(ranking.impact, "best_pairs", fail)
+    assert want and rows(ranking.exploration_probes(tasks, files, emb, 1.0)) == want
+
+
 def test_threshold_fallbacks(spark):
     layers = spark.createDataFrame([
         ("default", "code", "0.3", "0.05"), ("file", "code", "bad", "0.1"), ("learned", "code/handler", "0.2", None), ("env", "DOC", "0.6", None),
