@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailhead.functions import paths, text as T
 from trailhead.operators import impact, ranking, vectors
+from trailhead.plans import queries_rank
 from trailhead.plans.registry import files_of
 from trailhead.plans.views import view
 
@@ -318,3 +319,37 @@ def test_a_token_of_every_file_forms_few_pairs(spark, monkeypatch):
     assert got == {i: [f"src/m{j:05d}.py" for j in range(i, 4000, 400)][:8] for i in range(100)}
     formed = sum(report.values())
     assert 0 < formed < 0.05 * 100 * 4000, report
+
+
+def test_vector_scores_of_all_files_form_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = "login token invoice totals retry queue".split()
+    files = paths.classify(spark.createDataFrame(
+        [("r", f"src/{words[i % 6]}/f{i}.py", f"{words[(i + 1) % 6]} {words[(i * 5) % 6]} code") for i in range(300)], "repo string, path string, content string"))
+    tasks = spark.createDataFrame([(i, "r", f"{words[i]} {words[i + 1]}") for i in range(5)], "task_id int, repo string, task string")
+    emb = spark.createDataFrame([(t, "r", f"src/{words[i % 6]}/f{i}.py", float(x)) for t in range(5) for i, x in enumerate(rng.uniform(-0.5, 1, 300))],
+                                "task_id int, repo string, path string, score double")
+    met = []
+    best = impact.best_pairs
+
+    def watched(postings, wanted, judge, k, given=None, *args, **more):
+        met.append(given.count())
+        return best(postings, wanted, judge, k, given, *args, **more)
+
+    monkeypatch.setattr(impact, "best_pairs", watched)
+    got = sorted((r.task_id, r.path, r.rank, round(r.score, 9)) for r in ranking.rank_files(tasks, files, emb, epsilon=0.0).collect())
+    assert got == expected_ranking(tasks, files, emb, {"code", "config"}, 8)
+    assert 5 * 8 <= met[0] < 5 * 60
+    # Probes of a ranking are those that all pairs give.
+    judged = ranking._best_files(tasks, files, emb, 8, None)[1]
+    want = sorted((r.task_id, r.path) for r in ranking.explore(judged, tasks, files, 1.0).collect())
+    probes = ranking.rank_files(tasks, files, emb, epsilon=1.0).where("reason like 'Exploration%'").collect()
+    assert sorted((r.task_id, r.path) for r in probes) == want and want
+
+
+def test_embedded_scores_run_one_python_step_at_a_time(spark, sf):
+    files = files_of(spark, sf).limit(40)
+    scores = queries_rank.embedded_scores(spark, sf, files, view(spark, sf, "v_tasks").limit(3))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InPandas") + plan.count("EvalPython") == 1
+    assert scores.count() == 3 * 40

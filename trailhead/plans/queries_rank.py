@@ -174,11 +174,15 @@ def context_markdown(spark, sf):
 
 
 def embedded_scores(spark, sf, files, tasks):
-    """Task × file scores from the bundled provider: whole texts, chunked, embedded and max-pooled per path."""
+    """Task × file scores from the bundled provider: whole texts, chunked, embedded and max-pooled per path.
+
+    Chunks and vectors are stored tables, so that a core never has the Python workers of all the steps at once.
+    """
     from ..operators import chunking
 
-    chunks = vectors.embed(chunking.chunk_files(files), "embed_text").select(
-        "repo", "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector")
+    cut = settle(chunking.chunk_files(files).select("repo", "path", "chunk_index", "kind", "embed_text"), "chunks")
+    chunks = settle(vectors.embed(cut, "embed_text").select(
+        "repo", "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector"), "vectors")
     asked = vectors.embed(tasks.select(F.col("task_id").alias("query_id"), "repo", "task"), "task")
     return vectors.path_scores(chunks, asked).select(F.col("query_id").alias("task_id"), "repo", "path", "score")
 
