@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K, paths, scoring, text as T
 from ..operators import graph, ranking, vectors
+from ..operators.skew import spread
 from . import context
 from .queries_text import EDGES, KIND, toks
 from ..session import settle
@@ -181,8 +182,8 @@ def embedded_scores(spark, sf, files, tasks):
     from ..operators import chunking
 
     cut = settle(chunking.chunk_files(files).select("repo", "path", "chunk_index", "kind", "embed_text"), "chunks")
-    chunks = settle(vectors.embed(cut, "embed_text").select(
-        "repo", "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector"), "vectors")
+    chunks = spread(settle(vectors.embed(cut, "embed_text").select(
+        "repo", "path", "chunk_index", "kind", F.lit("repo").alias("namespace"), F.lit("chunk").alias("record_type"), "vector"), "vectors"), ["repo", "path"])
     asked = vectors.embed(tasks.select(F.col("task_id").alias("query_id"), "repo", "task"), "task")
     return vectors.path_scores(chunks, asked).select(F.col("query_id").alias("task_id"), "repo", "path", "score")
 
