@@ -351,3 +351,12 @@ def test_shingles_are_those_of_the_words(monkeypatch):
         found, counts = shingle(text)
         assert sorted(counts.tolist()) == sorted(windows.values()) and (found[1:] > found[:-1]).all()
     assert len(set(known.values())) == len(known) and len(shingle(None)[0]) == 0
+
+
+def test_long_words_have_hashes_of_their_own():
+    """Sums of powers are equal for some long words by design (Thue-Morse); the hashes that op3 compares are not."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes = substrings.scheme(13).hashes()
+    assert len(set(hashes(f"x {a} y {b} {a} x").tolist())) == 4 and len(hashes(None)) == 0
+    assert len(set(weighted_minhash.Shingler().words(f"{a} {b}").tolist())) == 1

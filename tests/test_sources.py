@@ -1,9 +1,12 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from trailhead import session
 from trailhead.operators import skew
+from trailhead.session import settle
 from trailhead.sources import events, files as SF, index_store
 
 
@@ -142,3 +145,20 @@ def test_salted_join_equals_a_plain_join(spark):
 def test_dense_offsets(spark):
     got = skew.dense_offsets(spark.range(0, 100, 1, 7)).orderBy("id").collect()
     assert [r.seq for r in got] == list(range(100))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A table that was written needs its shuffle no more: the files go, though the plan is still held; the session's setting stays."""
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (held.apply(i).getName() for i in range(held.size())) if name.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(session.DROP_SHUFFLES, None)
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    tables = [settle(counted) for _ in range(2)]
+    late = time.monotonic() + 10
+    while files() - before and time.monotonic() < late:
+        time.sleep(0.1)
+    assert not files() - before
+    assert all(t.selectExpr("sum(count)").first()[0] == 1000 for t in tables)
+    assert spark.conf.get(session.DROP_SHUFFLES, None) == setting

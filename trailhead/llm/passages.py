@@ -32,7 +32,7 @@ class Scheme:
     """Units of a text and their hashes; ``gram`` units make an anchor, ``window`` units the strings in question."""
 
     split: Callable[[str | None], object]               # text → bytes, or list of words
-    hashes: Callable[[], Callable[[object], np.ndarray]]    # makes a function from units to 64-bit hashes
+    hashes: Callable[[], Callable[[str | None], np.ndarray]]   # makes a function from a text to its units' 64-bit hashes
     join: Callable[[object], bytes]                     # a slice of units → bytes
     parts: Callable[[bytes], object]                    # and back
     gram: int
@@ -85,7 +85,7 @@ def _table(docs: DataFrame, scheme: Scheme, bitmaps: int) -> np.ndarray:
         hashes = scheme.hashes()
         for batch in batches:
             for i in range(0, len(batch), 256):
-                found = [a for v in batch.column(0)[i:i + 256] for a, _, _, _ in anchors(hashes(scheme.split(v.as_py())), scheme)]
+                found = [a for v in batch.column(0)[i:i + 256] for a, _, _, _ in anchors(hashes(v.as_py()), scheme)]
                 flat, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
                 yield pa.record_batch({"anchor": pa.array(flat.view(np.int64)), "n": pa.array(n, pa.int64())})
 
@@ -93,7 +93,7 @@ def _table(docs: DataFrame, scheme: Scheme, bitmaps: int) -> np.ndarray:
     bits = many.select(F.pmod("anchor", F.lit(bitmaps)).cast("int").alias("bucket"),
                        F.pmod(F.shiftright("anchor", 24), F.lit(BITMAP)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     table = np.zeros((bitmaps, BITMAP // 8), np.uint8)
-    for row in bits.toLocalIterator():      # at most ``bitmaps`` rows of 4 KiB
+    for row in settle(bits, "bits").toLocalIterator():      # at most ``bitmaps`` rows of 4 KiB
         table[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return table
 
@@ -111,7 +111,7 @@ def occurrences(docs: DataFrame, scheme: Scheme, bitmaps: int = 4096) -> DataFra
         for batch in batches:
             which, anchor, body, start, count, off = [], [], [], [], [], []
             for i, v in enumerate(batch.column("value")):
-                h = hashes(scheme.split(v.as_py()))
+                h = hashes(v.as_py())
                 for a, first, n, far in anchors(h, scheme):
                     s = a.view(np.int64)
                     bit = (s >> 24) % BITMAP

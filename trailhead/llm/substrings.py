@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -27,22 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import settle
 from .automaton import SuffixAutomaton
 from .passages import Scheme, collapsed, cut, fetched, in_groups, merged, occurrences
+from .weighted_minhash import Shingler
 
 SHARD = 1 << 18
-MEMO = 500_000          # words whose hashes a task keeps
 
 
 def _word_hashes():
-    known: dict[bytes, int] = {}
-
-    def hashes(words: list[bytes]) -> np.ndarray:
-        if len(known) > MEMO:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    return hashes
+    words = Shingler().words
+    return lambda text: words(text or "", exact=xxhash.xxh3_64_intdigest)
 
 
 def scheme(window: int) -> Scheme:

@@ -29,7 +29,7 @@ BATCH = 1 << 19         # bytes of passages that one suffix array covers, unless
 
 def _byte_hashes():
     table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return lambda raw: table[np.frombuffer(raw, np.uint8)]
+    return lambda text: table[np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)]
 
 
 def scheme(length: int) -> Scheme:

@@ -20,7 +20,7 @@ and are alone. Ids are compared by (id, hash of the text); rows equal in both ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,8 +55,8 @@ class Shingler:
         self.inverse = pow(int(MIX), -1, 1 << 64)
         self.up, self.down = _powers(int(MIX), STEP), _powers(self.inverse, STEP)
 
-    def words(self, text: str) -> np.ndarray:
-        """A hash for each word."""
+    def words(self, text: str, exact: Callable[[bytes], int] | None = None, long: int = 32) -> np.ndarray:
+        """A hash for each word; of words over ``long`` bytes by ``exact``, if given: sums of powers can be equal by design in long ones."""
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         gap = np.ones(len(data) + 2, bool)
         gap[1:-1] = self.space[data]
@@ -75,7 +75,11 @@ class Shingler:
         out = (sums[1::2] - sums[::2]) * self.down[starts % STEP]
         if len(data) > STEP:
             out *= _powers(pow(self.inverse, STEP, 1 << 64), len(data) // STEP + 1)[starts // STEP]
-        return (out ^ (out >> np.uint64(32))) * MIX
+        out = (out ^ (out >> np.uint64(32))) * MIX
+        if exact:
+            for i in np.flatnonzero(edges[1::2] - starts > long).tolist():
+                out[i] = exact(data[starts[i]:edges[2 * i + 1]].tobytes())
+        return out
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         h = self.words(text or "")
@@ -286,7 +290,7 @@ def _exact(open_: DataFrame, texts: DataFrame, named: DataFrame, n: int, thresho
     size = 1 << (bits - 15)
     slots = asked.select(F.pmod("token", F.lit(size)).cast("int").alias("slot"), F.pmod(F.shiftright("token", 24), F.lit(BITMAP)).alias("bit"))
     table = np.zeros((size, BITMAP // 8), np.uint8)
-    for row in slots.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():      # at most ``size`` rows of 4 KiB
+    for row in settle(slots.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), "bits").toLocalIterator():      # at most ``size`` rows of 4 KiB
         table[row["slot"]] = np.frombuffer(row["bits"], np.uint8)
     sent = named.sparkSession.sparkContext.broadcast(table)
 
