@@ -360,3 +360,13 @@ def test_long_words_have_hashes_of_their_own():
     hashes = substrings.scheme(13).hashes()
     assert len(set(hashes(f"x {a} y {b} {a} x").tolist())) == 4 and len(hashes(None)) == 0
     assert len(set(weighted_minhash.Shingler().words(f"{a} {b}").tolist())) == 1
+
+
+def test_rounds_without_links_form_no_components(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(6)], "doc_id int, text string")
+    asked = []
+    monkeypatch.setattr(weighted_minhash, "_verified", lambda pairs, *_: (asked.append(pairs.count()), pairs.limit(0))[1])
+    monkeypatch.setattr(weighted_minhash, "components", lambda _: pytest.fail("classes of links that are not there"))
+    assert sorted(map(tuple, weighted_minhash.classes(docs).select("doc", "class_id", "n_links", "first").collect())) == [(i, i, 0, True) for i in range(6)]
+    assert sum(asked)
