@@ -158,3 +158,16 @@ def test_repeated_sides_of_salted_joins_and_node_lists_are_not_sent_through_the_
     held = graph.impact(edges, seeds.select("repo", "path"))
     assert [(r.direct_callers, r.indirect_callers, r.imports) for r in held.collect()] == [(["a", "d"], [], ["c"])]
     assert broadcasts(near) == 0 and broadcasts(held) == 0
+
+
+SCRIPTS = {
+    "web/x.ts": "import a from './y'\nimport b from '../lib'\nimport c from './y'\nconst d = require('./y.js')\n", "web/y.js": "", "web/y.ts": "import x from './x.ts'",
+    "web/y.js.ts": "", "lib.tsx": "", "lib/index.js": "", "web/y/index.js": "import z from '..'", "web/index.ts": "import q from '.'",
+}
+
+
+def test_script_imports_take_the_first_ending_and_send_no_paths_to_all(spark):
+    rows = graph.ts_imports(corpus(spark, **SCRIPTS))
+    got = sorted((r.src, r.dst) for r in rows.collect())
+    assert got == [("web/index.ts", "web/index.ts"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts")]
+    assert broadcasts(rows) == 0
