@@ -171,3 +171,10 @@ def test_script_imports_take_the_first_ending_and_send_no_paths_to_all(spark):
     got = sorted((r.src, r.dst) for r in rows.collect())
     assert got == [("web/index.ts", "web/index.ts"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts")]
     assert broadcasts(rows) == 0
+
+
+def test_normalized_script_imports_send_no_paths_to_all(spark):
+    rows = graph.ts_imports(corpus(spark, **SCRIPTS), normalize=True)
+    got = sorted((r.src, r.dst) for r in rows.collect())
+    assert got == [("web/index.ts", "web/index.ts"), ("web/x.ts", "lib/index.js"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts"), ("web/y/index.js", "web/index.ts")]
+    assert broadcasts(rows) == 0
