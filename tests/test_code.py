@@ -178,3 +178,11 @@ def test_normalized_script_imports_send_no_paths_to_all(spark):
     got = sorted((r.src, r.dst) for r in rows.collect())
     assert got == [("web/index.ts", "web/index.ts"), ("web/x.ts", "lib/index.js"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts"), ("web/y/index.js", "web/index.ts")]
     assert broadcasts(rows) == 0
+
+
+def test_dependency_edges_send_no_modules_or_sources_to_all(spark):
+    files = corpus(spark, **SCRIPTS, **{"pkg/__init__.py": "", "pkg/a.py": "from . import b\n", "pkg/b.py": "import pkg.a, pkg.b", "notes.md": "import pkg.a"})
+    rows = graph.dependency_edges(files)
+    assert sorted((r.src, r.dst) for r in rows.collect()) == [
+        ("pkg/a.py", "pkg/__init__.py"), ("pkg/a.py", "pkg/b.py"), ("pkg/b.py", "pkg/a.py"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts")]
+    assert broadcasts(rows) == 0
