@@ -186,3 +186,12 @@ def test_dependency_edges_send_no_modules_or_sources_to_all(spark):
     assert sorted((r.src, r.dst) for r in rows.collect()) == [
         ("pkg/a.py", "pkg/__init__.py"), ("pkg/a.py", "pkg/b.py"), ("pkg/b.py", "pkg/a.py"), ("web/x.ts", "web/y.js"), ("web/y.ts", "web/x.ts")]
     assert broadcasts(rows) == 0
+
+
+def test_related_tests_send_only_bounded_needles_to_all(spark):
+    tests = spark.createDataFrame([("r", "tests/test_a.py"), ("r", "x/api/b.test.ts")], "repo string, path string")
+    seeds = spark.createDataFrame([(1, "r", "lib/a.py", 1), (1, "r", "api/b.py", 2)], "task_id int, repo string, path string, rank int")
+    edges = spark.createDataFrame([("r", "x/api/b.test.ts", "lib/a.py")], "repo string, src string, dst string")
+    rows = graph.related_tests(tests, seeds, edges)
+    assert [(r.path, r.score) for r in rows.orderBy("rank").collect()] == [("x/api/b.test.ts", 12.0), ("tests/test_a.py", 5.0)]
+    assert broadcasts(rows) <= 1        # the directory names of contains_join, at most MAX_BROADCAST_NEEDLES
