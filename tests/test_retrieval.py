@@ -353,3 +353,30 @@ def test_embedded_scores_run_one_python_step_at_a_time(spark, sf):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InPandas") + plan.count("EvalPython") == 1
     assert scores.count() == 3 * 40
+
+
+def test_a_kind_is_not_worked_out_for_each_scored_pair(spark, monkeypatch):
+    files = paths.classify(spark.createDataFrame([("r", "a/x.py", "retry jitter"), ("r", "b/y.md", "retry jitter"), ("r", "c/z.json", "{}")], "repo string, path string, content string"))
+    tasks = spark.createDataFrame([(1, "r", "add retry jitter")], "task_id long, repo string, task string")
+    emb = files.select(F.lit(1).cast("long").alias("task_id"), "repo", "path", F.lit(0.5).alias("score")).localCheckpoint()
+    plans, stored = {}, ranking.settle
+
+    def keep(df, label="settled"):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(ranking, "settle", keep)
+    got = ranking.rank_files(tasks, files, emb, epsilon=0.0)
+    assert [(r.path, r.embedding_score) for r in got.orderBy("rank").collect()] == [("a/x.py", 0.5), ("c/z.json", 0.5)]
+    assert "CASE WHEN" not in plans["scores"] and "RLIKE" not in plans["scores"]
+
+
+def test_shared_words_are_counted_by_sets_as_one_by_one(spark):
+    facts = ("code", None, 0.0, 0.3, 0.05)
+    rows = [("r", "a", *facts, "x", 0, 0, 1), ("r", "a", *facts, "x", 0, 0, 1), ("r", "a", *facts, "x", 1, 1, 0), ("r", "a", *facts, "y", 0, 1, 0),
+            ("r", "a", *facts, "z", 0, 0, 1), ("r", "b", *facts, "q", 0, 0, 1)]
+    held = spark.createDataFrame(rows, "repo string, path string, kind string, subkind string, doc_score double, qualify double, tiebreak double, "
+                                       "token string, n_name int, n_path int, n_content int")
+    pairs = impact._by_file(held).withColumn("tokens", F.array(F.lit("x"), F.lit("y"), F.lit("w")))
+    got = {r.path: (r.n_name, r.n_path, r.n_content) for r in impact._summed(pairs, ["path"]).collect()}
+    assert got == {"a": (1.0, 2.0, 2.0), "b": (0.0, 0.0, 0.0)}
