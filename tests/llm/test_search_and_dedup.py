@@ -370,3 +370,40 @@ def test_rounds_without_links_form_no_components(spark, monkeypatch):
     monkeypatch.setattr(weighted_minhash, "components", lambda _: pytest.fail("classes of links that are not there"))
     assert sorted(map(tuple, weighted_minhash.classes(docs).select("doc", "class_id", "n_links", "first").collect())) == [(i, i, 0, True) for i in range(6)]
     assert sum(asked)
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_documents_of_different_classes_meet_once_a_cell_whatever_they_share(spark, monkeypatch, block):
+    monkeypatch.setattr(weighted_minhash, "BLOCK", block)
+    rng = random.Random(4)
+    root = {i: i if i % 5 == 0 else 1 for i in range(1, 24)}
+    tokens = {i: set(rng.sample(range(12), 5)) if i % 7 else {100 + i} for i in root}
+    kind = "struct<id:long,sig:long>"
+    rare = spark.createDataFrame([(t, (i, 0), (root[i], 0)) for i in root for t in tokens[i]], f"token long, id {kind}, root {kind}")
+    drawn = {i: [rng.randint(0, 2) for _ in range(6)] for i in root}
+    facts = spark.createDataFrame([((i, 0), 10.0, 12.0 if i != 10 else 1.0, drawn[i]) for i in root], f"id {kind}, total double, most double, samples array<int>")
+    near = weighted_minhash._near(rare, facts, 0.8, 3)
+    got = [tuple(sorted((r.a.id, r.b.id))) for r in near.collect()]
+
+    def alike(a, b):
+        return 10 not in (a, b) and sum(x == y for x, y in zip(drawn[a], drawn[b])) >= 3 and root[a] != root[b]
+
+    assert {(a, b) for a in root for b in root if a < b and tokens[a] & tokens[b] and alike(a, b)} <= set(got)
+    assert all(alike(a, b) for a, b in got)
+    # One row for each order in which two documents of a cell meet, and each class a cell: not one for each shared shingle.
+    assert max(got.count(p) for p in got) <= 2 * len(set(root.values()))
+    forming = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (token" not in forming
+
+
+def test_many_texts_have_the_shingles_of_each():
+    shingle, rng = weighted_minhash.Shingler(5), random.Random(5)
+    texts = [rng.choice([None, "", " ", " ".join(rng.choice(["a", "b", "é", "x" * 40, "\n"]) for _ in range(rng.randint(0, 14)))]) for _ in range(300)]
+    texts += [" ".join(f"w{i % 50}" for i in range(20_000)), "a b c"]
+    at = 0
+    for found, counts, begins in shingle.many(texts):
+        for a, b in zip(begins[:-1], begins[1:]):
+            one, times = shingle(texts[at])
+            assert found[a:b].tolist() == one.tolist() and counts[a:b].tolist() == times.tolist()
+            at += 1
+    assert at == len(texts)
